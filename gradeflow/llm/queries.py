@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeflow.llm import secrets
+from gradeflow.llm import bpe, decontaminate, secrets, simhash
 from gradeflow.llm._shared import table
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoding_digest(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_digest(table(spark, sf_dir, "documents"))
+
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op9_simhash": op9_simhash,
     "op10_secret_scan": op10_secret_scan,
 }
 
