@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the numpy helpers work on at once; bounds a task's memory whatever the batch is.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

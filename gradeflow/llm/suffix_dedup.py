@@ -38,8 +38,9 @@ from gradeflow.llm._shared import row_slices, stored, text_buffer
 LENGTH, GRAM = 200, 48
 SLACK = LENGTH - GRAM  # bytes of a string beside its q-gram
 HALF = SLACK // 2
-CROWD = 50_000
-ROWS = 20_000
+CROWD = 8_000
+ROWS = 4_000
+SLICE = 1 << 19  # bytes of text whose hashes are held at once
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 RUNS = "array<struct<start:bigint,end:bigint>>"
 
@@ -57,7 +58,7 @@ class Hash:
         n = len(buffer)
         if len(self.forth) <= n:
             for name, b in (("forth", self.base), ("back", pow(self.base, -1, 1 << 64))):
-                power = np.full(2 * n + 1, b, np.uint64)
+                power = np.full(n + n // 4 + 1, b, np.uint64)
                 power[0] = 1
                 setattr(self, name, np.multiply.accumulate(power))
         sums = np.zeros(n + 1, np.uint64)
@@ -130,7 +131,7 @@ def distinct_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (d1, d2, text) to the suffixes at chosen q-grams. place: d2 and the position."""
     for batch in distinct_texts(batches):
-        for low, high in row_slices(batch.column(2)):
+        for low, high in row_slices(batch.column(2), SLICE):
             part = batch.slice(low, high - low)
             buffer, offsets = text_buffer(part.column(2))
             at, row, h = chosen(buffer, offsets)
@@ -203,7 +204,7 @@ SETTLED = f"d1 bigint, d2 bigint, open string, runs {RUNS}, kept_sha256 string,
 def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (d1, d2, text, marks) to the runs that settled suffixes remove. open: the text, where some suffix isn't settled."""
     for batch in batches:
-        for low, high in row_slices(batch.column(2)):
+        for low, high in row_slices(batch.column(2), SLICE):
             out = []
             for row in batch.slice(low, high - low).to_pylist():
                 text = row["text"].encode()
@@ -320,7 +321,7 @@ _FINAL = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("runs", _RUNS), ("k
 def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (d1, d2, open, runs, more) to all removed runs."""
     for batch in batches:
-        for low, high in row_slices(batch.column(2)):
+        for low, high in row_slices(batch.column(2), SLICE):
             out = []
             for row in batch.slice(low, high - low).to_pylist():
                 both = row["runs"] + (row["more"] or [])

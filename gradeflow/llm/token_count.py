@@ -30,6 +30,7 @@ from gradeflow.llm._shared import row_slices, text_buffer
 RESULT = "struct<n_bytes:bigint,n_tokens:bigint>"
 LANES = 4096
 TABLE_BITS = 20
+KEPT = 300_000  # entries of a worker's stores, which are emptied when full
 
 # Character classes. An apostrophe that a contraction follows, and white space, are told apart by what comes next.
 (LETTER, NUMBER, OTHER, PAIR, TRIPLE, SPACE_LAST, BLANK_LAST, BLANK_MORE) = range(8)
@@ -159,7 +160,7 @@ class Counter:
         key = (left, right)
         found = self.follows.get(key)
         if found is None:
-            if len(self.follows) > 2_000_000:
+            if len(self.follows) > KEPT:
                 self.follows.clear()
             found = self.follows[key] = self.merged(left + right) == [left, right]
         return found
@@ -195,7 +196,7 @@ class Counter:
     def count(self, piece: bytes) -> int:
         found = self.counts.get(piece)
         if found is None:
-            if len(self.counts) > 400_000:
+            if len(self.counts) > KEPT:
                 self.counts.clear()
             found = 1 if piece in self.tokens else sum(self.emissions(piece))
             if len(piece) <= 64:
@@ -206,7 +207,7 @@ class Counter:
         """Hashes of all prefixes, and powers of the inverse base."""
         n = len(buffer)
         if len(self.powers) < 4 or len(self.powers[0]) <= n:
-            size = 2 * n + 1
+            size = n + n // 4 + 1
             self.powers = []
             for b in (*self.base, *self.inverse):
                 p = np.full(size, b, np.uint64)
