@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeflow.llm import bpe, decontaminate, secrets, simhash, suffix_dedup, token_count, topk, toxicity
+from gradeflow.llm import bpe, decontaminate, secrets, simhash, suffix_dedup, token_count, topk, toxicity, warc
 from gradeflow.llm._shared import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_digest(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +51,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_decontaminate": op2_decontaminate,
+    "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
     "op7_byte_bpe": op7_byte_bpe,
