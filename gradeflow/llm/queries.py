@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeflow.llm import bpe, decontaminate, secrets, simhash, suffix_dedup, token_count, topk, toxicity, warc
+from gradeflow.llm import bpe, decontaminate, licenses, secrets, simhash, suffix_dedup, token_count, topk, toxicity, warc
 from gradeflow.llm._shared import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,6 +32,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_count_digest(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.corpus_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digest(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
+    "op6_license_scan": op6_license_scan,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash": op9_simhash,
