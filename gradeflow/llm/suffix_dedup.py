@@ -226,7 +226,7 @@ _FOUND = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("start", pa.int64()
 FOUND = "d1 bigint, d2 bigint, start bigint, end bigint, string bigint, string2 bigint"
 
 
-def string_ids(rows: dict[str, np.ndarray], arounds: pa.Array, offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def string_ids(rows: dict[str, np.ndarray], offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each row the string that begins ``offset`` before its q-gram: whether there is one, and its two hashes."""
     buffer, edges = rows["buffer"], rows["edges"]
     begin = edges[:-1] + rows["left"] - offset
@@ -237,8 +237,8 @@ def string_ids(rows: dict[str, np.ndarray], arounds: pa.Array, offset: int) -> t
 
 
 def compare(batches: Iterator[pa.RecordBatch], crowd_rows: int = CROWD, batch_rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """Rows (half, side, d1, d2, at, settled, left, around) in order of half. Gives the strings of unsettled rows that repeat;
-    of crowded buckets, all strings with their hashes, to be counted elsewhere."""
+    """Rows (half, side, d1, d2, at, settled, left, around) in order of half. Gives the range
+    that repeated strings cover for each unsettled row; of crowded buckets, all strings with their hashes, to be counted elsewhere."""
 
     def loaded(table: pa.Table) -> dict[str, np.ndarray]:
         rows = {c: table[c].to_numpy() for c in ("half", "side", "d1", "d2", "at", "settled", "left")}
@@ -251,26 +251,31 @@ def compare(batches: Iterator[pa.RecordBatch], crowd_rows: int = CROWD, batch_ro
 
     def strings(table: pa.Table, crowded: bool) -> Iterator[pa.RecordBatch]:
         rows = loaded(table)
+        # all strings of one suffix hold its q-gram, so those that repeat cover one range: from the first to the last
+        low, high = np.full(len(rows["at"]), SLACK + 1), np.full(len(rows["at"]), -1)
         for offset in range(SLACK + 1):
-            ok, h, h2 = string_ids(rows, table["around"], offset)
+            ok, h, h2 = string_ids(rows, offset)
             ok &= (rows["side"] == 1) if offset <= HALF else (rows["side"] == 0)
             pick = np.flatnonzero(ok)
             if not len(pick):
                 continue
             if crowded:
                 key = h[pick] ^ mixed(rows["half"][pick].view(np.uint64) + np.uint64(offset))
-            else:
-                order = np.lexsort((h2[pick], h[pick], rows["half"][pick]))
-                sort = pick[order]
-                same = (rows["half"][sort[1:]] == rows["half"][sort[:-1]]) & (h[sort[1:]] == h[sort[:-1]]) & (h2[sort[1:]] == h2[sort[:-1]])
-                pick = sort[np.append(False, same) | np.append(same, False)]
-                pick = pick[~rows["settled"][pick]]
-                if not len(pick):
-                    continue
-                key = np.zeros(len(pick), np.uint64)
-            start = rows["at"][pick] - offset
-            more = [key.view(np.int64), h2[pick].view(np.int64) if crowded else key.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows["d1"][pick], rows["d2"][pick], start, start + LENGTH, *more)], schema=_FOUND)
+                yield found(rows, pick, np.full(len(pick), offset), np.full(len(pick), offset), key.view(np.int64), h2[pick].view(np.int64))
+                continue
+            sort = pick[np.lexsort((h2[pick], h[pick], rows["half"][pick]))]
+            same = (rows["half"][sort[1:]] == rows["half"][sort[:-1]]) & (h[sort[1:]] == h[sort[:-1]]) & (h2[sort[1:]] == h2[sort[:-1]])
+            pick = sort[np.append(False, same) | np.append(same, False)]
+            low[pick], high[pick] = np.minimum(low[pick], offset), offset
+        if not crowded:
+            pick = np.flatnonzero((high >= 0) & ~rows["settled"])
+            if len(pick):
+                yield found(rows, pick, low[pick], high[pick], np.zeros(len(pick), np.int64), np.zeros(len(pick), np.int64))
+
+    def found(rows: dict[str, np.ndarray], pick: np.ndarray, low: np.ndarray, high: np.ndarray, key: np.ndarray, key2: np.ndarray) -> pa.RecordBatch:
+        at = rows["at"][pick]
+        columns = (rows["d1"][pick], rows["d2"][pick], at - high, at - low + LENGTH, key, key2)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_FOUND)
 
     def whole(table: pa.Table) -> Iterator[pa.RecordBatch]:
         half = table["half"].to_numpy()
