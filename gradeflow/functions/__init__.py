@@ -1 +1 @@
-
+"""Column functions: difficulty, weights, knowledge-tracing steps, texts."""

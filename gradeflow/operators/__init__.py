@@ -1 +1 @@
-
+"""Jobs: functions from DataFrames to a DataFrame."""
