@@ -4,7 +4,7 @@ Confirmed toxic examples (positives) and unlabelled text train a linear classifi
 risk is the class-prior-corrected one: prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss. Where a
 batch's corrected negative part falls below zero, the step goes against its gradient instead, so that the classifier can't
 push the estimate below what is possible. Several classifiers start from different orders of the sample, and their
-margins are averaged; the bias is then set so that the prior's share of the unlabelled sample counts as toxic.
+margins are averaged; the bias is then set so that about the prior's share of the unlabelled sample counts as toxic.
 
 Features are a text's distinct words (ASCII letters in lower case) and their prefixes of 4 and 5 bytes, hashed to 2**18
 weights. Features of a text count once, however long it is, and a weight is shrunk towards zero, so what carries no sign
@@ -38,6 +38,8 @@ EPOCHS, BATCH, MODELS, RATE, SHRINK = 12, 128, 3, 0.02, 2e-4
 PRIOR = 0.1
 #: Features that tell the classes apart by less than this many standard errors on the sample stay out.
 LEAST_Z = 4.0
+#: How far the share of unlabelled text that counts as toxic may be from the prior, as a part of it.
+SLACK = 0.25
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -144,14 +146,16 @@ class Model:
 
 def trained(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model | None:
     """The averaged classifier, or None without examples of both kinds."""
-    if not positive or not unlabelled or not 0 < prior < 1:
+    if not positive or len(unlabelled) < 2 or not 0 < prior < 1:
         return None
     use = telling(positive, unlabelled)
     positive, unlabelled = ([x[use[x]] for x in rows] for rows in (positive, unlabelled))
     models = [fitted(positive, unlabelled, prior, seed) for seed in range(MODELS)]
     weights = np.mean([w for w, _ in models], axis=0)
     at = np.sort([weights[x].sum() for x in unlabelled])
-    k = min(len(at) - 1, max(1, round(len(at) * (1 - prior))))
+    # the bias goes into the widest gap between margins around the rank that the prior gives
+    first, last = (min(len(at) - 1, max(1, round(len(at) * (1 - x * prior)))) for x in (1 + SLACK, 1 - SLACK))
+    k = first + int(np.argmax(np.diff(at[first - 1 : last + 1])))
     return Model(weights, -float(at[k - 1] + at[k]) / 2)
 
 
