@@ -19,6 +19,7 @@ gets the component's smallest id, which is null if no row of the component has a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,22 +38,32 @@ ROWS = 100_000
 HASHES = 1 << 18
 
 
-def fingerprints(column: pa.Array, shingle: int) -> np.ndarray:
-    """Signed 64-bit fingerprints of texts."""
-    out = np.zeros(len(column), np.int64)
+def salted(hashes: np.ndarray, salt: int) -> np.ndarray:
+    """The hashes themselves for salt 0, else other hashes of the same shingles."""
+    if not salt:
+        return hashes
+    h = (hashes ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(30))
+
+
+def fingerprints(column: pa.Array, shingle: int, prints: int = 1) -> np.ndarray:
+    """Signed 64-bit fingerprints of texts, ``prints`` of each, by hashes of their own."""
+    out = np.zeros((len(column), prints), np.int64)
     for low, high in row_slices(column):
         texts = column.slice(low, high - low).to_pylist()
         hashes: list[int] = []
         edges: list[int] = []
-        ones = np.zeros((len(texts), 64), np.int64)
+        ones = np.zeros((prints, len(texts), 64), np.int64)
         totals = np.zeros(len(texts), np.int64)
 
         def flush() -> None:
             if not hashes:
                 return
-            bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             rows, first = np.unique(np.array(edges), return_index=True)
-            ones[rows] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+            for k in range(prints):
+                each = np.ascontiguousarray(salted(np.array(hashes, "<u8"), k)).view(np.uint8).reshape(-1, 8)
+                ones[k, rows] += np.add.reduceat(np.unpackbits(each, axis=1, bitorder="little"), first, axis=0, dtype=np.int64)
             totals[rows] += np.diff(np.append(first, len(hashes)))
             hashes.clear()
             edges.clear()
@@ -70,8 +81,9 @@ def fingerprints(column: pa.Array, shingle: int) -> np.ndarray:
                 if len(hashes) >= HASHES:
                     flush()
         flush()
-        set_ = (ones * 2 > totals[:, None]).astype(np.uint8)
-        out[low:high] = np.packbits(set_, axis=1, bitorder="little").view("<i8")[:, 0]
+        for k in range(prints):
+            set_ = (ones[k] * 2 > totals[:, None]).astype(np.uint8)
+            out[low:high, k] = np.packbits(set_, axis=1, bitorder="little").view("<i8")[:, 0]
     return out
 
 
@@ -81,7 +93,19 @@ def fingerprint(text: Column, shingle: int = 3) -> Column:
     @F.arrow_udf("bigint")
     def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            yield pa.array(fingerprints(column, shingle))
+            yield pa.array(fingerprints(column, shingle)[:, 0])
+
+    return hashed(text)
+
+
+def fingerprint_array(text: Column, shingle: int, prints: int) -> Column:
+    """Column of arrays of ``prints`` fingerprints of whole texts."""
+
+    @F.arrow_udf("array<bigint>")
+    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            found = fingerprints(column, shingle, prints)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * prints), pa.array(found.ravel()))
 
     return hashed(text)
 
@@ -228,6 +252,26 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     return rows.join(of, "bits").select(key, "bits", "component")
 
 
+def near_duplicates_by_any(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, prints: int = 4) -> DataFrame:
+    """(key, component): as ``near_duplicates``, with several fingerprints by hashes of their own, of which any one links.
+    A single fingerprint of similar texts passes 3 bits by luck often enough; several find most of what one misses."""
+    rows = documents.select(F.col(key), fingerprint_array(F.col(text), shingle, prints).alias("prints"))
+    rows = stored(rows.withColumn("node", F.xxhash64("prints")), "fingerprints")
+    nodes = stored(rows.groupBy("node").agg(F.min("prints").alias("prints"), F.min(key).alias("least")), "nodes")
+    edges = []
+    for k in range(prints):
+        part = nodes.select("node", F.get("prints", F.lit(k)).alias("bits"))
+        first = stored(part.groupBy("bits").agg(F.min("node").alias("first")), "first")
+        edges.append(part.join(first, "bits").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")))
+        pairs = stored(links(first.select("bits")), "links")
+        side = lambda c, first=first: first.select(F.col("bits").alias(c), F.col("first").alias(f"{c}_node"))
+        edges.append(pairs.join(side("a"), "a").join(side("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+    found = components(reduce(DataFrame.unionByName, edges))
+    joined = nodes.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    lowest = joined.groupBy("root").agg(F.min("least").alias("component"))
+    return rows.join(joined.join(lowest, "root").select("node", "component"), "node").select(key, "component")
+
+
 def simhash_digest(documents: DataFrame) -> DataFrame:
     """One row for each document: fingerprint in hex, and component."""
     return near_duplicates(documents).select(

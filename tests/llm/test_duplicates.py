@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -121,3 +123,35 @@ def test_repeated_strings(spark, sizes):
         want.append((i, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     got = sorted(map(tuple, suffix_dedup.dedup_digest(df, **sizes).collect()), key=str)
     assert got == sorted(want, key=str)
+
+
+def test_any_of_several_fingerprints(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rng, rows = random.Random(8), []
+    for r in docs.collect()[:60]:
+        w = r["text"].split()
+        for k in range(2):
+            w[rng.randrange(len(w))] = f"edit{k}"
+            rows.append((5000 + 2 * r["doc_id"] + k, " ".join(w)))
+    docs = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    data = docs.collect()
+    prints = simhash.fingerprints(pa.array([r["text"] for r in data]), 5, 3)
+    assert [int(x) & (1 << 64) - 1 for x in prints[:20, 0]] == [plain_fingerprint(r["text"], 5) for r in data[:20]]
+    parent = list(range(len(data)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    unsigned = prints.view("u8")
+    for i in range(len(data)):
+        near = (np.bitwise_count(unsigned[i + 1 :] ^ unsigned[i]) <= 3).any(axis=1)
+        for j in np.flatnonzero(near):
+            parent[root(i)] = root(i + 1 + int(j))
+    least = {}
+    for i, r in enumerate(data):
+        least[root(i)] = min(least.get(root(i), 1 << 60), r["doc_id"])
+    want = sorted((r["doc_id"], least[root(i)]) for i, r in enumerate(data))
+    assert sorted(map(tuple, simhash.near_duplicates_by_any(docs, prints=3).collect())) == want
+    assert any(a != b for a, b in want)
