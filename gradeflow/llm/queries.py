@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeflow.llm import bpe, decontaminate, licenses, secrets, simhash, suffix_dedup, token_count, topk, toxicity, warc
+from gradeflow.llm import bpe, decontaminate, licenses, oracles, secrets, simhash, suffix_dedup, token_count, topk, toxicity, warc
 from gradeflow.llm._shared import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,4 +65,4 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracles.ORACLE_SQL
