@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeflow.functions import scalar
-from gradeflow.operators import bank, content, games, irt, mastery, tracing
+from gradeflow.operators import bank, changes, content, games, irt, mastery, selection, tracing
 from gradeflow.plans.adapters import domain, with_views
+from gradeflow.streaming import answers
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -300,3 +301,65 @@ def eig_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = known.join(ability, "user_id").withColumn("difficulty", levels)
     gain = scalar.information_gain(F.col("known"), F.col("ability"), scalar.normalize_difficulty(F.col("difficulty")))
     return rows.select("user_id", "subtopic_id", "difficulty", F.round(gain, 6).alias("eig"))
+
+
+@job("""SELECT n.user_id AS user_id, t.topic_id AS topic_id, t.zone_id AS zone_id FROM topics t JOIN (SELECT DISTINCT topic_id FROM subtopics) s ON t.topic_id = s.topic_id,
+    (SELECT user_id FROM users WHERE role = 'admin') n""")
+def topic_progress_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Every topic that has subtopics for every admin; topics are a small fixed dimension."""
+    topics = domain(spark, d, "topics").join(domain(spark, d, "subtopics").select("topic_id"), "topic_id", "left_semi").select("topic_id", "zone_id")
+    return domain(spark, d, "users").where("role = 'admin'").select("user_id").crossJoin(F.broadcast(topics))
+
+
+@job("""SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.skill, o.skill) AS skill, CASE WHEN n.user_id IS NOT NULL THEN n.n ELSE o.n END AS n
+    FROM (SELECT student AS user_id, skill, count(*) AS n FROM attempts WHERE event_id % 2 = 0 GROUP BY ALL) o
+    FULL JOIN (SELECT student AS user_id, skill, count(*) AS n FROM attempts WHERE event_id % 2 = 1 GROUP BY ALL) n ON o.user_id = n.user_id AND o.skill = n.skill""")
+def upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Counts over events with even ids are the stored table, those over odd ids the update."""
+    a = domain(spark, d, "attempts").withColumnRenamed("student", "user_id")
+    counted = lambda k: a.where(F.col("event_id") % 2 == k).groupBy("user_id", "skill").agg(F.count("*").alias("n"))
+    return changes.upsert(counted(0), counted(1), ["user_id", "skill"])
+
+
+@job("""WITH o AS (SELECT student, skill, min(event_id) AS first_id FROM attempts WHERE correct = 1 GROUP BY ALL), n AS (SELECT student, skill, min(event_id) AS first_id FROM attempts GROUP BY ALL)
+    SELECT * FROM o UNION ALL SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.student = n.student AND o.skill = n.skill)""")
+def insert_missing(spark: SparkSession, d: str) -> DataFrame:
+    a = domain(spark, d, "attempts")
+    first = lambda df: df.groupBy("student", "skill").agg(F.min("event_id").alias("first_id"))
+    return changes.insert_missing(first(a.where("correct = 1")), first(a), ["student", "skill"])
+
+
+@job("""WITH m AS (SELECT question_id, avg(correct) AS mean FROM responses GROUP BY question_id), i AS (SELECT question_id, round((0.5 - mean) * 6, 6) AS b FROM m),
+    l AS (SELECT CAST(round(least(greatest(b, -3), 3) * 1000) AS INTEGER) AS level, min(question_id) AS id FROM i GROUP BY 1),
+    u AS (SELECT user_id, CAST(round(least(greatest(round((avg(correct) - 0.5) * 6, 6), -3), 3) * 1000) AS INTEGER) AS level FROM responses GROUP BY user_id),
+    c AS (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY abs(l.level - u.level), id) AS k FROM u, l)
+    SELECT user_id, id AS question_id FROM c WHERE k = 1""")
+def nearest_theta_item(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracies stand for ability and difficulty."""
+    r = domain(spark, d, "responses")
+    items = r.groupBy("question_id").agg(F.round((0.5 - F.avg("correct")) * 6, 6).alias("b"))
+    users = r.groupBy("user_id").agg(F.round((F.avg("correct") - 0.5) * 6, 6).alias("theta"))
+    return selection.nearest_item(users, items)
+
+
+@job()
+def select_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Five questions for each user among those of the subtopics practised, by gain."""
+    gains = eig_scores(spark, d).withColumnRenamed("eig", "gain")
+    pool = domain(spark, d, "questions").where("not flagged").select("question_id", "subtopic_id", "difficulty")
+    return selection.sample_by_gain(gains.join(pool, ["subtopic_id", "difficulty"]), 5, 7)
+
+
+@job()
+def learner_clusters(spark: SparkSession, d: str) -> DataFrame:
+    features = games.learner_features(domain(spark, d, "responses"))
+    return selection.assign_cluster(features, *selection.train_clusters(features))
+
+
+@job("""WITH g AS (SELECT student, ts, correct, CASE WHEN date_diff('second', lag(ts) OVER (PARTITION BY student ORDER BY ts), ts) < 300 THEN 0 ELSE 1 END AS new FROM attempts),
+    n AS (SELECT *, sum(new) OVER (PARTITION BY student ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+    SELECT student, count(*) AS attempts, CAST(sum(correct) AS BIGINT) AS "right" FROM n GROUP BY student, s""")
+def session_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The batch form of the stream of sessions."""
+    events = domain(spark, d, "attempts").withColumn("ts", F.col("ts").cast("timestamp"))
+    return answers.session_summary(events).select("student", "attempts", "right")
