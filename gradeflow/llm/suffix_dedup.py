@@ -15,8 +15,8 @@ drops out at each step:
 
 Identifiers are hashes, which buckets sort by and reuse at the next step. Equality is decided by at least 96 bits of
 hash. Exact copies of whole texts are found first by hash: a task sends the suffixes of a text once, however often it
-holds it. Sorted buckets are streamed, and the few of step 2 that have over ``CROWD`` suffixes are resolved by a
-distributed count of their strings instead, so no bucket has to fit anywhere.
+holds it. Sorted buckets are streamed; those of step 2 that have over ``CROWD`` suffixes are refined again, by identifiers
+of half as much more before or after, until they are small or one string is left, so no bucket has to fit anywhere.
 
 Defined cases: null counts as the empty text; texts under 200 bytes keep everything; repeated rows are texts of their own
 and so remove one another; a null id is kept as it is.
@@ -222,68 +222,83 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(out, _SETTLED)
 
 
-_FOUND = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("string", pa.int64()), ("string2", pa.int64())])
-FOUND = "d1 bigint, d2 bigint, start bigint, end bigint, string bigint, string2 bigint"
+_FOUND = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("half", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("at", pa.int64()), ("settled", pa.bool_()), ("left", pa.int64()), ("around", pa.binary())])
+FOUND = "d1 bigint, d2 bigint, start bigint, end bigint, half bigint, low bigint, high bigint, at bigint, settled boolean, left bigint, around binary"
 
 
-def string_ids(rows: dict[str, np.ndarray], offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row the string that begins ``offset`` before its q-gram: whether there is one, and its two hashes."""
-    buffer, edges = rows["buffer"], rows["edges"]
-    begin = edges[:-1] + rows["left"] - offset
-    ok = (offset <= rows["left"]) & (begin + LENGTH <= edges[1:])
-    a = np.where(ok, begin, 0)
-    b = np.where(ok, begin + LENGTH, 0)
-    return ok, hasher(3).of(rows["sums"], a, b), hasher(4).of(rows["sums2"], a, b)
+class Rows:
+    """Suffixes of one or more buckets. The strings in question begin ``low`` to ``high`` bytes before the q-gram."""
 
-
-def compare(batches: Iterator[pa.RecordBatch], crowd_rows: int = CROWD, batch_rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """Rows (half, side, d1, d2, at, settled, left, around) in order of half. Gives the range
-    that repeated strings cover for each unsettled row; of crowded buckets, all strings with their hashes, to be counted elsewhere."""
-
-    def loaded(table: pa.Table) -> dict[str, np.ndarray]:
-        rows = {c: table[c].to_numpy() for c in ("half", "side", "d1", "d2", "at", "settled", "left")}
+    def __init__(self, table: pa.Table):
+        self.table = table
+        for name in ("half", "low", "high", "d1", "d2", "at", "settled", "left"):
+            setattr(self, name, table[name].to_numpy())
         around = table["around"].combine_chunks().cast(pa.large_binary())
         ends = np.frombuffer(around.buffers()[1], np.int64)[around.offset : around.offset + len(around) + 1]
-        rows["buffer"] = np.frombuffer(around.buffers()[2], np.uint8)[ends[0] : ends[-1]]
-        rows["edges"] = ends - ends[0]
-        rows["sums"], rows["sums2"] = hasher(3).prepare(rows["buffer"]), hasher(4).prepare(rows["buffer"])
-        return rows
-
-    def strings(table: pa.Table, crowded: bool) -> Iterator[pa.RecordBatch]:
-        rows = loaded(table)
-        # all strings of one suffix hold its q-gram, so those that repeat cover one range: from the first to the last
-        low, high = np.full(len(rows["at"]), SLACK + 1), np.full(len(rows["at"]), -1)
-        for offset in range(SLACK + 1):
-            ok, h, h2 = string_ids(rows, offset)
-            ok &= (rows["side"] == 1) if offset <= HALF else (rows["side"] == 0)
-            pick = np.flatnonzero(ok)
+        buffer = np.frombuffer(around.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        self.edges = ends - ends[0]
+        self.sums, self.sums2 = hasher(3).prepare(buffer), hasher(4).prepare(buffer)
+
+    def ids(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Identifiers of what stands from ``begin`` to ``end`` bytes after the q-gram's start, and whether the text goes as far."""
+        a, b = self.edges[:-1] + self.left + begin, self.edges[:-1] + self.left + end
+        ok = (a >= self.edges[:-1]) & (b <= self.edges[1:])
+        a, b = np.where(ok, a, 0), np.where(ok, b, 0)
+        return ok, hasher(3).of(self.sums, a, b), hasher(4).of(self.sums2, a, b)
+
+    def ranges(self) -> pa.RecordBatch | None:
+        """The range that repeated strings cover for each unsettled row. All strings of one suffix hold its q-gram, so those
+        that repeat cover one range: from the first to the last."""
+        first, last = np.full(len(self.at), SLACK + 1), np.full(len(self.at), -1)
+        for offset in range(int(self.low.min()), int(self.high.max()) + 1):
+            ok, h, h2 = self.ids(-offset, LENGTH - offset)
+            pick = np.flatnonzero(ok & (self.low <= offset) & (offset <= self.high))
             if not len(pick):
                 continue
-            if crowded:
-                key = h[pick] ^ mixed(rows["half"][pick].view(np.uint64) + np.uint64(offset))
-                yield found(rows, pick, np.full(len(pick), offset), np.full(len(pick), offset), key.view(np.int64), h2[pick].view(np.int64))
-                continue
-            sort = pick[np.lexsort((h2[pick], h[pick], rows["half"][pick]))]
-            same = (rows["half"][sort[1:]] == rows["half"][sort[:-1]]) & (h[sort[1:]] == h[sort[:-1]]) & (h2[sort[1:]] == h2[sort[:-1]])
+            sort = pick[np.lexsort((h2[pick], h[pick], self.half[pick]))]
+            same = (self.half[sort[1:]] == self.half[sort[:-1]]) & (h[sort[1:]] == h[sort[:-1]]) & (h2[sort[1:]] == h2[sort[:-1]])
             pick = sort[np.append(False, same) | np.append(same, False)]
-            low[pick], high[pick] = np.minimum(low[pick], offset), offset
-        if not crowded:
-            pick = np.flatnonzero((high >= 0) & ~rows["settled"])
+            first[pick], last[pick] = np.minimum(first[pick], offset), offset
+        pick = np.flatnonzero((last >= 0) & ~self.settled)
+        return self.found(pick, first[pick], last[pick]) if len(pick) else None
+
+    def found(self, pick: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(x) for x in (self.d1[pick], self.d2[pick], self.at[pick] - last, self.at[pick] - first + LENGTH)]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(pick), f.type) for f in list(_FOUND)[4:])], schema=_FOUND)
+
+    def split(self) -> Iterator[pa.RecordBatch]:
+        """The same suffixes in two finer buckets each: every string in question either reaches the middle of their range to
+        the left, or as far to the right as the middle's string does. Where one string is in question, it repeats."""
+        one = np.flatnonzero((self.low == self.high) & ~self.settled)
+        if len(one):
+            yield self.found(one, self.low[one], self.low[one])
+        middle = (self.low + self.high + 1) // 2
+        for side in (0, 1):
+            if side == 0:  # strings from the middle on: the bytes from there to what is known
+                ok, h, h2 = self.ids(-middle, -self.low)
+                low, high = middle, self.high
+            else:  # strings before the middle
+                ok, h, h2 = self.ids(LENGTH - self.high, LENGTH - middle + 1)
+                low, high = self.low, middle - 1
+            pick = np.flatnonzero(ok & (self.low < self.high))
             if len(pick):
-                yield found(rows, pick, low[pick], high[pick], np.zeros(len(pick), np.int64), np.zeros(len(pick), np.int64))
+                half = mixed(self.half.view(np.uint64) * np.uint64(2) + np.uint64(side)) ^ h ^ (h2 << np.uint64(1))
+                kept = self.table.take(pa.array(pick))
+                none = pa.nulls(len(pick), pa.int64())
+                columns = [kept["d1"], kept["d2"], none, none, half[pick].view(np.int64), low[pick], high[pick], kept["at"], kept["settled"], kept["left"], kept["around"]]
+                yield from pa.Table.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in columns], schema=_FOUND).to_batches()
 
-    def found(rows: dict[str, np.ndarray], pick: np.ndarray, low: np.ndarray, high: np.ndarray, key: np.ndarray, key2: np.ndarray) -> pa.RecordBatch:
-        at = rows["at"][pick]
-        columns = (rows["d1"][pick], rows["d2"][pick], at - high, at - low + LENGTH, key, key2)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_FOUND)
+
+def compare(batches: Iterator[pa.RecordBatch], crowd_rows: int = CROWD, batch_rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Rows (half, low, high, d1, d2, at, settled, left, around) in order of half. Buckets of up to ``crowd_rows`` give the
+    ranges that repeat; the rows of larger ones are streamed on into finer buckets."""
 
     def whole(table: pa.Table) -> Iterator[pa.RecordBatch]:
         half = table["half"].to_numpy()
         same = half[1:] == half[:-1]
-        company = np.append(False, same) | np.append(same, False)
-        table = table.filter(pa.array(company))
-        if table.num_rows:
-            yield from strings(table, False)
+        table = table.filter(pa.array(np.append(False, same) | np.append(same, False)))
+        if table.num_rows and (out := Rows(table).ranges()) is not None:
+            yield out
 
     held: pa.Table | None = None
     crowd = None  # the bucket that is being streamed
@@ -294,8 +309,9 @@ def compare(batches: Iterator[pa.RecordBatch], crowd_rows: int = CROWD, batch_ro
             continue
         half = held["half"].to_numpy()
         if crowd is not None:
-            cut = int(np.searchsorted(half != crowd, True)) if (half != crowd).any() else len(half)
-            yield from strings(held.slice(0, cut), True)
+            cut = int(np.argmax(half != crowd)) if (half != crowd).any() else len(half)
+            if cut:
+                yield from Rows(held.slice(0, cut)).split()
             held = held.slice(cut)
             if held.num_rows:
                 crowd = None
@@ -307,14 +323,14 @@ def compare(batches: Iterator[pa.RecordBatch], crowd_rows: int = CROWD, batch_ro
             held = held.slice(cut)
         if held.num_rows > crowd_rows:
             crowd = half[-1]
-            yield from strings(held, True)
+            yield from Rows(held).split()
             held = held.slice(held.num_rows)
     if held is not None and held.num_rows:
         if crowd is not None:
             half = held["half"].to_numpy()
             cut = int(np.argmax(half != crowd)) if (half != crowd).any() else len(half)
             if cut:
-                yield from strings(held.slice(0, cut), True)
+                yield from Rows(held.slice(0, cut)).split()
             held = held.slice(cut)
         if held.num_rows:
             yield from whole(held)
@@ -360,21 +376,26 @@ def repeated_runs(documents: DataFrame, key: str = "doc_id", text: str = "text",
     texts = long.mapInArrow(distinct_texts, "d1 bigint, d2 bigint, text string")
     settled = stored(texts.join(marks, ["d1", "d2"]).select("d1", "d2", "text", "marks").mapInArrow(settle, SETTLED), "settled")
 
-    # steps 2 and 3: halves beside the q-gram, and then each string
+    # steps 2 and 3: halves beside the q-gram, finer buckets of what is crowded, and then each string
     speakers = settled.select("d1", "d2", F.explode("speakers").alias("s")).select("d1", "d2", "s.*")
     before = F.expr(f"substring(around, cast(left as int) - {HALF} + 1, {HALF})")
     after = F.expr(f"substring(around, cast(left as int) + {GRAM} + 1, {HALF})")
+    part = lambda side, low, high, beside: F.struct(F.xxhash64("bucket", F.lit(side), beside).alias("half"), F.lit(low).cast("bigint").alias("low"), F.lit(high).cast("bigint").alias("high"))
     sides = F.array(
-        F.when(F.col("left") >= HALF, F.struct(F.xxhash64("bucket", F.lit(0), before).alias("half"), F.lit(0).alias("side"))),
-        F.when(F.octet_length("around") - F.col("left") >= GRAM + HALF, F.struct(F.xxhash64("bucket", F.lit(1), after).alias("half"), F.lit(1).alias("side"))),
-    )
-    halves = speakers.withColumn("h", F.explode(sides)).where("h is not null").select("h.half", "h.side", "d1", "d2", "at", "settled", "left", "around")
-    strings = stored(halves.repartition("half").sortWithinPartitions("half").mapInArrow(partial(compare, crowd_rows=crowd_rows, batch_rows=batch_rows), FOUND), "strings")
-    crowded = strings.where("string <> 0 or string2 <> 0")
-    again = crowded.groupBy("string", "string2").count().where("count > 1").select("string", "string2")
-    more = strings.where("string = 0 and string2 = 0").select("d1", "d2", "start", "end").unionByName(
-        crowded.join(again, ["string", "string2"], "left_semi").select("d1", "d2", "start", "end")
+        F.when(F.col("left") >= HALF, part(0, HALF, SLACK, before)),
+        F.when(F.octet_length("around") - F.col("left") >= GRAM + HALF, part(1, 0, HALF, after)),
     )
+    columns = ["half", "low", "high", "d1", "d2", "at", "settled", "left", "around"]
+    halves = speakers.withColumn("h", F.explode(sides)).where("h is not null").select("h.*", *columns[3:])
+    step = partial(compare, crowd_rows=crowd_rows, batch_rows=batch_rows)
+    more = None
+    while True:
+        found = stored(halves.repartition("half").sortWithinPartitions("half").mapInArrow(step, FOUND), "ranges")
+        ranges = found.where("around is null").select("d1", "d2", "start", "end")
+        more = ranges if more is None else more.unionByName(ranges)
+        halves = found.where("around is not null").select(*columns)
+        if halves.isEmpty():
+            break
     more = more.groupBy("d1", "d2").agg(F.collect_set(F.struct("start", "end")).alias("more"))
     closed = settled.where("open is null").select("d1", "d2", "runs", "kept_sha256")
     opened = settled.where("open is not null").select("d1", "d2", "open", "runs").join(more, ["d1", "d2"], "left")
