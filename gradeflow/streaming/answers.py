@@ -6,20 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def watermarked(events: DataFrame, delay: str | None) -> DataFrame:
+    """Events with a watermark; None where they have one already, as it can't be set twice."""
+    return events if delay is None else events.withWatermark("ts", delay)
+
+
 def deduplicated(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """Events once by id."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def session_summary(events: DataFrame, gap: str = "300 seconds", delay: str = "1 day") -> DataFrame:
+def session_summary(events: DataFrame, gap: str = "300 seconds", delay: str | None = "1 day") -> DataFrame:
     """Attempts and correct answers of each of a student's sessions; a session ends after a gap without answers."""
-    rows = events.withWatermark("ts", delay).groupBy("student", F.session_window("ts", gap).alias("s"))
+    rows = watermarked(events, delay).groupBy("student", F.session_window("ts", gap).alias("s"))
     found = rows.agg(F.count("*").alias("attempts"), F.sum("correct").cast("bigint").alias("right"))
     return found.select("student", F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "attempts", "right")
 
 
-def activity(events: DataFrame, window: str = "1 day", delay: str = "1 day") -> DataFrame:
+def activity(events: DataFrame, window: str = "1 day", delay: str | None = "1 day") -> DataFrame:
     """Answers and correct answers of each skill and window."""
-    rows = events.withWatermark("ts", delay).groupBy(F.window("ts", window).alias("w"), "skill")
+    rows = watermarked(events, delay).groupBy(F.window("ts", window).alias("w"), "skill")
     found = rows.agg(F.count("*").alias("n"), F.sum("correct").cast("bigint").alias("right"))
     return found.select(F.col("w.start").alias("day"), "skill", "n", "right")
