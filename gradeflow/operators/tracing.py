@@ -61,11 +61,12 @@ def interactive_bkt(split: DataFrame) -> DataFrame:
 
 
 def kt_metrics(scored: DataFrame) -> DataFrame:
-    """One row: mean absolute error, correlation, log loss and ROC AUC. The AUC ranks distinct scores, not rows."""
+    """One row: mean absolute error, correlation, log loss and ROC AUC. The AUC ranks distinct scores
+    of six digits, so what is ranked in one place is bounded however many rows there are."""
     p = clamp(F.col("p"), TINY, 1 - TINY)
     loss = -(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p))
     basic = scored.agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y") - F.col("p"))).alias("mae"), F.corr("y", "p").alias("r"), F.avg(loss).alias("log_loss"))
-    level = scored.groupBy(F.round("p", 9).alias("p")).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    level = scored.groupBy(F.round("p", 6).alias("p")).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     below = F.coalesce(F.sum("neg").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     pairs = level.withColumn("won", F.col("pos") * (below + F.col("neg") / 2)).agg((F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
     return basic.crossJoin(pairs).select("n", *[F.round(c, 6).alias(c) for c in ("mae", "r", "log_loss", "auc")])

@@ -363,3 +363,67 @@ def session_summary(spark: SparkSession, d: str) -> DataFrame:
     """The batch form of the stream of sessions."""
     events = domain(spark, d, "attempts").withColumn("ts", F.col("ts").cast("timestamp"))
     return answers.session_summary(events).select("student", "attempts", "right")
+
+
+@job("""SELECT z.zone_id AS zone_id, z.name AS zone, count(DISTINCT t.topic_id) AS topics, count(DISTINCT s.subtopic_id) AS subtopics
+    FROM zones z LEFT JOIN topics t ON t.zone_id = z.zone_id LEFT JOIN subtopics s ON s.topic_id = t.topic_id GROUP BY z.zone_id, z.name""")
+def catalog_counts(spark: SparkSession, d: str) -> DataFrame:
+    zones, topics, subtopics = (domain(spark, d, v) for v in ("zones", "topics", "subtopics"))
+    n = subtopics.groupBy("topic_id").agg(F.count("*").alias("n"))
+    inside = topics.join(n, "topic_id", "left").groupBy("zone_id").agg(F.count("*").alias("topics"), F.sum("n").alias("subtopics"))
+    rows = zones.join(inside, "zone_id", "left")
+    return rows.select("zone_id", F.col("name").alias("zone"), *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("topics", "subtopics")])
+
+
+@job("""WITH s AS (SELECT user_id, session_id, avg(correct) AS accuracy, max(created_at) AS ended_at FROM responses GROUP BY ALL),
+    o AS (SELECT user_id, list(accuracy ORDER BY ended_at, session_id) AS xs FROM s GROUP BY user_id),
+    a AS (SELECT list_reduce(xs, lambda acc, x: least(greatest(acc * 0.8 + x * 0.2, 0.01), 0.99), CAST(0.5 AS DOUBLE)) AS v FROM o)
+    SELECT count(*) AS n, round(min(v), 6) AS least, round(max(v), 6) AS most, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(stddev_pop(v), 6) AS spread FROM a""")
+def ability_distribution(spark: SparkSession, d: str) -> DataFrame:
+    v = mastery.ability_update(mastery.session_accuracy(domain(spark, d, "responses")))
+    x = F.col("ability")
+    parts = {"least": F.min(x), "most": F.max(x), "mean": F.avg(x), "median": F.percentile(x, 0.5), "spread": F.stddev_pop(x)}
+    return v.agg(F.count("*").alias("n"), *[F.round(c, 6).alias(k) for k, c in parts.items()])
+
+
+@job()
+def prediction_trend(spark: SparkSession, d: str) -> DataFrame:
+    """Least-squares line of outcomes on predictions, of either model."""
+    one = lambda f, name: f(_split(spark, d)).agg(F.lit(name).alias("model"), F.round(F.regr_slope("y", "p"), 6).alias("slope"), F.round(F.regr_intercept("y", "p"), 6).alias("intercept"))
+    return one(tracing.standard_bkt, "standard").unionByName(one(tracing.interactive_bkt, "interactive"))
+
+
+@job()
+def model_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Each metric of both models, their difference, and the better model."""
+    rows = kt_metrics(spark, d)
+    long = rows.select("model", F.expr("stack(4, 'mae', mae, 'r', r, 'log_loss', log_loss, 'auc', auc) AS (metric, value)"))
+    wide = long.groupBy("metric").pivot("model", ["standard", "interactive"]).agg(F.first("value"))
+    lower = F.col("metric").isin("mae", "log_loss")
+    better = F.when((F.col("interactive") < F.col("standard")) == lower, "interactive").otherwise("standard")
+    return wide.select("metric", "standard", "interactive", F.round(F.col("interactive") - F.col("standard"), 6).alias("difference"), better.alias("better"))
+
+
+@job("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")
+def label_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/labels.parquet").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
+
+
+@job("SELECT role, count(*) AS n, min(username) AS first_name FROM users GROUP BY role")
+def users_by_role(spark: SparkSession, d: str) -> DataFrame:
+    return domain(spark, d, "users").groupBy("role").agg(F.count("*").alias("n"), F.min("username").alias("first_name"))
+
+
+@job(r"""SELECT question_id, regexp_replace(regexp_replace(regexp_replace(lower(trim(question_text)), '[^a-z0-9_\s-]', '', 'g'), '[-\s]+', '-', 'g'), '^[-_]+|[-_]+$', '', 'g') AS slug,
+    upper(regexp_replace(correct_answer, '[^A-Za-z]', '', 'g')) AS word FROM questions""")
+def slugs_and_words(spark: SparkSession, d: str) -> DataFrame:
+    q = domain(spark, d, "questions")
+    return q.select("question_id", scalar.slugify(F.col("question_text")).alias("slug"), scalar.sanitize_word(F.col("correct_answer")).alias("word"))
+
+
+@job("""WITH t AS (SELECT topic_id, count(*) AS n FROM subtopics GROUP BY topic_id)
+    SELECT topic_id, n AS singles, CASE WHEN n > 1 THEN least(n * (n - 1) // 2, greatest(1, n // 2)) ELSE 0 END AS pairs FROM t""")
+def combination_counts(spark: SparkSession, d: str) -> DataFrame:
+    n = domain(spark, d, "subtopics").groupBy("topic_id").agg(F.count("*").alias("singles"))
+    s = F.col("singles")
+    return n.withColumn("pairs", F.when(s > 1, F.least(F.floor(s * (s - 1) / 2), F.greatest(F.lit(1), F.floor(s / 2)))).otherwise(F.lit(0)).cast("bigint"))
