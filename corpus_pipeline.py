@@ -1,8 +1,8 @@
 """Cleaning of a training corpus in five stages, each of which works on all that the one before has kept.
 
 1. toxicity: the classifier is fitted on labelled rows that are not held out, and documents it scores 0.5 or more go.
-2. near_duplicates: of each group of documents whose SimHash fingerprints of five-word shingles link, the one with the
-   smallest id stays. Links join fingerprints that differ in at most 3 of 64 bits, far above a similarity of 0.8.
+2. near_duplicates: of each group of documents that links connect, the one with the smallest id stays. Links join documents
+   whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 3. decontamination: documents that hold a benchmark window of ten words go.
 4. secrets: each secret in a text is replaced by a mark, and n_chars follows; no document goes.
 5. encoding: ids of the byte-level BPE, with their number.
@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeflow.llm import bpe, decontaminate, secrets, simhash, toxicity
+from gradeflow.llm import bpe, decontaminate, minhash, secrets, toxicity
 from gradeflow.llm._shared import stored, table
 
 SHINGLE = 5
@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs, shingle=SHINGLE)
+    found = minhash.near_duplicates(docs, shingle=SHINGLE)
     others = found.where("component is not null and doc_id <> component").select("doc_id").distinct()
     kept = docs.join(others, "doc_id", "left_anti").select(docs.columns)
     # rows that repeat the id of the document that stays: one of them
@@ -72,5 +72,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Training, SimHash and byte-level BPE are beyond SQL; tests hold the stages against brute force.
+#: Training, MinHash and byte-level BPE are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -1,0 +1,172 @@
+"""Near-duplicates by Jaccard similarity: groups of texts whose sets of word shingles share at least four fifths.
+
+Candidates come from MinHash: 16 bands of 4 least hashes each. Two texts of similarity 0.8 share no band in 0.02 % of cases,
+and in fewer the more similar they are; each pair of a band's bucket is then held against the sets themselves, so nothing less
+similar links. Texts with the same set are one node. A bucket is searched from node to node: those that link leave the search,
+so that a group of near copies costs a few passes over it and returns a spanning forest of its links, never all pairs. Buckets
+of more than ``BLOCK`` nodes are cut into blocks, of which each two are searched together.
+
+Defined cases: null and wordless texts have the empty set and are one node; a text shorter than a shingle is one shingle.
+Sets hold 32 bits of each shingle's hash.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gradeflow.llm._shared import stored
+from gradeflow.llm.simhash import components
+
+THRESHOLD = 0.8
+BANDS, ROWS = 16, 4
+BLOCK = 2048
+SEED = 42
+#: Shingles hashed at once.
+HASHES = 4096
+_random = np.random.default_rng(SEED)
+SALT = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+ODD = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct 32-bit hashes of a text's word shingles."""
+    words = np.array([xxhash.xxh64_intdigest(w, SEED) for w in (text or "").encode().lower().split()], np.uint64)
+    if not len(words):
+        return np.zeros(0, np.uint32)
+    size = min(shingle, len(words))
+    n = len(words) - size + 1
+    total = np.zeros(n, np.uint64)
+    for k in range(size):
+        total = mixed(total + words[k : k + n])
+    return np.unique((total >> np.uint64(32)).astype(np.uint32))
+
+
+def band_keys(set_: np.ndarray) -> np.ndarray:
+    """The signed 64-bit key of each band of a set; none for the empty set."""
+    if not len(set_):
+        return np.zeros(0, np.int64)
+    wide = mixed(set_.astype(np.uint64))
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(wide), HASHES):
+        x = (wide[at : at + HASHES, None] ^ SALT) * ODD
+        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        keys = mixed(keys + column)
+    return keys.view(np.int64)
+
+
+def sketched(documents: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """(key, hash, node, bands, shingles) of each row; hash: of the text; node: of its set."""
+    kind = dict(documents.dtypes)[key]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
+            bands = [band_keys(s) for s in sets]
+            nodes = [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets]
+            ends = np.cumsum([0, *map(len, bands)], dtype=np.int32)
+            columns = [
+                batch.column(0),
+                batch.column(1),
+                pa.array(np.array(nodes, np.uint64).view(np.int64)),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*bands, np.zeros(0, np.int64)]))),
+                pa.array([s.tobytes() for s in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [key, "hash", "node", "bands", "shingles"])
+
+    own = documents.select(F.col(key), F.xxhash64(text).alias("hash"), F.col(text))
+    return own.mapInArrow(rows, f"`{key}` {kind}, hash bigint, node bigint, bands array<bigint>, shingles binary")
+
+
+def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the links inside a group of distinct sets."""
+    sizes = np.array([len(s) for s in sets])
+    flat, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    left = np.ones(len(sets), bool)
+    out: list[tuple[int, int]] = []
+    for first in range(len(sets)):
+        if not left[first]:
+            continue
+        left[first], queue = False, [first]
+        while queue and left.any():
+            own = queue.pop()
+            # texts that left the search are cut out once they are half of it
+            if len(flat) > 2 * sizes[left].sum():
+                keep = left[rows]
+                flat, rows = flat[keep], rows[keep]
+            near = sets[own][np.minimum(np.searchsorted(sets[own], flat), sizes[own] - 1)] == flat
+            shared = np.bincount(rows[near], minlength=len(sets))
+            found = np.flatnonzero(left & (shared >= THRESHOLD * (sizes + sizes[own] - shared) - 1e-9))
+            left[found] = False
+            queue += found.tolist()
+            out += [(own, int(x)) for x in found]
+    return out
+
+
+def grouped_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, cell, node, shingles) come in order of key and cell; whole groups are searched."""
+    held: list[tuple[int, bytes]] = []
+    a, b = [], []
+    now = None
+
+    def take() -> None:
+        if len(held) > 1:
+            for x, y in forest([np.frombuffer(s, np.uint32) for _, s in held]):
+                a.append(held[x][0])
+                b.append(held[y][0])
+        held.clear()
+
+    def pairs() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        a.clear()
+        b.clear()
+        return out
+
+    for batch in batches:
+        for key, cell, node, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (key, cell) != now:
+                take()
+                now = (key, cell)
+            held.append((node, shingles))
+        yield pairs()
+    take()
+    yield pairs()
+
+
+def links(sketches: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of at least the similarity; enough of them to connect all that links connect."""
+    keyed = sketches.select("node", F.explode("bands").alias("key")).distinct()
+    counts = keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks"))
+    shared = keyed.join(counts, "key")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    # every two blocks meet in a cell of their own
+    others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda x: x != F.col("block"))
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(others))
+    cells = shared.withColumn("block", block).select("key", "node", "blocks", "block", other.alias("other"))
+    cells = cells.select("key", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("cell"), "node")
+    cells = stored(cells, "cells")
+    sets = sketches.join(cells.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles"))
+    placed = cells.join(sets, "node").select("key", "cell", "node", "shingles").repartition("key", "cell").sortWithinPartitions("key", "cell")
+    return placed.mapInArrow(grouped_links, "a bigint, b bigint").distinct()
+
+
+def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+    """(key, hash, root, component) of each row: hash of its text, group, and the smallest id of the group."""
+    sketches = stored(sketched(documents, key, text, shingle), "sketches")
+    found = components(links(sketches))
+    rows = sketches.select(key, "hash", "node").join(found, "node", "left").select(key, "hash", F.coalesce("root", "node").alias("root"))
+    lowest = rows.groupBy("root").agg(F.min(key).alias("component"))
+    return rows.join(lowest, "root").select(key, "hash", "root", "component")
