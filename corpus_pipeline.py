@@ -8,7 +8,8 @@
 5. encoding: ids of the byte-level BPE, with their number.
 
 Rows with a null id stay through every stage unless what their text holds removes them; a group of near-duplicates that
-no row has an id in keeps all its rows.
+no row has an id in keeps all its rows. Rows are told apart by id and text: an id that stands on unrelated texts keeps each
+of them that no smaller id repeats, and rows that repeat both are one.
 """
 
 from __future__ import annotations
@@ -29,13 +30,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(docs, shingle=SHINGLE)
-    others = found.where("component is not null and doc_id <> component").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(docs.columns)
-    # rows that repeat the id of the document that stays: one of them
-    repeated = kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+    found = stored(minhash.near_duplicates(docs, shingle=SHINGLE).where("doc_id is not null").distinct(), "groups")
+    # of each group one text of the smallest id stays; an id can stand on texts of several groups
+    stays = found.groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("stays"))
+    others = found.join(stays, "root").where(F.struct("doc_id", "hash") != F.col("stays")).select("doc_id", "hash")
+    hashed = docs.withColumn("hash", F.xxhash64("text"))
+    kept = hashed.join(others, ["doc_id", "hash"], "left_anti")
+    # rows that repeat both id and text of the document that stays: one of them
+    repeated = kept.where("doc_id is not null").groupBy("doc_id", "hash").count().where("count > 1").select("doc_id", "hash")
+    once = kept.join(repeated, ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id", "hash"])
+    return kept.join(repeated, ["doc_id", "hash"], "left_anti").unionByName(once).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

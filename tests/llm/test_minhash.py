@@ -60,3 +60,10 @@ def test_stage_drops_copies_that_one_fingerprint_misses(spark):
     rows = [r for r in corpus() if r[0] is not None]
     left = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()}
     assert left == {c for _, c in plain_components(rows)}
+
+
+def test_rows_of_one_id_go_by_their_own_text(spark):
+    copied, other, third = (" ".join(f"{c}{k}" for k in range(50)) for c in "abc")
+    rows = [(1, copied), (2, copied), (2, other), (2, other), (3, third), (3, other), (4, third), (4, copied), (None, other)]
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(1, copied), (2, other), (3, third), (None, other)], key=str)
