@@ -11,17 +11,38 @@ COMMON = "a an the and or but in on at to for of with by is are was were be been
 BACKSLASH_MARKS = "[.,!?()\\[\\]{}\";:]+"
 
 
+#: The columns of a listed question.
+PREVIEW = ("question_id", "substring(question_text, 1, 100) AS preview", "difficulty", "game_type", "subtopic", "topic", "zone")
+
+
+def named(questions: DataFrame, subtopics: DataFrame, topics: DataFrame, zones: DataFrame) -> DataFrame:
+    """Whole questions with the names of their subtopic, topic and zone."""
+    dims = subtopics.select("subtopic_id", "topic_id", F.col("name").alias("subtopic")).join(topics.select("topic_id", "zone_id", F.col("name").alias("topic")), "topic_id").join(zones.select("zone_id", F.col("name").alias("zone")), "zone_id")
+    return questions.join(dims, "subtopic_id")
+
+
 def enrich(questions: DataFrame, subtopics: DataFrame, topics: DataFrame, zones: DataFrame) -> DataFrame:
     """Questions with the names of their subtopic, topic and zone."""
-    dims = subtopics.select("subtopic_id", "topic_id", F.col("name").alias("subtopic")).join(topics.select("topic_id", "zone_id", F.col("name").alias("topic")), "topic_id").join(zones.select("zone_id", F.col("name").alias("zone")), "zone_id")
-    return questions.join(dims, "subtopic_id").select("question_id", F.substring("question_text", 1, 100).alias("preview"), "difficulty", "game_type", "subtopic", "topic", "zone")
+    return named(questions, subtopics, topics, zones).selectExpr(*PREVIEW)
 
 
-def search(enriched: DataFrame, text: str, difficulty: str | None = None) -> DataFrame:
-    """Questions whose text, subtopic or topic holds a string in either case."""
+def search(
+    rows: DataFrame, text: str = "", difficulty: str | None = None, game_type: str | None = None, unflagged: bool = False, **equal: str | int
+) -> DataFrame:
+    """Questions (as ``named`` gives them) whose text, subtopic or topic holds a string in either case, or whose id it is. The
+    id is found whatever the game is. ``equal``: values of other columns, as status, subtopic, topic or zone."""
     like = lambda c: F.lower(c).contains(text.lower())
-    rows = enriched.where(like("preview") | like("subtopic") | like("topic"))
-    return rows if difficulty is None else rows.where(F.col("difficulty") == difficulty)
+    hit = like("question_text") | like("subtopic") | like("topic")
+    if game_type is not None:
+        hit = hit & (F.col("game_type") == game_type)
+    if text.isascii() and text.isdigit():
+        hit = hit | (F.col("question_id").cast("string") == (text.lstrip("0") or "0"))
+    if difficulty is not None:
+        equal["difficulty"] = difficulty
+    rows = rows.where(hit)
+    for column, value in equal.items():
+        rows = rows.where(F.col(column) == value)
+    return (rows.where("not flagged") if unflagged else rows).selectExpr(*PREVIEW)
 
 
 def statistics(questions: DataFrame) -> DataFrame:
