@@ -6,8 +6,9 @@ which on they agree, as the pattern never looks back. If the overlap has no such
 left chunk is read on in windows of twice the length until it ends. Each piece is then merged by rank. Decoding lays the
 bytes of the ids end to end.
 
-Defined cases: a null text counts as empty and has no ids; repeated rows are each encoded; an id that is null or not in
-the vocabulary makes decoding fail.
+Defined cases: a null text counts as empty and has no ids; repeated rows are each encoded; an empty table gives an empty one;
+texts of any length are encoded whole, a slice of rows at a time, and decoded in pieces of ``DECODE_IDS``; an id that is null
+or not in the vocabulary makes decoding fail; columns of the input other than id and text play no part.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from gradeflow.llm._shared import row_slices
 CHUNK, OVERLAP = 16_384, 256
 #: Pieces that a worker keeps encoded. The store is emptied when full.
 STORE = 400_000
-DECODE_ROWS = 256
+#: Ids that are turned into bytes at once; index arrays take eight times those bytes.
+DECODE_IDS = 1 << 18
 SHORT, NONE = 48, 1 << 60
 
 
@@ -167,17 +169,32 @@ def encode_batch(column: pa.Array, path: str, pattern: str, chunk: int = CHUNK,
 
 def decode_batch(column: pa.Array, path: str, pattern: str) -> pa.Array:
     vocab = vocabulary(path, pattern)
-    parts = []
-    for low in range(0, len(column), DECODE_ROWS):
-        rows = column.slice(low, DECODE_ROWS)
-        offsets, ids = rows.offsets.to_numpy(), rows.flatten()
-        if ids.null_count:
-            raise ValueError("an id is null")
-        data, ends = vocab.joined(ids.to_numpy())
-        edges = ends[offsets - offsets[0]]
-        # a null row has no ids in flatten(), so its edges can't be told from an empty row's; the mask restores it
-        out = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)])
-        parts.append(pc.if_else(rows.is_valid(), out, None).cast(pa.binary()))
+    ids = column.flatten()
+    if ids.null_count:
+        raise ValueError("an id is null")
+    ids = ids.to_numpy()
+    # a null row has no ids in flatten(), and its edges are those of an empty row; the mask restores it
+    edges = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)))
+    data, sizes = [], []
+    for low in range(0, len(ids), DECODE_IDS):
+        part, ends = vocab.joined(ids[low : low + DECODE_IDS])
+        data.append(part)
+        sizes.append(np.diff(ends))
+    flat = np.concatenate(data) if data else np.zeros(0, np.uint8)
+    ends = np.append(0, np.cumsum(np.concatenate(sizes))) if sizes else np.zeros(1, np.int64)
+    out = pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(ends[edges].astype(np.int64)), pa.py_buffer(flat)])
+    return pc.if_else(column.is_valid(), out, None)
+
+
+def binary_batches(column: pa.Array, path: str, pattern: str) -> pa.Array:
+    """The same for a batch that Spark sent, which has to be of its binary type: rows in slices of about a million ids."""
+    edges = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    parts, start = [], 0
+    while start < len(column):
+        base = edges[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(edges, base + 4 * DECODE_IDS, side="right")))
+        parts.append(decode_batch(column.slice(start, stop - start), path, pattern).cast(pa.binary()))
+        start = stop
     return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
 
@@ -198,7 +215,7 @@ def decoded(ids: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            yield decode_batch(column, path, pattern)
+            yield binary_batches(column, path, pattern)
 
     return decode(ids)
 

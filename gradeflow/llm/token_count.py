@@ -4,13 +4,16 @@ Two transducers do the work. The first splits text into pre-tokens: it reads one
 transitions say whether a pre-token begins there. A batch of texts is cut into lanes of equal length; each lane is run
 from every state at once, which gives a map from the state before to the state after it; the maps compose by a parallel
 prefix scan, which gives the state each lane begins in; a second run from that state marks where pre-tokens begin. The
-second transducer counts tokens inside a pre-token: it reads bytes and keeps, for each prefix, the last token of the
-prefix's encoding, which the tokens that may follow one another determine; each transition is annotated with the change
-of the number of tokens emitted, so the sum along a pre-token is its count. Transitions are compiled as texts need them,
-and the counts of whole pre-tokens are kept by 128-bit hash.
-
-Defined cases: a null text counts as empty: 0 bytes, 0 tokens; repeated rows are each counted. A special token's string
-inside a text is one token and splits the text, as the library does by default.
+second transducer counts tokens: it reads the bytes of a pre-token, its states hold the last token of the encoding of each
+recent prefix, which decides what the tokens that may follow one another are, and each transition is annotated with the
+change of the number of tokens emitted. Transitions are compiled as texts need them. A pre-token begins in the start state
+whatever came before, so all pre-tokens of a slice are lanes that run in step, and the sums along them, composed by a prefix
+sum, are the counts. States are told apart by what they hold, never by a hash of it.
+
+Defined cases: a null text counts as empty: 0 bytes, 0 tokens; repeated rows are each counted; an empty table gives an empty
+one; texts of any length are read whole, in slices of rows, and a single pre-token of many bytes runs by itself, a step a
+byte; other columns of the input play no part, whatever their names. A special token's string inside a text is one token and
+splits the text, as the library does by default.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from gradeflow.llm._shared import row_slices, text_buffer
 
 RESULT = "struct<n_bytes:bigint,n_tokens:bigint>"
 LANES = 4096
-TABLE_BITS = 20
-KEPT = 300_000  # entries of a worker's stores, which are emptied when full
+TABLE_BITS = 21
+KEPT = 400_000  # states of a worker's transducer, which is compiled afresh when full
 
 # Character classes. An apostrophe that a contraction follows, and white space, are told apart by what comes next.
 (LETTER, NUMBER, OTHER, PAIR, TRIPLE, SPACE_LAST, BLANK_LAST, BLANK_MORE) = range(8)
@@ -40,6 +43,7 @@ STAY = 16  # the bytes inside a character, and padding
 CLOSED, LETTERS, NUMBERS, OTHERS, SPACE, BLANKS, ONE_MORE, TWO_MORE = range(8)
 STATES = 8
 NONE = 1 << 60
+UNKNOWN = -(1 << 30)
 
 
 def compiled_splitter() -> tuple[np.ndarray, np.ndarray]:
@@ -146,14 +150,19 @@ class Counter:
         self.longest = max(map(len, self.tokens))
         self.specials = [t["content"].encode() for t in data["added_tokens"]]
         self.follows: dict[tuple[bytes, bytes], bool] = {}
-        self.counts: dict[bytes, int] = {}
-        rng = np.random.default_rng(7)
-        self.letter = rng.integers(1, 1 << 62, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-        self.inverse = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in self.base)
-        self.known = np.zeros((2, 1 << TABLE_BITS), np.uint64)
-        self.value = np.full(1 << TABLE_BITS, -1, np.int32)
-        self.powers: list[np.ndarray] = []
+        self.byte = [bytes([k]) for k in range(256)]
+        self.reset()
+
+    def reset(self) -> None:
+        """The start state alone: no bytes read."""
+        self.states: dict[tuple[bytes, bytes], int] = {(b"", b""): 0}
+        self.holds: list[tuple[bytes, bytes]] = [(b"", b"")]
+        self.total = [0]  # tokens of a state's whole prefix, -1 where it holds the prefix's end alone
+        self.moves: dict[int, tuple[int, int]] = {}
+        # a table of transitions that many lanes look into at once; moves has them all
+        self.key = np.full(1 << TABLE_BITS, -1, np.int64)
+        self.next = np.zeros(1 << TABLE_BITS, np.int32)
+        self.gain = np.zeros(1 << TABLE_BITS, np.int32)
 
     def may_follow(self, left: bytes, right: bytes) -> bool:
         """Whether the merges leave two neighbouring tokens as they are."""
@@ -180,61 +189,82 @@ class Counter:
                 joint[i - 1] = rank((parts[i - 1], parts[i]), NONE)
         return parts
 
-    def emissions(self, piece: bytes) -> Iterator[int]:
-        """For each byte read, the change of the number of tokens."""
-        last: list[bytes] = []
-        counts: list[int] = []
-        for end in range(1, len(piece) + 1):
-            for begin in range(max(0, end - self.longest), end):
-                token = piece[begin:end]
-                if token in self.tokens and (not begin or self.may_follow(last[begin - 1], token)):
+    def move(self, key: int) -> tuple[int, int]:
+        """The transition from state key >> 8 by byte key & 255: the state after it, and the change of the number of tokens.
+        A state holds the last bytes read, as many as a token can have, and how long the last token of each prefix is that
+        ends at one of them."""
+        found = self.moves.get(key)
+        if found is not None:
+            return found
+        old = key >> 8
+        read, lasts = self.holds[old]
+        read += self.byte[key & 255]
+        n, tokens, follows = len(read), self.tokens, self.follows
+        for begin in range(max(0, n - self.longest), n):
+            token = read[begin:]
+            if token in tokens:
+                if not begin:
                     break
-            last.append(token)
-            counts.append(1 + (counts[begin - 1] if begin else 0))
-            yield counts[-1] - (counts[-2] if end > 1 else 0)
-
-    def count(self, piece: bytes) -> int:
-        found = self.counts.get(piece)
-        if found is None:
-            if len(self.counts) > KEPT:
-                self.counts.clear()
-            found = 1 if piece in self.tokens else sum(self.emissions(piece))
-            if len(piece) <= 64:
-                self.counts[piece] = found
+                pair = (read[begin - lasts[begin - 1] : begin], token)
+                fits = follows.get(pair)
+                if self.may_follow(*pair) if fits is None else fits:
+                    break
+        lasts += self.byte[n - begin]
+        cut = n > 2 * self.longest
+        hold = (read[-2 * self.longest :], lasts[-2 * self.longest :]) if cut else (read, lasts)
+        at, steps = begin, 1
+        if self.total[old] >= 0 and not cut:  # the whole prefix is held, so its tokens can be counted
+            while at > 0:
+                at -= lasts[at - 1]
+                steps += 1
+            total, gain = steps, steps - self.total[old]
+        else:  # tokens after this byte less those before it, by way of the last prefix that both go on from
+            total, gain, chain, back = -1, UNKNOWN, {}, n - 1
+            while back > 0:
+                chain[back] = len(chain)
+                back -= lasts[back - 1]
+            while at > 0 and at not in chain:
+                at -= lasts[at - 1]
+                steps += 1
+            if at in chain:  # else they meet further back than the state holds, and the piece is merged by itself
+                gain = steps - chain[at]
+        state = self.states.get(hold)
+        if state is None:
+            state = self.states[hold] = len(self.holds)
+            self.holds.append(hold)
+            self.total.append(total)
+        self.moves[key] = found = (state, gain)
         return found
 
-    def prefix(self, buffer: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all prefixes, and powers of the inverse base."""
-        n = len(buffer)
-        if len(self.powers) < 4 or len(self.powers[0]) <= n:
-            size = n + n // 4 + 1
-            self.powers = []
-            for b in (*self.base, *self.inverse):
-                p = np.full(size, b, np.uint64)
-                p[0] = 1
-                self.powers.append(np.multiply.accumulate(p))
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.letter[which][buffer] * self.powers[which][:n], out=sums[1:])
-        return sums, self.powers[2 + which]
-
     def of_pieces(self, buffer: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Tokens of each piece buffer[begin:end]."""
-        keys = []
-        for which in (0, 1):
-            sums, back = self.prefix(buffer, which)
-            h = (sums[end] - sums[begin]) * back[begin]
-            h ^= h >> np.uint64(29)
-            keys.append(h * np.uint64(0xBF58476D1CE4E5B9) + (end - begin).astype(np.uint64))
-        slot = (keys[0] >> np.uint64(64 - TABLE_BITS)).astype(np.intp)
-        out = self.value[slot].astype(np.int64)
-        miss = np.flatnonzero((self.known[0][slot] != keys[0]) | (self.known[1][slot] != keys[1]) | (out < 0))
-        if len(miss):
-            _, at, back = np.unique(keys[0][miss], return_index=True, return_inverse=True)
-            data = buffer.tobytes()
-            some = miss[at]
-            counts = np.fromiter((self.count(data[a:b]) for a, b in zip(begin[some].tolist(), end[some].tolist(), strict=True)), np.int64, len(some))
-            out[miss] = counts[back]
-            self.known[0][slot[some]], self.known[1][slot[some]], self.value[slot[some]] = keys[0][some], keys[1][some], counts
+        """Tokens of each piece buffer[begin:end]: all pieces run through the transducer in step."""
+        if len(self.holds) > KEPT:
+            self.reset()
+        order = np.argsort(begin - end, kind="stable")  # the longest first, so that those still running stand in front
+        size = (end - begin)[order]
+        at = begin[order].copy()
+        state, count = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        live = len(order)
+        # of so many pieces, how many have more than k bytes
+        lasting = np.searchsorted(-size, -np.arange(int(size[0]) if live else 0), side="left")
+        for live in lasting.tolist():
+            key = (state[:live] << 8) | buffer[at[:live]]
+            slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.intp)
+            miss = np.flatnonzero(self.key[slot] != key)
+            after, gain = self.next[slot].astype(np.int64), self.gain[slot]
+            if len(miss):
+                some, back = np.unique(key[miss], return_inverse=True)
+                found = np.array([self.move(k) for k in some.tolist()], np.int64).reshape(-1, 2)
+                after[miss], gain[miss] = found[back, 0], found[back, 1]
+                self.key[slot[miss]], self.next[slot[miss]], self.gain[slot[miss]] = key[miss], after[miss], gain[miss]
+            state[:live] = after
+            count[:live] += gain
+            at[:live] += 1
+        for k in np.flatnonzero(count < 0).tolist():
+            a = int(begin[order[k]])
+            count[k] = len(self.merged(buffer[a : a + int(size[k])].tobytes()))
+        out = np.empty(len(order), np.int64)
+        out[order] = count
         return out
 
 

@@ -32,6 +32,38 @@ def test_counts():
     assert [int(token_count.count_slice(pa.array([t]), model)[1][0]) for t in all_[::7]] == want[::7]
 
 
+def test_colliding_words():
+    """Thue-Morse words and their complements, on which sums of letters' powers collide, and pieces longer than a state."""
+    lib, model = Tokenizer.from_file(JSON), token_count.counter(JSON)
+    words = []
+    for x, y in ("an", "th", "er", "ab", "xy"):
+        for size in (8, 16, 256, 1024, 2048):
+            word = "".join((x, y)[bin(i).count("1") & 1] for i in range(size))
+            words += [word, word.translate(str.maketrans(x + y, y + x))]
+    rng = random.Random(9)
+    words += ["".join(rng.choice("aeinst") for _ in range(3000)), "ab" * 3000, "-" * 3001, "=-" * 999 + "=", "\n" * 3000]
+    want = [len(e.ids) for e in lib.encode_batch(words, add_special_tokens=False)]
+    assert token_count.count_slice(pa.array(words), model)[1].tolist() == want
+    assert [int(token_count.count_slice(pa.array([w]), model)[1][0]) for w in reversed(words)] == want[::-1]
+
+
+def test_small_store(monkeypatch):
+    """Counts stay right when the transducer is compiled afresh all the time."""
+    monkeypatch.setattr(token_count, "KEPT", 50)
+    lib, model, all_ = Tokenizer.from_file(JSON), token_count.Counter(JSON), texts()[:60]
+    got = [int(token_count.count_slice(pa.array([t]), model)[1][0]) for t in all_]
+    assert got == [len(e.ids) for e in lib.encode_batch(all_, add_special_tokens=False)]
+
+
+def test_no_rows_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "one two", "x"), (1, "one two", "x"), (None, None, None)], "doc_id long, text string, found string").withColumn("n_tokens", pytest.importorskip("pyspark.sql.functions").lit(7))
+    got = sorted(map(tuple, token_count.token_count_digest(docs, JSON).collect()), key=str)
+    assert got == [(1, 7, 2, False), (1, 7, 2, False), (None, 0, 0, False)]
+    assert token_count.token_count_digest(docs.where("false"), JSON).count() == 0
+    assert bpe.encoding_digest(docs.where("false"), RANKS, public_tokenizers.PATTERN).count() == 0
+    assert bpe.encoding_digest(docs, RANKS, public_tokenizers.PATTERN).where("doc_id is null").first()["n_tokens"] == 0
+
+
 def test_tokens_stand_alone():
     """Every token's own bytes encode to that token, which the transducer's transitions rest on."""
     model = token_count.counter(JSON)
