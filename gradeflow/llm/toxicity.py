@@ -4,7 +4,8 @@ Confirmed toxic examples (positives) and unlabelled text train a linear classifi
 risk is the class-prior-corrected one: prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss. Where a
 batch's corrected negative part falls below zero, the step goes against its gradient instead, so that the classifier can't
 push the estimate below what is possible. Several classifiers start from different orders of the sample, and their
-margins are averaged; the bias is then set so that about the prior's share of the unlabelled sample counts as toxic.
+margins are averaged. The bias of the average is the cut of least risk by the same estimator, with errors counted instead
+of the logistic loss; of cuts of equal risk, the one in the widest gap between margins.
 
 Features are a text's distinct words (ASCII letters in lower case) and their prefixes of 4 and 5 bytes, hashed to 2**18
 weights. Features of a text count once, however long it is, and a weight is shrunk towards zero, so what carries no sign
@@ -15,8 +16,10 @@ hash of their id. The class prior is counted over all labelled rows that may be
 reach the driver. Scores are computed for all rows, over whole texts.
 
 Defined cases: null counts as empty; wordless texts are scored by the bias alone; repeated rows get the same score; rows
-with a null id or label are no examples; a document with several labels is toxic if one says so; without positives or
-without unlabelled text, every score is 0.
+with a null id or label are no examples, and a null id isn't held out; a document with several labels is toxic if one says
+so; where no feature tells the classes apart, every score is the prior, at most just under one half, so that nothing counts
+as toxic; without positives or without unlabelled text, every score is 0; an empty table gives an empty one; texts of any length
+are read whole; columns of the input other than id and text play no part.
 """
 
 from __future__ import annotations
@@ -38,9 +41,6 @@ EPOCHS, BATCH, MODELS, RATE, SHRINK = 12, 128, 3, 0.02, 2e-4
 PRIOR = 0.1
 #: Features that tell the classes apart by less than this many standard errors on the sample stay out.
 LEAST_Z = 4.0
-#: How far the share of unlabelled text that counts as toxic may be from the prior, as a part of it.
-SLACK = 0.25
-
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
@@ -152,16 +152,29 @@ def trained(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: flo
     positive, unlabelled = ([x[use[x]] for x in rows] for rows in (positive, unlabelled))
     models = [fitted(positive, unlabelled, prior, seed) for seed in range(MODELS)]
     weights = np.mean([w for w, _ in models], axis=0)
-    at = np.sort([weights[x].sum() for x in unlabelled])
-    # the bias goes into the widest gap between margins around the rank that the prior gives
-    first, last = (min(len(at) - 1, max(1, round(len(at) * (1 - x * prior)))) for x in (1 + SLACK, 1 - SLACK))
-    k = first + int(np.argmax(np.diff(at[first - 1 : last + 1])))
-    return Model(weights, -float(at[k - 1] + at[k]) / 2)
+    p, u = (np.array([weights[x].sum() for x in rows]) for rows in (positive, unlabelled))
+    cut = least_risk(p, u, prior)
+    if cut is None:
+        return Model(np.zeros_like(weights), float(np.log(min(prior, 0.499) / (1 - min(prior, 0.499)))))
+    return Model(weights, -cut)
+
+
+def least_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float | None:
+    """The margin from which on text counts as toxic at the least non-negative risk; None if all margins are equal."""
+    levels = np.unique(np.concatenate([positive, unlabelled]))
+    if len(levels) < 2:
+        return None
+    cuts = (levels[1:] + levels[:-1]) / 2
+    caught = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
+    marked = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
+    risk = prior * (1 - caught) + np.maximum(0, marked - prior * caught)
+    best = np.flatnonzero(risk <= risk.min() + 1e-9)
+    return float(cuts[best[np.argmax(np.diff(levels)[best])]])
 
 
 def held_out(key: Column) -> Column:
     """The fifth of the ids that nothing is learnt from."""
-    return F.pmod(F.crc32(key.cast("string")), F.lit(5)) == 0
+    return F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
 def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", usable: Column | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
