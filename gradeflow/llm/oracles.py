@@ -65,7 +65,7 @@ live AS (SELECT *, CASE WHEN regexp_full_match(match, '[0-9a-fA-F]+') THEN 3 ELS
 windows AS (SELECT doc_id, start AS origin, kind, start + j AS start, substr(match, j + 1, {secrets.WINDOW}) AS w
   FROM (SELECT *, unnest(range(0, length(match) - {secrets.WINDOW} + 1)) AS j FROM live) x),
 good AS (SELECT * FROM windows WHERE list_sum(list_transform(list_distinct(string_split(w, '')), lambda x: {WEIGHTS}[length(w) - length(replace(w, x, '')) + 1]))
-  <= CASE kind WHEN 3 THEN {secrets.LIMITS["entropy_hex"]} ELSE {secrets.LIMITS["entropy_base64"]} END),
+  <= CASE kind WHEN 3 THEN {secrets.LIMITS["entropy_hex"]} ELSE {secrets.LIMITS["entropy_base64"]} END AND NOT regexp_matches(w, {quoted(secrets.PLACEHOLDER)})),
 marked AS (SELECT *, CASE WHEN start - lag(start) OVER (PARTITION BY doc_id, origin ORDER BY start) <= {secrets.WINDOW} THEN 0 ELSE 1 END AS new FROM good),
 numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, origin ORDER BY start ROWS UNBOUNDED PRECEDING) AS run FROM marked),
 runs AS (SELECT doc_id, min(start) AS start, max(start) + {secrets.WINDOW} AS stop, min(kind) AS kind FROM numbered GROUP BY doc_id, origin, run),

@@ -106,7 +106,7 @@ def entropy_spans(text):
         runs = []
         for k in range(len(c) - secrets.WINDOW + 1):
             w = c[k : k + secrets.WINDOW]
-            if sum(secrets.weight(w.count(x)) for x in set(w)) <= secrets.LIMITS[kind]:
+            if sum(secrets.weight(w.count(x)) for x in set(w)) <= secrets.LIMITS[kind] and not re.search(secrets.PLACEHOLDER, w):
                 if runs and runs[-1][1] >= k:
                     runs[-1][1] = k + secrets.WINDOW
                 else:
@@ -120,7 +120,9 @@ def test_secrets(spark):
     alphabet = "0123456789abcdefABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz+/_=-"
     texts = [None, "", "token=short secret=token: abcdefgh", "é😀 PASSWORD : 'abcDEF1'", "AKIA" + "A1" * 8, "AKIA" + "A1" * 7, "token=abcdefgh," * 700, "f" * 23, "deadbeef" * 3]
     texts += ["".join(rng.choice(alphabet[:62] if rng.random() < 0.9 else " é\n") for _ in range(rng.randint(0, 200))) for _ in range(60)]
-    texts += ["x " + "".join(rng.choice(alphabet) for _ in range(n)) + " api_key = zzzzzz9" for n in (19, 20, 21, 40, 900)]
+    texts += ["x " + "".join(rng.choice(alphabet) for _ in range(n)) + " api_key = zzzzzz9" for n in (19, 20, 21, 40, 900, secrets.STRETCH + 18, secrets.STRETCH + 19, 7000)]
+    texts += ["sample_key=" + "".join(rng.choice(alphabet[:62]) for _ in range(60)), "".join(rng.choice(alphabet[:16]) + ("0000" if k % 40 == 0 else "") for k in range(3000))]
+    texts += ["".join(rng.choice(alphabet) if k // 300 % 2 else "a" for k in range(6000)) + "9"]
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
     got = {r["doc_id"]: r for r in secrets.secret_digest(df).collect()}
     added = 0
@@ -137,6 +139,27 @@ def test_secrets(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_long_candidate(spark):
+    """One candidate of 60,000 characters takes seconds, and an empty table gives an empty one."""
+    import time
+
+    rng = random.Random(8)
+    alphabet = "0123456789abcdefABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz+/"
+    df = spark.createDataFrame([(1, "".join(rng.choices(alphabet, k=60_000)))], "doc_id long, text string")
+    began = time.time()
+    spans = secrets.secret_digest(df).first()["spans"].split(",")
+    assert time.time() - began < 60
+    assert sum(int(b) - int(a) for _, a, b in (s.split(":") for s in spans if s.startswith("entropy"))) > 54_000
+    assert secrets.secret_digest(df.where("false")).count() == 0
+
+
+def test_masking_of_many(spark):
+    text = "".join(f"é{k} token=abc{k:05}\n" for k in range(3000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = secrets.redacted(secrets.with_secret_spans(df)).first()["text"]
+    assert got == re.sub("token=abc[0-9]{5}", "[secret]", text)
+
+
 def test_masking(spark):
     df = spark.createDataFrame([(1, 'é token = "abcdef123" end'), (2, None), (3, "plain")], "doc_id long, text string")
     got = secrets.redacted(secrets.with_secret_spans(df)).orderBy("doc_id").collect()
