@@ -4,21 +4,24 @@ Texts are brought to the form " w1 w2 ... wn " (ASCII letters in lower case, wor
 beyond ASCII), in which a window of words is a plain byte string with a space at either end. The search keeps Wu and
 Manber's tables: a shift table over blocks of bytes says how far a window of the text can move because its last block
 occurs in no pattern, or only further to the left; where the shift is zero, the suffix block's bucket gives the patterns
-to try, and a direct comparison of the bytes confirms each. A batch of texts is cut into lanes whose pointers move in
-step, so that each step is one lookup over all lanes.
+to try. Blocks are longer and the table is larger the more patterns there are. Inside a bucket, patterns stand in order of
+their first bytes, so that only those which begin like the text are tried, and a direct comparison of the bytes confirms
+each. A batch of texts is cut into lanes whose pointers move in step, so that each step is one lookup over all lanes.
 
-The patterns of one pass are bounded by ``PASS_BYTES``; larger benchmarks are split by a hash of their windows into as
-many passes over each batch as needed, and a task holds the tables of one pass at a time.
+Patterns are places in the benchmark's text, never copies of it. A pass holds at most ``PASS_BYTES`` of the benchmark; larger
+benchmarks are split by a hash of their items into as many passes over each batch as needed, and a task holds the tables of
+one pass at a time.
 
 Defined cases: null and wordless texts have no words and are never hit; null or wordless items, and items with a null id,
-have no windows; repeated items count once by id, with the windows of all their rows; an empty benchmark hits nothing.
+have no windows; repeated items count once by id, with the windows of all their rows; an empty benchmark hits nothing, and an
+empty table gives an empty one; texts of any length are searched whole.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +32,13 @@ from pyspark.sql import functions as F
 from gradeflow.llm._shared import row_slices, text_buffer
 
 WINDOW_WORDS = 10
-#: Bytes of patterns that one pass searches for; what a broadcast holds is bounded by it.
-PASS_BYTES = 32 << 20
+#: Bytes of the benchmark that one pass searches for; what a broadcast holds is bounded by it.
+PASS_BYTES = 16 << 20
 #: Lower bounds of the classes of pattern length. Each class has tables of its own, as the shortest pattern limits the shifts.
 CLASSES = (0, 8, 16, 32, 64)
-TABLE_BITS = 18
+TABLE_BITS = (16, 23)
+#: Positions that are verified together.
+VERIFY = 1 << 16
 LANES = 1024
 RESULT = "struct<n_words:bigint,hit_runs:array<struct<start:bigint,end:bigint>>,items:array<string>>"
 
@@ -75,106 +80,118 @@ def normalized(buffer: np.ndarray, offsets: np.ndarray) -> Normal:
     return Normal(out.tobytes(), starts, first)
 
 
-@dataclass
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
 class Class:
-    """Wu-Manber tables for patterns of similar length."""
-
-    patterns: list[bytes]
-    length: int = 0  # of the shortest
-    block: int = 0
-    shift: np.ndarray = field(default=None)
-    order: np.ndarray = field(default=None)  # patterns by the hash of their suffix block
-    bucket: np.ndarray = field(default=None)  # offsets into order, by hash
-
-    def __post_init__(self) -> None:
-        self.length = min(map(len, self.patterns))
-        self.block = 4 if self.length >= 16 else min(2, self.length)
-        heads = np.frombuffer(b"".join(p[: self.length] for p in self.patterns), np.uint8).reshape(-1, self.length)
-        self.shift = np.full(1 << TABLE_BITS, self.length - self.block + 1, np.int32)
-        for end in range(self.block, self.length + 1):
-            codes = self.hashed(heads[:, end - self.block : end])
-            np.minimum.at(self.shift, codes, self.length - end)
-        codes = self.hashed(heads[:, self.length - self.block :])
-        self.order = np.argsort(codes, kind="stable")
-        self.bucket = np.searchsorted(codes[self.order], np.arange((1 << TABLE_BITS) + 1))
-
-    def hashed(self, blocks: np.ndarray) -> np.ndarray:
-        code = np.zeros(len(blocks), np.uint32)
-        for k in range(blocks.shape[1]):
-            code |= blocks[:, k].astype(np.uint32) << np.uint32(8 * k)
-        return (code * np.uint32(2654435761)) >> np.uint32(32 - TABLE_BITS)
-
-    def search(self, data: bytes) -> tuple[list[int], list[int]]:
-        """Positions, and patterns that begin there."""
+    """Wu-Manber tables for patterns of similar length: bytes text[start : start + size]."""
+
+    def __init__(self, text: bytes, start: np.ndarray, size: np.ndarray):
+        self.text, self.start, self.size = text, start, size
+        self.length = int(size.min())
+        volume = len(start) * self.length
+        self.block = 8 if self.length >= 32 and volume > 1 << 18 else 4 if self.length >= 16 else min(2, self.length)
+        low, high = TABLE_BITS
+        self.bits = min(high, max(low, volume.bit_length() + 1))
+        codes_at = self.codes(text)
+        self.shift = np.full(1 << self.bits, self.length - self.block + 1, np.int16 if self.length < 1 << 15 else np.int32)
+        for end in range(self.block, self.length + 1):  # from left to right, so that the smallest shift is the last written
+            self.shift[codes_at(start + end - self.block)] = self.length - end
+        key = self.key(codes_at(start + self.length - self.block), text, start)
+        self.order = np.argsort(key, kind="stable")
+        self.keys = key[self.order]
+
+    def codes(self, data: bytes):
+        """A function from places in data to the hash of the block there."""
+        kind = {8: "<u8", 4: "<u4", 2: "<u2", 1: "u1"}[self.block]
+        blocks = np.ndarray(len(data) - self.block + 1, kind, data, strides=(1,))
+        return lambda at: ((blocks[at].astype(np.uint64) * _ODD) >> np.uint64(64 - self.bits)).astype(np.intp)
+
+    def key(self, code: np.ndarray, data: bytes, at: np.ndarray) -> np.ndarray:
+        """Suffix block's bucket, and a hash of the first bytes to order it by."""
+        width = 8 if self.length >= 8 else 2 if self.length >= 2 else 1
+        heads = np.ndarray(len(data) - width + 1, {8: "<u8", 2: "<u2", 1: "u1"}[width], data, strides=(1,))[at].astype(np.uint64)
+        return (code.astype(np.uint64) << np.uint64(64 - self.bits)) | ((heads * _ODD) >> np.uint64(self.bits))
+
+    def search(self, data: bytes) -> Iterator[tuple[int, int]]:
+        """Positions, and numbers of patterns that begin there."""
         n = len(data) - self.length + 1
         if n <= 0:
-            return [], []
-        kind = np.dtype("<u4") if self.block == 4 else np.dtype("<u2") if self.block == 2 else np.dtype("u1")
-        blocks = np.ndarray(len(data) - self.block + 1, kind, data, strides=(1,))
+            return
+        code_of = self.codes(data)
         tail = self.length - self.block
         step = -(-n // LANES)
         at = np.arange(0, n, step)
         stop = np.minimum(at + step, n)
-        found = []
+        found, waiting = [], 0
         while len(at):
-            code = (blocks[at + tail].astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - TABLE_BITS)
+            code = code_of(at + tail)
             move = self.shift[code]
             zero = np.flatnonzero(move == 0)
             if len(zero):
                 found.append((at[zero], code[zero]))
+                waiting += len(zero)
+                if waiting >= VERIFY:
+                    yield from self.verified(data, found)
+                    found, waiting = [], 0
             at = at + np.maximum(move, 1)
             live = at < stop
             if not live.all():
                 at, stop = at[live], stop[live]
-        if not found:
-            return [], []
+        if found:
+            yield from self.verified(data, found)
+
+    def verified(self, data: bytes, found: list) -> Iterator[tuple[int, int]]:
         places, codes = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-        low, many = self.bucket[codes], self.bucket[codes + 1] - self.bucket[codes]
-        pairs = np.repeat(np.arange(len(places)), many)
-        index = np.arange(len(pairs)) - np.repeat(np.cumsum(many) - many, many) + low[pairs]
-        which, where = self.order[index], places[pairs]
-        if self.length >= 8 and len(which):  # the first bytes rule most of a bucket out at once
-            heads = np.frombuffer(b"".join(p[:8] for p in self.patterns), "<u8")
-            same = heads[which] == np.ndarray(len(data) - 7, "<u8", data, strides=(1,))[where]
-            which, where = which[same], where[same]
-        hits = [(p, k) for p, k in zip(where.tolist(), which.tolist(), strict=True) if data.startswith(self.patterns[k], p)]
-        return [p for p, _ in hits], [k for _, k in hits]
+        key = self.key(codes, data, places)
+        low, high = np.searchsorted(self.keys, key, side="left"), np.searchsorted(self.keys, key, side="right")
+        some = np.flatnonzero(high > low)
+        for place, a, b in zip(places[some].tolist(), low[some].tolist(), high[some].tolist(), strict=True):
+            for k in self.order[a:b].tolist():
+                begin = int(self.start[k])
+                if data.startswith(self.text[begin : begin + int(self.size[k])], place):
+                    yield place, k
 
 
 class Matcher:
-    """All classes of one pass. Patterns: byte string in normal form -> ids of the items that hold it."""
-
-    def __init__(self, patterns: dict[bytes, list[str]]):
-        self.owners = patterns
-        parts: dict[int, list[bytes]] = {}
-        for p in sorted(patterns):
-            parts.setdefault(max(c for c in CLASSES if c <= len(p)), []).append(p)
-        self.classes = [Class(x) for x in parts.values()]
-
-    def matches(self, data: bytes) -> Iterator[tuple[int, bytes]]:
-        for c in self.classes:
-            for place, k in zip(*c.search(data), strict=True):
-                yield place, c.patterns[k]
-
-
-def item_windows(texts: list[str], words: int = WINDOW_WORDS) -> list[list[bytes]]:
-    """The windows of each text in normal form: runs of ``words`` words, or all its words if there are fewer."""
-    normal = normalized(*text_buffer(pa.array(texts, pa.string())))
-    out = []
-    for a, b in zip(normal.first[:-1], normal.first[1:], strict=True):
-        edge = normal.starts[a:b].tolist()
-        if b > a:
-            last = normal.data.index(b" ", edge[-1]) + 1
-            edge.append(last)
-        n = len(edge) - 1
-        out.append([normal.data[edge[i] - 1 : edge[min(i + words, n)]] for i in range(max(1, n - words + 1))] if n > 0 else [])
-    return out
+    """All classes of one pass over a benchmark's items: (id, text)."""
+
+    def __init__(self, items: list[tuple[str, str]], words: int):
+        normal = normalized(*text_buffer(pa.array([t for _, t in items], pa.string())))
+        ends = np.append(normal.starts, len(normal.data))
+        count = np.diff(normal.first)
+        windows = np.where(count > 0, np.maximum(1, count - words + 1), 0)
+        item = np.repeat(np.arange(len(items)), windows)
+        first = np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows) + normal.first[item]
+        last = np.minimum(first + words, normal.first[item + 1]) - 1
+        begin = normal.starts[first] - 1
+        # a word ends with the space in front of the next one; an item's last word, where the next item's own space begins
+        inner = last + 1 < normal.first[item + 1]
+        after = ends[np.minimum(last + 1, len(ends) - 1)]
+        end = np.where(inner | (after == len(normal.data)), after, after - 1) if len(item) else after
+        self.ids = [i for i, _ in items]
+        self.words = last - first + 1
+        self.item = item
+        size = end - begin
+        kind = np.searchsorted(np.array(CLASSES), size, side="right")
+        self.classes = [(np.flatnonzero(kind == k), Class(normal.data, begin[kind == k], size[kind == k])) for k in np.unique(kind)]
+
+    def matches(self, data: bytes) -> Iterator[tuple[int, int, str]]:
+        """Places, words and item ids of all occurrences."""
+        for numbers, c in self.classes:
+            for place, k in c.search(data):
+                own = int(numbers[k])
+                yield place, int(self.words[own]), self.ids[self.item[own]]
 
 
 def search_batch(column: pa.Array, passes: list[Broadcast]) -> pa.Array:
-    """Words, runs of hit words and items found, for each text."""
-    parts = [search_slice(column.slice(a, b - a), passes) for a, b in row_slices(column)]
-    return pa.concat_arrays(parts) if parts else pa.array([], pa_type())
+    """Words, runs of hit words and items found, for each text. All slices of a batch go through a pass before the next one."""
+    slices = [Found(column.slice(a, b - a)) for a, b in row_slices(column)]
+    for one in passes:
+        matcher = tables(one)
+        for part in slices:
+            part.search(matcher)
+    return pa.concat_arrays([part.result() for part in slices]) if slices else pa.array([], pa_type())
 
 
 def pa_type() -> pa.DataType:
@@ -186,24 +203,34 @@ _LOADED: list = [None, None]  # the pass whose tables this worker holds
 
 
 def tables(one: Broadcast) -> Matcher:
-    token, owners = one.value
+    token, items, words = one.value
     if _LOADED[0] != token:
-        _LOADED[:] = [token, Matcher(owners)]
+        _LOADED[:] = [token, Matcher(items, words)]
     return _LOADED[1]
 
 
-def search_slice(column: pa.Array, passes: list[Broadcast]) -> pa.Array:
-    normal = normalized(*text_buffer(column))
-    total = len(normal.starts)
-    edges = np.zeros(total + 1, np.int64)
-    items: list[set[str]] = [set() for _ in range(len(column))]
-    for one in passes:
-        matcher = tables(one)
-        for place, pattern in matcher.matches(normal.data):
+class Found:
+    """A slice of texts, and what passes have found in it."""
+
+    def __init__(self, column: pa.Array):
+        self.normal = normalized(*text_buffer(column))
+        self.edges = np.zeros(len(self.normal.starts) + 1, np.int64)
+        self.items: list[set[str]] = [set() for _ in range(len(column))]
+
+    def search(self, matcher: Matcher) -> None:
+        normal = self.normal
+        for place, words, item in matcher.matches(normal.data):
             word = int(np.searchsorted(normal.starts, place + 1))
-            edges[word] += 1
-            edges[word + pattern.count(b" ") - 1] -= 1
-            items[int(np.searchsorted(normal.first, word, side="right")) - 1].update(matcher.owners[pattern])
+            self.edges[word] += 1
+            self.edges[word + words] -= 1
+            self.items[int(np.searchsorted(normal.first, word, side="right")) - 1].add(item)
+
+    def result(self) -> pa.Array:
+        return as_array(self.normal, self.edges, self.items)
+
+
+def as_array(normal: Normal, edges: np.ndarray, items: list[set[str]]) -> pa.Array:
+    total = len(normal.starts)
     hit = np.cumsum(edges[:-1]) > 0
     begin = hit.copy()
     begin[1:] &= ~hit[:-1]
@@ -226,22 +253,17 @@ def search_slice(column: pa.Array, passes: list[Broadcast]) -> pa.Array:
 
 
 def pattern_passes(benchmark: DataFrame, item: str = "item_id", text: str = "text", words: int = WINDOW_WORDS, pass_bytes: int = PASS_BYTES) -> list[Broadcast]:
-    """Broadcasts of the benchmark's windows, each within ``pass_bytes``; one alone unless the benchmark is larger than that."""
+    """Broadcasts of the benchmark's items, each of about ``pass_bytes``; one alone unless the benchmark is larger than that."""
     spark = benchmark.sparkSession
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
-    # a window of w words repeats each of an item's bytes up to w times, and a table entry costs about 100 bytes more
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] * (words + 20)
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // pass_bytes))
     out = []
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        owners: dict[bytes, set[str]] = {}
-        found = part.collect()
-        for row, windows in zip(found, item_windows([r.text for r in found], words), strict=True):
-            for w in windows:
-                owners.setdefault(w, set()).add(row.item)
-        if owners:
-            out.append(spark.sparkContext.broadcast((uuid.uuid4().hex, {w: sorted(x) for w, x in owners.items()})))
+        items = sorted((r.item, r.text) for r in part.collect())
+        if items:
+            out.append(spark.sparkContext.broadcast((uuid.uuid4().hex, items, words)))
     return out
 
 
