@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from gradeflow.llm import minhash
+from gradeflow.llm import simhash_ring
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string"
@@ -45,14 +47,14 @@ def corpus():
 
 def test_groups_are_those_of_brute_force(spark):
     rows = corpus()
-    got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "component").collect()
+    got = simhash_ring.near_duplicates(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "component").collect()
     assert sorted(map(tuple, got), key=str) == sorted(plain_components(rows), key=str)
 
 
 def test_crowded_buckets_are_searched_by_blocks(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(simhash_ring, "BLOCK", 3)
     rows = corpus()
-    got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "component").collect()
+    got = simhash_ring.near_duplicates(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "component").collect()
     assert sorted(map(tuple, got), key=str) == sorted(plain_components(rows), key=str)
 
 
@@ -67,3 +69,25 @@ def test_rows_of_one_id_go_by_their_own_text(spark):
     rows = [(1, copied), (2, copied), (2, other), (2, other), (3, third), (3, other), (4, third), (4, copied), (None, other)]
     left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()
     assert sorted(map(tuple, left), key=str) == sorted([(1, copied), (2, other), (3, third), (None, other)], key=str)
+
+
+def test_filter_keeps_every_pair_within_the_limit():
+    """Rings that differ in at most the limit pass, however the differences are dealt; unrelated ones don't."""
+    rng = np.random.default_rng(2)
+    one = rng.integers(0, 1 << 63, simhash_ring.SEGMENTS, dtype=np.uint64)
+    others = []
+    for size in (0, 1, 100, 319, 320):
+        for spread in (16, 7, 5):
+            segments = rng.permutation(16)[:spread]
+            bits = rng.permutation(spread * 64)[:size]
+            other = one.copy()
+            for b in bits:
+                other[segments[b // 64]] ^= np.uint64(1) << np.uint64(b % 64)
+            others.append(other)
+    assert simhash_ring.within_ring(one, np.array(others)).all()
+    far = rng.integers(0, 1 << 63, (200, simhash_ring.SEGMENTS), dtype=np.uint64)
+    assert not simhash_ring.within_ring(one, far).any()
+
+
+def test_no_rows(spark):
+    assert simhash_ring.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0

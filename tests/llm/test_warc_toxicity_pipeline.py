@@ -70,6 +70,32 @@ def test_toxicity_without_labels(spark):
     assert {r["score"] for r in toxicity.toxicity_digest(docs, labels.where("false")).collect()} == {0.0}
 
 
+def test_toxicity_without_telling_features(spark):
+    """Labels that no word goes with mark nothing, and a null id isn't held out."""
+    docs = spark.createDataFrame([(i, f"the same few words {i % 3}") for i in range(300)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 5)) for i in range(300)], "doc_id long, toxic int")
+    rows = toxicity.toxicity_digest(docs, labels).collect()
+    assert {r["predicted"] for r in rows} == {0} and all(0 < r["score"] < 0.5 for r in rows)
+    assert [r["held_out"] for r in rows if r["doc_id"] is None] == [False]
+    assert toxicity.toxicity_digest(docs.where("false"), labels).count() == 0
+    assert corpus_pipeline.drop_toxic(spark, docs.where("doc_id is not null"), SF).count() == 300
+
+
+def test_run_end_to_end(spark, tmp_path):
+    """All stages one after another, on the smallest tables, with ids repeated over different texts, and on no documents."""
+    words = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(1, words("a", 40)), (2, words("a", 40)), (2, words("b", 40)), (3, 'token = "abcdef123" ' + words("c", 9)), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    kept = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] for r in kept), key=str) == [1, 2, 3, None]
+    assert all(r["n_tokens"] == len(r["ids"]) for r in kept)
+    docs.where("false").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_near_duplicate_stage(spark):
     base = " ".join(f"w{k}" for k in range(400))
     rows = [(5, base), (3, base), (9, base + " tail"), (7, "quite different text " * 9), (None, "alone it stands"), (3, base), (11, None)]
