@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeflow.llm import bpe, decontaminate, minhash, secrets, toxicity
+from gradeflow.llm import bpe, decontaminate, secrets, simhash_ring, toxicity
 from gradeflow.llm._shared import stored, table
 
 SHINGLE = 5
@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = stored(minhash.near_duplicates(docs, shingle=SHINGLE).where("doc_id is not null").distinct(), "groups")
+    found = stored(simhash_ring.near_duplicates(docs, shingle=SHINGLE).where("doc_id is not null").distinct(), "groups")
     # of each group one text of the smallest id stays; an id can stand on texts of several groups
     stays = found.groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("stays"))
     others = found.join(stays, "root").where(F.struct("doc_id", "hash") != F.col("stays")).select("doc_id", "hash")
