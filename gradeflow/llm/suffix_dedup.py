@@ -13,10 +13,16 @@ drops out at each step:
    around the q-gram holds one of the two.
 3. by the identifier of the string itself, for each of its offsets, in every bucket that is left.
 
-Identifiers are hashes, which buckets sort by and reuse at the next step. Equality is decided by at least 96 bits of
-hash. Exact copies of whole texts are found first by hash: a task sends the suffixes of a text once, however often it
-holds it. Sorted buckets are streamed; those of step 2 that have over ``CROWD`` suffixes are refined again, by identifiers
-of half as much more before or after, until they are small or one string is left, so no bucket has to fit anywhere.
+At every step, what shares the identifier of all that its open offsets can touch is settled there: each such suffix gives
+its range and leaves, and one of the class stays for others to be compared with. So identical surroundings count once, however
+many texts hold them, and only different surroundings of one string are refined further, at most two buckets a step for the
+two ends of a repeated range.
+
+Identifiers are hashes, which buckets sort by and reuse at the next step. They sum mixed words of eight bytes, so that no
+pattern of bytes makes them collide, and equality is decided by 128 bits: the bucket's and the identifier's own. Exact copies
+of whole texts are found first by hash: a task sends the suffixes of a text once, however often it holds it. Sorted buckets
+are streamed; those of step 2 that have over ``CROWD`` classes are refined again, by identifiers of half as much more before
+or after, until they are small or one string is left, so no bucket has to fit anywhere.
 
 Defined cases: null counts as the empty text; texts under 200 bytes keep everything; repeated rows are texts of their own
 and so remove one another; a null id is kept as it is.
@@ -46,33 +52,42 @@ RUNS = "array<struct<start:bigint,end:bigint>>"
 
 
 class Hash:
-    """Polynomial hashes of all substrings of a buffer, modulo 2**64, mixed."""
+    """64-bit hashes of all substrings of 8 bytes or more of a buffer: sums of mixed words of 8 bytes."""
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
-        self.letter = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = int(rng.integers(1, 1 << 62)) * 8 + 5
+        self.salt, self.tail = rng.integers(1, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.base = int(rng.integers(1, 1 << 61)) * 8 + 5
         self.forth = self.back = np.ones(1, np.uint64)
 
-    def prepare(self, buffer: np.ndarray) -> np.ndarray:
-        n = len(buffer)
-        if len(self.forth) <= n:
+    def prepare(self, buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The mixed word at each byte, and sums of words that stand a multiple of 8 apart."""
+        rows = -(-len(buffer) // 8) + 1
+        if len(self.forth) < rows:
             for name, b in (("forth", self.base), ("back", pow(self.base, -1, 1 << 64))):
-                power = np.full(n + n // 4 + 1, b, np.uint64)
+                power = np.full(rows + rows // 4, np.uint64(b))
                 power[0] = 1
                 setattr(self, name, np.multiply.accumulate(power))
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.letter[buffer] * self.forth[:n], out=sums[1:])
-        return sums
-
-    def of(self, sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((sums[end] - sums[begin]) * self.back[begin])
+        padded = np.zeros(rows * 8 + 8, np.uint8)
+        padded[: len(buffer)] = buffer
+        word = mixed(np.ndarray(rows * 8, "<u8", padded, strides=(1,)) ^ self.salt)
+        sums = np.zeros((rows + 1, 8), np.uint64)
+        np.cumsum(word.reshape(rows, 8) * self.forth[:rows, None], axis=0, out=sums[1:])
+        return word, sums.ravel()
+
+    def of(self, state: tuple[np.ndarray, np.ndarray], begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        word, sums = state
+        size = end - begin
+        whole = begin + (size & ~7)
+        h = (sums[whole] - sums[begin]) * self.back[begin >> 3]
+        rest = np.where(size & 7, word[np.maximum(end - 8, 0)], np.uint64(0)) * self.tail
+        return mixed(h + rest + size.astype(np.uint64))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
 
 
 @lru_cache(maxsize=4)
@@ -95,11 +110,11 @@ def sliding(values: np.ndarray, width: int, fold: np.ufunc, fill: np.uint64) ->
 def chosen(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of the chosen q-grams, their text's number, and their hash."""
     n, first = len(buffer), hasher(1)
-    sums = first.prepare(buffer)
     count = n - GRAM + 1
     if count <= 0:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-    h = mixed((sums[GRAM:] - sums[:count]) * first.back[:count])
+    begins = np.arange(count)
+    h = first.of(first.prepare(buffer), begins, begins + GRAM)
     np.minimum(h, TOP - np.uint64(1), out=h)
     np.maximum(h, np.uint64(1), out=h)
     least = sliding(h, SLACK + 1, np.minimum, TOP)
@@ -222,8 +237,8 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(out, _SETTLED)
 
 
-_FOUND = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("half", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("at", pa.int64()), ("settled", pa.bool_()), ("left", pa.int64()), ("around", pa.binary())])
-FOUND = "d1 bigint, d2 bigint, start bigint, end bigint, half bigint, low bigint, high bigint, at bigint, settled boolean, left bigint, around binary"
+_FOUND = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("half", pa.int64()), ("span", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("at", pa.int64()), ("settled", pa.bool_()), ("left", pa.int64()), ("around", pa.binary())])
+FOUND = "d1 bigint, d2 bigint, start bigint, end bigint, half bigint, span bigint, low bigint, high bigint, at bigint, settled boolean, left bigint, around binary"
 
 
 class Rows:
@@ -237,26 +252,45 @@ class Rows:
         ends = np.frombuffer(around.buffers()[1], np.int64)[around.offset : around.offset + len(around) + 1]
         buffer = np.frombuffer(around.buffers()[2], np.uint8)[ends[0] : ends[-1]]
         self.edges = ends - ends[0]
-        self.sums, self.sums2 = hasher(3).prepare(buffer), hasher(4).prepare(buffer)
+        self.right = np.diff(self.edges) - self.left
+        self.state = hasher(3).prepare(buffer)
 
-    def ids(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Identifiers of what stands from ``begin`` to ``end`` bytes after the q-gram's start, and whether the text goes as far."""
+    def ids(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the text goes from ``begin`` to ``end`` bytes after the q-gram's start, and the identifier of what stands there."""
         a, b = self.edges[:-1] + self.left + begin, self.edges[:-1] + self.left + end
         ok = (a >= self.edges[:-1]) & (b <= self.edges[1:])
-        a, b = np.where(ok, a, 0), np.where(ok, b, 0)
-        return ok, hasher(3).of(self.sums, a, b), hasher(4).of(self.sums2, a, b)
+        a, b = np.where(ok, a, 0), np.where(ok, b, 8)
+        return ok, hasher(3).of(self.state, a, b)
+
+    def spans(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Identifiers of all that strings from ``low`` to ``high`` bytes before the q-gram can touch, as far as the text goes."""
+        before, after = np.minimum(high, self.left), np.minimum(LENGTH - low, self.right)
+        return mixed(self.ids(-before, after)[1] + (before * 1024 + after).astype(np.uint64))
+
+    def settled_by(self, span: np.ndarray) -> tuple[pa.Table, pa.RecordBatch | None]:
+        """One row of each run of equal (half, span), and the ranges of those that have company there."""
+        new = np.append(True, (self.half[1:] != self.half[:-1]) | (span[1:] != span[:-1]))
+        first = np.flatnonzero(new)
+        many = np.diff(np.append(first, len(new))) > 1
+        own = np.cumsum(new) - 1
+        least, most = np.maximum(self.low, LENGTH - self.right), np.minimum(self.high, self.left)
+        pick = np.flatnonzero(many[own] & ~self.settled & (least <= most))
+        table = self.table.take(pa.array(first))
+        at = table.schema.get_field_index("settled")
+        table = table.set_column(at, "settled", pa.array(self.settled[first] | many))
+        return table, self.found(pick, least[pick], most[pick]) if len(pick) else None
 
     def ranges(self) -> pa.RecordBatch | None:
         """The range that repeated strings cover for each unsettled row. All strings of one suffix hold its q-gram, so those
         that repeat cover one range: from the first to the last."""
         first, last = np.full(len(self.at), SLACK + 1), np.full(len(self.at), -1)
         for offset in range(int(self.low.min()), int(self.high.max()) + 1):
-            ok, h, h2 = self.ids(-offset, LENGTH - offset)
+            ok, h = self.ids(-offset, LENGTH - offset)
             pick = np.flatnonzero(ok & (self.low <= offset) & (offset <= self.high))
             if not len(pick):
                 continue
-            sort = pick[np.lexsort((h2[pick], h[pick], self.half[pick]))]
-            same = (self.half[sort[1:]] == self.half[sort[:-1]]) & (h[sort[1:]] == h[sort[:-1]]) & (h2[sort[1:]] == h2[sort[:-1]])
+            sort = pick[np.lexsort((h[pick], self.half[pick]))]
+            same = (self.half[sort[1:]] == self.half[sort[:-1]]) & (h[sort[1:]] == h[sort[:-1]])
             pick = sort[np.append(False, same) | np.append(same, False)]
             first[pick], last[pick] = np.minimum(first[pick], offset), offset
         pick = np.flatnonzero((last >= 0) & ~self.settled)
@@ -268,30 +302,38 @@ class Rows:
 
     def split(self) -> Iterator[pa.RecordBatch]:
         """The same suffixes in two finer buckets each: every string in question either reaches the middle of their range to
-        the left, or as far to the right as the middle's string does. Where one string is in question, it repeats."""
-        one = np.flatnonzero((self.low == self.high) & ~self.settled)
-        if len(one):
-            yield self.found(one, self.low[one], self.low[one])
+        the left, or as far to the right as the middle's string does. One string in question was settled by its span."""
         middle = (self.low + self.high + 1) // 2
         for side in (0, 1):
             if side == 0:  # strings from the middle on: the bytes from there to what is known
-                ok, h, h2 = self.ids(-middle, -self.low)
+                ok, h = self.ids(-middle, np.maximum(LENGTH - self.high, GRAM))
                 low, high = middle, self.high
             else:  # strings before the middle
-                ok, h, h2 = self.ids(LENGTH - self.high, LENGTH - middle + 1)
+                ok, h = self.ids(-self.low, LENGTH - middle + 1)
                 low, high = self.low, middle - 1
             pick = np.flatnonzero(ok & (self.low < self.high))
             if len(pick):
-                half = mixed(self.half.view(np.uint64) * np.uint64(2) + np.uint64(side)) ^ h ^ (h2 << np.uint64(1))
+                half = mixed(mixed(self.half.view(np.uint64) * np.uint64(2) + np.uint64(side)) ^ h)
+                span = self.spans(low, high)
                 kept = self.table.take(pa.array(pick))
                 none = pa.nulls(len(pick), pa.int64())
-                columns = [kept["d1"], kept["d2"], none, none, half[pick].view(np.int64), low[pick], high[pick], kept["at"], kept["settled"], kept["left"], kept["around"]]
-                yield from pa.Table.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in columns], schema=_FOUND).to_batches()
+                new = [pa.array(x) for x in (half[pick].view(np.int64), span[pick].view(np.int64), low[pick], high[pick])]
+                columns = [kept["d1"], kept["d2"], none, none, *new, kept["at"], kept["settled"], kept["left"], kept["around"]]
+                yield from pa.Table.from_arrays(columns, schema=_FOUND).to_batches()
+
+
+def first_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the span's identifier to rows (half, low, high, d1, d2, at, settled, left, around)."""
+    for batch in batches:
+        if len(batch):
+            rows = Rows(pa.Table.from_batches([batch]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows.spans(rows.low, rows.high).view(np.int64))], [*batch.schema.names, "span"])
 
 
 def compare(batches: Iterator[pa.RecordBatch], crowd_rows: int = CROWD, batch_rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """Rows (half, low, high, d1, d2, at, settled, left, around) in order of half. Buckets of up to ``crowd_rows`` give the
-    ranges that repeat; the rows of larger ones are streamed on into finer buckets."""
+    """Rows (half, span, low, high, d1, d2, at, settled, left, around) in order of half and span. Equal spans are settled, and
+    one row of each stays. Buckets that then have up to ``crowd_rows`` give the ranges that repeat; the rows of larger ones
+    are streamed on into finer buckets."""
 
     def whole(table: pa.Table) -> Iterator[pa.RecordBatch]:
         half = table["half"].to_numpy()
@@ -300,40 +342,58 @@ def compare(batches: Iterator[pa.RecordBatch], crowd_rows: int = CROWD, batch_ro
         if table.num_rows and (out := Rows(table).ranges()) is not None:
             yield out
 
+    def after(half: np.ndarray, bucket: int) -> int:
+        """Where another bucket begins."""
+        other = half != bucket
+        return int(np.argmax(other)) if other.any() else len(half)
+
     held: pa.Table | None = None
     crowd = None  # the bucket that is being streamed
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        if held.num_rows < batch_rows:
+    for batch in _ended(batches):
+        if batch is not None:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if held.num_rows < batch_rows:
+                continue
+        if held is None or not held.num_rows:
             continue
-        half = held["half"].to_numpy()
+        held, out = Rows(held).settled_by(held["span"].to_numpy())
+        if out is not None:
+            yield out
+        last = batch is None
         if crowd is not None:
-            cut = int(np.argmax(half != crowd)) if (half != crowd).any() else len(half)
-            if cut:
-                yield from Rows(held.slice(0, cut)).split()
-            held = held.slice(cut)
-            if held.num_rows:
+            cut = after(held["half"].to_numpy(), crowd)
+            send = cut if last or cut < held.num_rows else cut - 1  # the last class may go on
+            if send:
+                yield from Rows(held.slice(0, send)).split()
+            held = held.slice(send)
+            if cut < held.num_rows + send or last:
                 crowd = None
-            continue
-        inside = np.flatnonzero(half != half[-1])
-        cut = int(inside[-1]) + 1 if len(inside) else 0
-        if cut:
-            yield from whole(held.slice(0, cut))
-            held = held.slice(cut)
-        if held.num_rows > crowd_rows:
-            crowd = half[-1]
-            yield from Rows(held).split()
-            held = held.slice(held.num_rows)
-    if held is not None and held.num_rows:
-        if crowd is not None:
+        if crowd is None and held.num_rows:
             half = held["half"].to_numpy()
-            cut = int(np.argmax(half != crowd)) if (half != crowd).any() else len(half)
-            if cut:
-                yield from Rows(held.slice(0, cut)).split()
+            inside = np.flatnonzero(half != half[-1])
+            cut = len(half) if last else int(inside[-1]) + 1 if len(inside) else 0
+            edges = np.append(np.flatnonzero(np.append(True, half[1:] != half[:-1])), len(half))
+            sizes = np.diff(edges)
+            big = np.repeat(sizes > crowd_rows, sizes)
+            done = np.arange(len(half)) < cut
+            small = held.filter(pa.array(done & ~big))
+            if small.num_rows:
+                yield from whole(small)
+            large = held.filter(pa.array(done & big))
+            if large.num_rows:
+                yield from Rows(large).split()
             held = held.slice(cut)
-        if held.num_rows:
-            yield from whole(held)
+            if held.num_rows > crowd_rows:
+                crowd = half[-1]
+                yield from Rows(held.slice(0, held.num_rows - 1)).split()
+                held = held.slice(held.num_rows - 1)
+
+
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches, and None at their end."""
+    yield from batches
+    yield None
 
 
 _FINAL = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("runs", _RUNS), ("kept_sha256", pa.string())])
@@ -387,13 +447,14 @@ def repeated_runs(documents: DataFrame, key: str = "doc_id", text: str = "text",
     )
     columns = ["half", "low", "high", "d1", "d2", "at", "settled", "left", "around"]
     halves = speakers.withColumn("h", F.explode(sides)).where("h is not null").select("h.*", *columns[3:])
+    halves = halves.mapInArrow(first_spans, "half bigint, low bigint, high bigint, d1 bigint, d2 bigint, at bigint, settled boolean, left bigint, around binary, span bigint")
     step = partial(compare, crowd_rows=crowd_rows, batch_rows=batch_rows)
     more = None
     while True:
-        found = stored(halves.repartition("half").sortWithinPartitions("half").mapInArrow(step, FOUND), "ranges")
+        found = stored(halves.repartition("half").sortWithinPartitions("half", "span").mapInArrow(step, FOUND), "ranges")
         ranges = found.where("around is null").select("d1", "d2", "start", "end")
         more = ranges if more is None else more.unionByName(ranges)
-        halves = found.where("around is not null").select(*columns)
+        halves = found.where("around is not null").select(*columns, "span")
         if halves.isEmpty():
             break
     more = more.groupBy("d1", "d2").agg(F.collect_set(F.struct("start", "end")).alias("more"))

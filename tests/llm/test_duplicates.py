@@ -106,6 +106,14 @@ def test_repeated_strings(spark, sizes):
         if i % 11 == 0:
             k = rng.randrange(len(t))
             rows.append((2000 + i, t[:k] + "#" + t[k + 1 :]))
+    # Thue-Morse words and their complements, on which sums of letters' powers collide
+    for k, (x, y) in enumerate(("an", "th")):
+        for size in (256, 1024, 2048):
+            word = "".join((x, y)[bin(i).count("1") & 1] for i in range(size))
+            rows += [(5000 + 10 * k + size, word), (5001 + 10 * k + size, word.translate(str.maketrans(x + y, y + x)))]
+    # one passage of 260 bytes, with other surroundings each time
+    passage = text(260)
+    rows += [(9000 + i, text(rng.randint(0, 300)) + passage + text(rng.randint(0, 300))) for i in range(60)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, runs string")
     count = Counter()
     for _, t in rows:
