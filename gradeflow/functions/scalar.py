@@ -11,7 +11,11 @@ DIFFICULTY = {"beginner": 0.0, "intermediate": 0.33, "advanced": 0.67, "master":
 SLIP_GUESS = {"proficient": (0.05, 0.20), "mid": (0.10, 0.25), "novice": (0.15, 0.30)}
 LEARN = 0.10
 SLOW_GAMES = ("coding", "hangman", "debugging")
-COMMON_WORDS = ("the", "and", "for", "are", "what", "which", "how", "does", "this", "that", "with", "from")
+#: Learner clusters by number, mastery at the start, gain of right answers about code, gain by difficulty in the first test.
+CLUSTERS = ("proficient", "mid", "novice")
+CLUSTER_START = (0.40, 0.25, 0.10)
+CODING_GAIN = 1.5
+FIRST_TEST_GAIN = {"beginner": 1.0, "intermediate": 1.1, "advanced": 1.25, "master": 1.4}
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -19,15 +23,51 @@ def clamp(x: Column, low: float, high: float) -> Column:
 
 
 def normalize_difficulty(label: Column) -> Column:
-    """A label or a number as text, brought to 0..1; 0.5 for anything else."""
+    """A label brought to 0..1; 0.5 for any other text."""
     text = F.lower(F.trim(label))
-    number = text.try_cast("double")
-    out = F.when(number.between(0.0, 1.0), number).when((number > 1) & (number <= 4), (number - 1) / 3)
+    out = F.when(text.isNull(), F.lit(0.5))
     for name, value in DIFFICULTY.items():
         out = out.when(text == name, F.lit(value))
     return out.otherwise(F.lit(0.5))
 
 
+def normalize_number(number: Column) -> Column:
+    """A number brought to 0..1: 0 to 1 as it is, up to 4 by thirds; 0.5 for anything else."""
+    number = number.cast("double")
+    return F.when(number.between(0.0, 1.0), number).when((number > 1) & (number <= 4), (number - 1) / 3).otherwise(F.lit(0.5))
+
+
+def cluster_parameter(cluster: Column, which: int) -> Column:
+    """Slip (0) or guess (1) of a learner cluster; of novices where there is none."""
+    out = F.when(cluster.isNull(), F.lit(SLIP_GUESS["novice"][which]))
+    for number, name in enumerate(CLUSTERS):
+        out = out.when(cluster == number, F.lit(SLIP_GUESS[name][which]))
+    return out.otherwise(F.lit(SLIP_GUESS["novice"][which]))
+
+
+def cluster_start(cluster: Column) -> Column:
+    """Mastery at the start of a learner cluster; of novices where there is none."""
+    out = F.when(cluster.isNull(), F.lit(CLUSTER_START[2]))
+    for number, value in enumerate(CLUSTER_START):
+        out = out.when(cluster == number, F.lit(value))
+    return out.otherwise(F.lit(CLUSTER_START[2]))
+
+
+def first_test_gain(difficulty: Column) -> Column:
+    out = F.when(difficulty.isNull(), F.lit(1.0))
+    for name, value in FIRST_TEST_GAIN.items():
+        out = out.when(difficulty == name, F.lit(value))
+    return out.otherwise(F.lit(1.0))
+
+
+def first_subtopic_ids(subtopic_id: Column, subtopic_ids: Column, subtopics: Column, mapping_ids: Column) -> Column:
+    """The subtopics of an answer, from the first of four places that names any. subtopics: array of structs with an id."""
+    named = F.filter(F.transform(subtopics, lambda s: s["id"]), lambda x: x.isNotNull())
+    some = lambda ids: F.when(F.size(ids) > 0, ids)
+    one = F.when(F.coalesce(subtopic_id, F.lit(0)) != 0, F.array(subtopic_id))
+    return F.coalesce(one, some(subtopic_ids), some(named), mapping_ids, F.array().cast("array<bigint>"))
+
+
 def difficulty_weight(d: Column) -> Column:
     return clamp(F.lit(0.70) + F.lit(0.65) * d, 0.70, 1.35)
 
@@ -54,7 +94,7 @@ def recency_weight(last: Column, now: Column) -> Column:
     return F.when(last.isNull(), F.lit(1.0)).otherwise(F.least(F.lit(1.0) + F.lit(0.05) * days, F.lit(2.0)))
 
 
-def bkt_posterior(mastery: Column, correct: Column, slip: float, guess: float) -> Column:
+def bkt_posterior(mastery: Column, correct: Column, slip: Column | float, guess: Column | float) -> Column:
     """Mastery after one answer, within 0.05 and 0.95."""
     right = mastery * (1 - slip) / (mastery * (1 - slip) + (1 - mastery) * guess)
     wrong = mastery * slip / (mastery * slip + (1 - mastery) * (1 - guess))

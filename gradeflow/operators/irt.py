@@ -41,23 +41,36 @@ def recalibrate(responses: DataFrame) -> DataFrame:
     start = F.struct(F.lit(A0).alias("a"), F.lit(B0).alias("b"))
     finite = lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))
 
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  # a value that several parts of use name
+
+    def sums(a: Column, b: Column) -> Column:
+        """The four sums over an item's cells, in one pass."""
+        zero = F.struct(*[F.lit(0.0).alias(n) for n in ("da", "db", "ba", "bb")])
+
+        def add(acc: Column, c: Column) -> Column:
+            p = 1 / (1 + F.exp(-a * (c["theta"] - b)))
+
+            def more(p: Column) -> Column:
+                d, n = c["theta"] - b, c["n"]
+                return F.struct(
+                    (acc["da"] + n * (c["score"] - p) * d).alias("da"), (acc["db"] - n * (c["score"] - p) * a).alias("db"),
+                    (acc["ba"] - n * p * (1 - p) * d * d).alias("ba"), (acc["bb"] - n * p * (1 - p) * a * a).alias("bb"),
+                )
+
+            return once(p, more)
+
+        return F.aggregate("cells", zero, add)
+
     def newton(acc: Column, _: Column) -> Column:
         a, b = acc["a"], acc["b"]
 
-        def total(term) -> Column:
-            def add(s: Column, c: Column) -> Column:
-                p = 1 / (1 + F.exp(-a * (c["theta"] - b)))
-                return s + c["n"] * term(c["theta"] - b, c["score"] - p, p * (1 - p))
-
-            return F.aggregate("cells", F.lit(0.0), add)
+        def step(s: Column) -> Column:
+            new_a = F.when(s["ba"] != 0, a - (s["da"] - F.pow(F.log(a), 2) / (2 * PRIOR_A_SD**2)) / s["ba"]).otherwise(a)
+            new_b = F.when(s["bb"] != 0, b - (s["db"] - F.pow(b, 2) / (2 * PRIOR_B_SD**2)) / s["bb"]).otherwise(b)
+            return F.struct(F.when(new_a <= 0, F.lit(0.2)).otherwise(new_a).alias("a"), new_b.alias("b"))
 
-        slope_a = total(lambda d, diff, _: diff * d) - F.pow(F.log(a), 2) / (2 * PRIOR_A_SD**2)
-        slope_b = total(lambda _, diff, __: -diff * a) - F.pow(b, 2) / (2 * PRIOR_B_SD**2)
-        bend_a, bend_b = total(lambda d, _, pq: -pq * d * d), total(lambda _, __, pq: -pq * a * a)
-        new_a = F.when(bend_a != 0, a - slope_a / bend_a).otherwise(a)
-        new_b = F.when(bend_b != 0, b - slope_b / bend_b).otherwise(b)
-        new_a = F.when(new_a <= 0, F.lit(0.2)).otherwise(new_a)
-        return F.struct(F.when(finite(new_a), new_a).otherwise(a).alias("a"), F.when(finite(new_b), new_b).otherwise(b).alias("b"))
+        kept = lambda x: F.struct(F.when(finite(x["a"]), x["a"]).otherwise(a).alias("a"), F.when(finite(x["b"]), x["b"]).otherwise(b).alias("b"))
+        return once(once(sums(a, b), step), kept)
 
     found = cells.select("question_id", F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, newton).alias("s"))
     b = F.least(F.greatest(F.col("s.b"), F.lit(-3.0)), F.lit(3.0))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gradeflow.functions.scalar import LEARN, SLIP_GUESS, bkt_posterior, clamp, recency_weight
+from gradeflow.functions.scalar import CODING_GAIN, LEARN, bkt_posterior, clamp, cluster_parameter, effective_correctness, normalize_difficulty, recency_weight, time_weight
 from gradeflow.operators.fold import ordered_fold
 
 
@@ -16,28 +16,39 @@ def session_accuracy(responses: DataFrame) -> DataFrame:
     return rows.withColumn("accuracy", F.when(F.col("attempts") > 0, F.col("right") / F.col("attempts")).otherwise(F.lit(0.0)))
 
 
-def subtopic_accuracy(responses: DataFrame, effective: Column | None = None) -> DataFrame:
-    """Attempts and mean effective correctness of each (session, subtopic)."""
-    worth = F.col("correct").cast("double") if effective is None else effective
+def with_effective(responses: DataFrame, questions: DataFrame) -> DataFrame:
+    """Answers with what each is worth (by difficulty, time and game of its question), and whether it is about code."""
+    about = questions.select("question_id", "difficulty", (F.col("game_type") == "coding").alias("is_coding"), F.col("game_type").alias("_game"))
+    rows = responses.join(about, "question_id", "left")
+    worth = effective_correctness(F.col("correct"), normalize_difficulty(F.col("difficulty")), time_weight(F.col("time_taken"), F.coalesce("_game", F.lit(""))), F.lit(1.0))
+    return rows.withColumn("worth", worth).withColumn("is_coding", F.coalesce("is_coding", F.lit(False))).drop("_game", "difficulty")
+
+
+def subtopic_accuracy(responses: DataFrame) -> DataFrame:
+    """Attempts and mean effective correctness of each (session, subtopic), and whether any of it is about code."""
     rows = responses.where("correct is not null").groupBy("user_id", "session_id", "subtopic_id")
-    return rows.agg(F.count("*").alias("attempts"), F.avg(worth).alias("accuracy"), F.max("created_at").alias("ended_at"))
+    return rows.agg(F.count("*").alias("attempts"), F.round(F.avg("worth"), 9).alias("accuracy"), F.max("created_at").alias("ended_at"), F.max("is_coding").alias("is_coding"))
 
 
-def mastery_update(sessions: DataFrame, cluster: str = "novice") -> DataFrame:
+def mastery_update(sessions: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
     """(user_id, subtopic_id, mastery 0..100): sessions folded in order of their end. A session counts as one observation,
-    right from an accuracy of one half; its change grows with the days since the one before, and a right one also learns."""
-    slip, guess = SLIP_GUESS[cluster]
+    right from an accuracy of one half; its change grows with the days since the one before and, if it is right and about
+    code, by half, and a right one also learns. clusters: (user_id, learner_cluster); users without one are novices."""
+    sessions = sessions.withColumn("ended_at", F.col("ended_at").cast("timestamp"))
+    if clusters is None:
+        sessions = sessions.withColumn("learner_cluster", F.lit(None).cast("int"))
+    else:
+        sessions = sessions.join(clusters.select("user_id", F.col("learner_cluster").cast("int").alias("learner_cluster")), "user_id", "left")
     start = F.struct(F.lit(0.0).alias("k"), F.lit(None).cast("timestamp").alias("last"))
 
     def step(acc: Column, x: Column) -> Column:
         right = x["accuracy"] >= 0.5
-        after = bkt_posterior(acc["k"], right.cast("int"), slip, guess)
+        after = bkt_posterior(acc["k"], right.cast("int"), cluster_parameter(x["learner_cluster"], 0), cluster_parameter(x["learner_cluster"], 1))
         after = F.when(right, after + (1 - after) * LEARN).otherwise(after)
-        new = acc["k"] + (after - acc["k"]) * recency_weight(acc["last"], x["ended_at"])
-        return F.struct(clamp(new, 0.0, 1.0).alias("k"), x["ended_at"].alias("last"))
+        gain = (after - acc["k"]) * recency_weight(acc["last"], x["ended_at"]) * F.when(right & x["is_coding"], F.lit(CODING_GAIN)).otherwise(F.lit(1.0))
+        return F.struct(clamp(acc["k"] + gain, 0.0, 1.0).alias("k"), x["ended_at"].alias("last"))
 
-    sessions = sessions.withColumn("ended_at", F.col("ended_at").cast("timestamp"))
-    folded = ordered_fold(sessions, ["user_id", "subtopic_id"], ["ended_at", "session_id"], ["accuracy"], start, step, "state")
+    folded = ordered_fold(sessions, ["user_id", "subtopic_id"], ["ended_at", "session_id"], ["accuracy", "is_coding", "learner_cluster"], start, step, "state")
     return folded.select("user_id", "subtopic_id", (F.col("state.k") * 100).alias("mastery"), F.col("state.last").alias("last_practiced_at"))
 
 
@@ -79,15 +90,15 @@ def zone_completion(topic_rows: DataFrame, topics: DataFrame, zones: DataFrame,
 
 def completion_leaderboard(zone_rows: DataFrame, users: DataFrame) -> DataFrame:
     """(user_id, username, overall, zones as text) of learners: mean of the rounded zone completions, best first."""
-    rows = zone_rows.join(users.where("role = 'learner'"), "user_id").withColumn("c", F.round("completion", 2))
+    rows = zone_rows.join(users.where("role = 'learner'"), "user_id").withColumn("c", F.round(F.round("completion", 9), 2))
     parts = F.transform(F.sort_array(F.collect_list(F.struct("zone_order", "c"))), lambda z: z["c"])
-    board = rows.groupBy("user_id", "username").agg(F.round(F.avg("c"), 2).alias("overall"), F.array_join(F.transform(parts, lambda x: F.format_string("%.2f", x)), ",").alias("zones"))
+    board = rows.groupBy("user_id", "username").agg(F.round(F.round(F.avg("c"), 9), 2).alias("overall"), F.array_join(F.transform(parts, lambda x: F.format_string("%.2f", x)), ",").alias("zones"))
     return board.orderBy(F.desc("overall"), "username", "user_id")
 
 
 def current_zone(zone_rows: DataFrame) -> DataFrame:
     """Each user's zone in progress: the first under 100, else the last; later ones are locked."""
     user = W.partitionBy("user_id")
-    open_ = F.min(F.when(F.col("completion") < 100, F.col("zone_order"))).over(user)
+    open_ = F.min(F.when(F.round("completion", 9) < 100, F.col("zone_order"))).over(user)
     now = F.coalesce(open_, F.max("zone_order").over(user))
     return zone_rows.select("user_id", "zone_id", F.round("completion", 6).alias("completion"), (F.col("zone_order") == now).alias("is_current"), (F.col("zone_order") > now).alias("locked"))

@@ -11,7 +11,8 @@ VIEWS = {
     "subtopics": """SELECT s_suppkey AS subtopic_id, s_nationkey AS topic_id, s_name AS name,
         row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS order_in_topic FROM supplier""",
     "users": """SELECT c_custkey AS user_id, c_name AS username,
-        CASE WHEN c_mktsegment = 'MACHINERY' THEN 'admin' ELSE 'learner' END AS role FROM customer""",
+        CASE WHEN c_mktsegment = 'MACHINERY' THEN 'admin' ELSE 'learner' END AS role,
+        CASE WHEN c_nationkey % 4 < 3 THEN c_nationkey % 4 END AS learner_cluster FROM customer""",
     "questions": """SELECT p_partkey AS question_id, p_partkey % (SELECT count(*) FROM supplier) AS subtopic_id,
         p_name AS question_text, p_brand AS correct_answer,
         CASE WHEN p_size <= 12 THEN 'beginner' WHEN p_size <= 25 THEN 'intermediate'

@@ -41,18 +41,52 @@ def session_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return rounded(mastery.session_accuracy(domain(spark, d, "responses")).drop("ended_at"), "accuracy")
 
 
-@job("SELECT user_id, session_id, subtopic_id, count(*) AS attempts, round(avg(correct), 6) AS accuracy FROM responses GROUP BY ALL")
+#: What each answer is worth, and the accuracy of each (session, subtopic).
+WORTH = """worth AS (SELECT r.*, coalesce(q.game_type = 'coding', FALSE) AS is_coding, CASE WHEN correct = 1 THEN least(greatest(
+        least(greatest(0.70 + 0.65 * CASE q.difficulty WHEN 'beginner' THEN 0.0 WHEN 'intermediate' THEN 0.33 WHEN 'advanced' THEN 0.67 WHEN 'master' THEN 1.0 ELSE 0.5 END, 0.70), 1.35)
+        * CASE WHEN time_taken > 0 THEN least(greatest(exp(-0.8 * (time_taken / CASE WHEN q.game_type IN ('coding', 'hangman', 'debugging') THEN 45.0::DOUBLE ELSE 30.0::DOUBLE END - 1)), 0.70), 1.20) ELSE 1.0 END, 0.0), 1.0)
+        ELSE 0.0::DOUBLE END AS worth FROM responses r LEFT JOIN questions q ON r.question_id = q.question_id),
+    parts AS (SELECT user_id, session_id, subtopic_id, count(*) AS attempts, round(avg(worth), 9) AS accuracy, max(created_at) AS ended_at, max(is_coding) AS is_coding
+        FROM worth WHERE correct IS NOT NULL GROUP BY ALL)"""
+_POSTERIOR = """least(greatest(CASE WHEN x.acc >= 0.5 THEN s.k * (1 - x.slip) / (s.k * (1 - x.slip) + (1 - s.k) * x.guess)
+    ELSE s.k * x.slip / (s.k * x.slip + (1 - s.k) * (1 - x.guess)) END, 0.05), 0.95)"""
+#: Mastery by a fold over each user's sessions on a subtopic.
+MASTERY = f"""{WORTH},
+    steps AS (SELECT p.user_id, subtopic_id, list({{'acc': accuracy, 'ended': ended_at, 'coding': is_coding,
+        'slip': CASE learner_cluster WHEN 0 THEN 0.05::DOUBLE WHEN 1 THEN 0.10::DOUBLE ELSE 0.15::DOUBLE END,
+        'guess': CASE learner_cluster WHEN 0 THEN 0.20::DOUBLE WHEN 1 THEN 0.25::DOUBLE ELSE 0.30::DOUBLE END}} ORDER BY ended_at, session_id) AS xs
+        FROM parts p LEFT JOIN users u ON p.user_id = u.user_id GROUP BY p.user_id, subtopic_id),
+    mastery AS (SELECT user_id, subtopic_id, list_reduce(xs, lambda s, x: {{
+        'k': least(greatest(s.k + (CASE WHEN x.acc >= 0.5 THEN {_POSTERIOR} + (1 - {_POSTERIOR}) * 0.10 ELSE {_POSTERIOR} END - s.k)
+            * CASE WHEN s.last IS NULL THEN 1.0 ELSE least(1.0 + 0.05 * floor((epoch(x.ended) - epoch(s.last)) / 86400), 2.0) END
+            * CASE WHEN x.acc >= 0.5 AND x.coding THEN 1.5 ELSE 1.0 END, 0.0), 1.0)::DOUBLE,
+        'last': x.ended}}, {{'k': 0.0::DOUBLE, 'last': NULL::TIMESTAMP}}).k * 100 AS mastery FROM steps)"""
+ABILITY = """s_acc AS (SELECT user_id, session_id, avg(correct) AS accuracy, max(created_at) AS ended_at FROM responses GROUP BY ALL),
+    s_list AS (SELECT user_id, list(accuracy ORDER BY ended_at, session_id) AS xs FROM s_acc GROUP BY user_id),
+    ability AS (SELECT user_id, list_reduce(xs, lambda acc, x: least(greatest(acc * 0.8 + x * 0.2, 0.01), 0.99), CAST(0.5 AS DOUBLE)) AS ability FROM s_list)"""
+ZONES = f"""{MASTERY},
+    topic_rows AS (SELECT m.user_id, s.topic_id, avg(mastery) AS percent FROM mastery m JOIN subtopics s ON m.subtopic_id = s.subtopic_id GROUP BY ALL),
+    zone_have AS (SELECT r.user_id, t.zone_id, avg(percent) AS completion FROM topic_rows r JOIN topics t ON r.topic_id = t.topic_id GROUP BY ALL),
+    zone_rows AS (SELECT u.user_id, z.zone_id, z.zone_order, coalesce(completion, 0.0) AS completion FROM users u CROSS JOIN zones z
+        LEFT JOIN zone_have h ON h.user_id = u.user_id AND h.zone_id = z.zone_id)"""
+
+
+@job(f"WITH {WORTH} SELECT user_id, session_id, subtopic_id, attempts, round(accuracy, 6) AS accuracy, is_coding FROM parts")
 def subtopic_session_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(mastery.subtopic_accuracy(domain(spark, d, "responses")).drop("ended_at"), "accuracy")
+    return rounded(_parts(spark, d).drop("ended_at"), "accuracy")
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return mastery.subtopic_accuracy(mastery.with_effective(domain(spark, d, "responses"), domain(spark, d, "questions")))
 
 
 def _mastery(spark: SparkSession, d: str) -> DataFrame:
-    return mastery.mastery_update(mastery.subtopic_accuracy(domain(spark, d, "responses")))
+    return mastery.mastery_update(_parts(spark, d), domain(spark, d, "users"))
 
 
-@job()
+@job(f"WITH {MASTERY} SELECT user_id, subtopic_id, round(mastery, 5) AS mastery FROM mastery")
 def mastery_update(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_mastery(spark, d), "mastery")
+    return _mastery(spark, d).select("user_id", "subtopic_id", F.round("mastery", 5).alias("mastery"))
 
 
 @job("""WITH s AS (SELECT user_id, session_id, avg(correct) AS accuracy, max(created_at) AS ended_at FROM responses GROUP BY ALL),
@@ -62,7 +96,9 @@ def ability_update(spark: SparkSession, d: str) -> DataFrame:
     return rounded(mastery.ability_update(mastery.session_accuracy(domain(spark, d, "responses"))), "ability")
 
 
-@job()
+@job("""WITH r AS (SELECT user_id, list(CAST(correct AS DOUBLE) ORDER BY created_at DESC, session_id DESC, line DESC, question_id DESC, subtopic_id DESC, created_at DESC) AS xs
+        FROM responses WHERE user_id IS NOT NULL GROUP BY user_id HAVING count(*) >= 5)
+    SELECT user_id, round(list_reduce(xs, lambda acc, x: least(greatest(acc + 0.1 * (x - 1 / (1 + exp(-acc))), -3.0), 3.0), CAST(0.0 AS DOUBLE)), 6) AS theta FROM r""")
 def theta_update(spark: SparkSession, d: str) -> DataFrame:
     return rounded(mastery.theta_update(analytics_log(spark, d)), "theta")
 
@@ -72,17 +108,19 @@ def _zones(spark: SparkSession, d: str) -> DataFrame:
     return mastery.zone_completion(topic_rows, domain(spark, d, "topics"), domain(spark, d, "zones"), domain(spark, d, "users"))
 
 
-@job()
+@job(f"WITH {ZONES} SELECT user_id, zone_id, zone_order, round(completion, 5) AS completion FROM zone_rows")
 def proficiency_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_zones(spark, d), "completion")
+    return _zones(spark, d).withColumn("completion", F.round("completion", 5))
 
 
-@job()
+@job(f"""WITH {ZONES}, c AS (SELECT z.user_id, username, zone_order, round(round(completion, 9), 2) AS c FROM zone_rows z JOIN users u ON z.user_id = u.user_id WHERE role = 'learner')
+    SELECT user_id, username, round(round(avg(c), 9), 2) AS overall, string_agg(printf('%.2f', c), ',' ORDER BY zone_order) AS zones FROM c GROUP BY user_id, username""")
 def completion_leaderboard(spark: SparkSession, d: str) -> DataFrame:
     return mastery.completion_leaderboard(_zones(spark, d), domain(spark, d, "users"))
 
 
-@job()
+@job(f"""WITH {ZONES}, n AS (SELECT *, coalesce(min(CASE WHEN round(completion, 9) < 100 THEN zone_order END) OVER (PARTITION BY user_id), max(zone_order) OVER (PARTITION BY user_id)) AS now FROM zone_rows)
+    SELECT user_id, zone_id, round(completion, 6) AS completion, zone_order = now AS is_current, zone_order > now AS locked FROM n""")
 def current_zone(spark: SparkSession, d: str) -> DataFrame:
     return mastery.current_zone(_zones(spark, d))
 
@@ -117,23 +155,45 @@ def _split(spark: SparkSession, d: str) -> DataFrame:
     return tracing.leave_last_out(domain(spark, d, "attempts"))
 
 
-@job()
+KT = f"""split AS (SELECT *, attempt = n AS is_test FROM ({SPLIT}) x WHERE n >= 4 AND student IS NOT NULL AND skill IS NOT NULL),
+    trained AS (SELECT student, skill, list(correct ORDER BY attempt) AS xs FROM split WHERE NOT is_test GROUP BY ALL),
+    tested AS (SELECT student, skill, correct AS y FROM split WHERE is_test),
+    folded AS (SELECT student, skill, list_reduce(xs, lambda k, c: (CASE WHEN c = 1 THEN k * 0.9 / (k * 0.9 + (1 - k) * 0.2 + 1e-12) ELSE k * 0.1 / (k * 0.1 + (1 - k) * 0.8 + 1e-12) END) * 0.85 + 0.15, CAST(0.2 AS DOUBLE)) AS k FROM trained),
+    bkt AS (SELECT student, skill, y, k * 0.9 + (1 - k) * 0.2 AS p FROM folded JOIN tested USING (student, skill)),
+    skills AS (SELECT student, skill, sum(pow(0.385, m - attempt) * correct) AS recent, max(m) AS m, avg(correct) AS accuracy
+        FROM (SELECT *, max(attempt) OVER (PARTITION BY student, skill) AS m FROM split WHERE NOT is_test) x GROUP BY student, skill),
+    befores AS (SELECT *, list(accuracy) OVER (PARTITION BY student ORDER BY skill ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier,
+        list(accuracy) OVER (PARTITION BY student ORDER BY skill ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS every FROM skills),
+    able AS (SELECT *, coalesce(list_reduce(earlier, lambda a, x: least(greatest(a * 0.8 + x * 0.2, 0.05), 0.95), CAST(0.5 AS DOUBLE)), 0.5) AS before,
+        list_reduce(every, lambda a, x: least(greatest(a * 0.8 + x * 0.2, 0.05), 0.95), CAST(0.5 AS DOUBLE)) AS final FROM befores),
+    ibkt AS (SELECT student, skill, y, 0.7 * (0.165 * before * (1 - pow(0.385, m)) / 0.615 + 0.45 * recent) + 0.3 * final AS p FROM able JOIN tested USING (student, skill)),
+    both_models AS (SELECT 'standard' AS model, * FROM bkt UNION ALL SELECT 'interactive' AS model, * FROM ibkt)"""
+METRICS = f"""{KT}, clipped AS (SELECT *, least(greatest(p, 1e-12), 1 - 1e-12) AS q FROM both_models),
+    plain AS (SELECT model, count(*) AS n, avg(abs(y - p)) AS mae, corr(y, p) AS r, avg(-(y * ln(q) + (1 - y) * ln(1 - q))) AS log_loss FROM clipped GROUP BY model),
+    level AS (SELECT model, round(p, 12) AS p, sum(y) AS pos, sum(1 - y) AS neg FROM both_models GROUP BY ALL),
+    won AS (SELECT model, pos, neg, pos * (coalesce(sum(neg) OVER (PARTITION BY model ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + neg / 2.0) AS w FROM level),
+    metrics AS (SELECT plain.model AS model, n, round(mae, 6) AS mae, round(r, 6) AS r, round(log_loss, 6) AS log_loss, round(auc, 6) AS auc
+        FROM plain JOIN (SELECT model, sum(w) / nullif(sum(pos) * sum(neg), 0) AS auc FROM won GROUP BY model) a ON a.model = plain.model)"""
+
+
+@job(f"WITH {KT} SELECT student, skill, y, round(p, 6) AS p FROM bkt")
 def kt_bkt(spark: SparkSession, d: str) -> DataFrame:
     return rounded(tracing.standard_bkt(_split(spark, d)), "p")
 
 
-@job()
+@job(f"WITH {KT} SELECT student, skill, y, round(p, 6) AS p FROM ibkt")
 def kt_ibkt(spark: SparkSession, d: str) -> DataFrame:
     return rounded(tracing.interactive_bkt(_split(spark, d)), "p")
 
 
-@job()
+@job(f"WITH {METRICS} SELECT * FROM metrics")
 def kt_metrics(spark: SparkSession, d: str) -> DataFrame:
     one = lambda f, name: tracing.kt_metrics(f(_split(spark, d))).withColumn("model", F.lit(name))
     return one(tracing.standard_bkt, "standard").unionByName(one(tracing.interactive_bkt, "interactive"))
 
 
-@job()
+@job(f"""WITH {KT}, b AS (SELECT CAST(floor(round(p * 10, 9)) AS INTEGER) AS bin, p, y FROM ibkt)
+    SELECT bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS mean_y FROM b WHERE bin BETWEEN 0 AND 9 GROUP BY bin""")
 def calibration_bins(spark: SparkSession, d: str) -> DataFrame:
     return tracing.calibration_bins(tracing.interactive_bkt(_split(spark, d)))
 
@@ -231,7 +291,13 @@ def dashboard_stats(spark: SparkSession, d: str) -> DataFrame:
     return bank.dashboard(domain(spark, d, "questions"), domain(spark, d, "subtopics"), domain(spark, d, "topics"))
 
 
-@job()
+HASHED = r"""words AS (SELECT *, list_filter(regexp_split_to_array(lower(question_text), '\s+'), lambda w: length(w) > 2) AS ws FROM questions),
+    bare AS (SELECT *, list_filter(list_transform(ws, lambda w: regexp_replace(w, '^[.,!?()\[\]{}";:]+|[.,!?()\[\]{}";:]+$', '', 'g')),
+        lambda w: NOT list_contains(['a','an','the','and','or','but','in','on','at','to','for','of','with','by','is','are','was','were','be','been','being','have','has','had','do','does','did','will','would','could','should'], w)) AS bs FROM words),
+    hashed AS (SELECT question_id, left(md5(array_to_string(list_sort(bs[1:5]), ' ') || '|(' || subtopic_id || ',)|' || game_type || '|' || difficulty), 12) AS hash FROM bare)"""
+
+
+@job(f"WITH {HASHED} SELECT question_id, hash, min(question_id) OVER (PARTITION BY hash) AS first_id, min(question_id) OVER (PARTITION BY hash) <> question_id AS duplicate FROM hashed")
 def question_hash_dedup(spark: SparkSession, d: str) -> DataFrame:
     return bank.hash_dedup(domain(spark, d, "questions"))
 
@@ -293,7 +359,16 @@ def semantic_rank(spark: SparkSession, d: str) -> DataFrame:
     return content.semantic_rank(e.where("id < 20"), e.where("id >= 20"))
 
 
-@job()
+EIG = f"""{MASTERY}, {ABILITY},
+    prior AS (SELECT m.user_id, m.subtopic_id, d.difficulty, 0.7 * mastery / 100 + 0.3 * ability AS k, 0.15 * (1 + 0.5 * d.v) AS slip, 0.25 * (1 - 0.3 * d.v) AS guess
+        FROM mastery m JOIN ability a ON a.user_id = m.user_id, (VALUES ('beginner', 0.0::DOUBLE), ('intermediate', 0.33), ('advanced', 0.67), ('master', 1.0)) d(difficulty, v)),
+    answered AS (SELECT *, k * (1 - slip) + (1 - k) * guess AS good FROM prior),
+    after AS (SELECT *, least(greatest(k, 0.001), 0.999) AS p0, least(greatest(k * (1 - slip) / good, 0.001), 0.999) AS p1, least(greatest(k * slip / (1 - good), 0.001), 0.999) AS p2 FROM answered),
+    gains AS (SELECT user_id, subtopic_id, difficulty, round(greatest(-(p0 * log2(p0) + (1 - p0) * log2(1 - p0)) + good * (p1 * log2(p1) + (1 - p1) * log2(1 - p1))
+        + (1 - good) * (p2 * log2(p2) + (1 - p2) * log2(1 - p2)), 0.0), 6) AS eig FROM after)"""
+
+
+@job(f"WITH {EIG} SELECT user_id, subtopic_id, difficulty, eig FROM gains")
 def eig_scores(spark: SparkSession, d: str) -> DataFrame:
     """Gain of asking about each subtopic a user has practised, for each difficulty."""
     known = _mastery(spark, d).select("user_id", "subtopic_id", (F.col("mastery") / 100).alias("known"))
@@ -387,22 +462,31 @@ def ability_distribution(spark: SparkSession, d: str) -> DataFrame:
     return v.agg(F.count("*").alias("n"), *[F.round(c, 6).alias(k) for k, c in parts.items()])
 
 
-@job()
+@job(f"WITH {KT} SELECT model, round(regr_slope(y, p), 6) AS slope, round(regr_intercept(y, p), 6) AS intercept FROM both_models GROUP BY model")
 def prediction_trend(spark: SparkSession, d: str) -> DataFrame:
     """Least-squares line of outcomes on predictions, of either model."""
     one = lambda f, name: f(_split(spark, d)).agg(F.lit(name).alias("model"), F.round(F.regr_slope("y", "p"), 6).alias("slope"), F.round(F.regr_intercept("y", "p"), 6).alias("intercept"))
     return one(tracing.standard_bkt, "standard").unionByName(one(tracing.interactive_bkt, "interactive"))
 
 
-@job()
+@job(f"""WITH {METRICS}, m AS (SELECT a.metric, a.value AS standard, b.value AS interactive FROM
+        (UNPIVOT (SELECT mae, r, log_loss, auc FROM metrics WHERE model = 'standard') ON mae, r, log_loss, auc INTO NAME metric VALUE value) a JOIN
+        (UNPIVOT (SELECT mae, r, log_loss, auc FROM metrics WHERE model = 'interactive') ON mae, r, log_loss, auc INTO NAME metric VALUE value) b ON a.metric = b.metric),
+    w AS (SELECT CASE WHEN i.mae < s.mae THEN 'interactive' ELSE 'standard' END AS winner, round((s.mae - i.mae) / s.mae * 100, 4) AS improvement
+        FROM (SELECT mae FROM metrics WHERE model = 'interactive') i, (SELECT mae FROM metrics WHERE model = 'standard') s)
+    SELECT metric, standard, interactive, round(interactive - standard, 6) AS difference,
+        CASE WHEN (interactive < standard) = (metric IN ('mae', 'log_loss')) THEN 'interactive' ELSE 'standard' END AS better, winner, improvement FROM m, w""")
 def model_comparison(spark: SparkSession, d: str) -> DataFrame:
-    """Each metric of both models, their difference, and the better model."""
+    """Each metric of both models, their difference, the better model of each, and by mean absolute error the winner and its gain in percent."""
     rows = kt_metrics(spark, d)
     long = rows.select("model", F.expr("stack(4, 'mae', mae, 'r', r, 'log_loss', log_loss, 'auc', auc) AS (metric, value)"))
     wide = long.groupBy("metric").pivot("model", ["standard", "interactive"]).agg(F.first("value"))
     lower = F.col("metric").isin("mae", "log_loss")
     better = F.when((F.col("interactive") < F.col("standard")) == lower, "interactive").otherwise("standard")
-    return wide.select("metric", "standard", "interactive", F.round(F.col("interactive") - F.col("standard"), 6).alias("difference"), better.alias("better"))
+    mae = lambda name: F.max(F.when(F.col("model") == name, F.col("mae")))
+    winner = rows.agg(F.when(mae("interactive") < mae("standard"), "interactive").otherwise("standard").alias("winner"), F.round((mae("standard") - mae("interactive")) / mae("standard") * 100, 4).alias("improvement"))
+    wide = wide.select("metric", "standard", "interactive", F.round(F.col("interactive") - F.col("standard"), 6).alias("difference"), better.alias("better"))
+    return wide.crossJoin(F.broadcast(winner))  # one row
 
 
 @job("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")

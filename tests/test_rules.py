@@ -72,18 +72,20 @@ def test_mastery_fold(spark):
         at = datetime(2024, 1, 1)
         for k in range(rng.randint(1, 9)):
             at += timedelta(days=rng.randint(0, 30), hours=rng.randint(0, 23))
-            data.append((u, k, 1, rng.choice([0.0, 0.25, 0.5, 1.0]), at))
-    df = spark.createDataFrame(data, "user_id long, session_id long, subtopic_id long, accuracy double, ended_at timestamp")
-    got = {r["user_id"]: r["mastery"] for r in mastery.mastery_update(df).collect()}
+            data.append((u, k, 1, rng.choice([0.0, 0.25, 0.5, 1.0]), at, rng.random() < 0.5))
+    df = spark.createDataFrame(data, "user_id long, session_id long, subtopic_id long, accuracy double, ended_at timestamp, is_coding boolean")
+    clusters = spark.createDataFrame([(u, u % 4 if u % 4 < 3 else None) for u in range(28)], "user_id long, learner_cluster long")
+    got = {r["user_id"]: r["mastery"] for r in mastery.mastery_update(df, clusters).collect()}
     for u in range(30):
         k, last = 0.0, None
-        for _, _, _, acc, at in sorted((x for x in data if x[0] == u), key=lambda x: (x[4], x[1])):
+        slip, guess = {0: (0.05, 0.2), 1: (0.1, 0.25)}.get(u % 4 if u < 28 else None, (0.15, 0.3))
+        for _, _, _, acc, at, coding in sorted((x for x in data if x[0] == u), key=lambda x: (x[4], x[1])):
             right = acc >= 0.5
-            p = k * 0.85 / (k * 0.85 + (1 - k) * 0.3) if right else k * 0.15 / (k * 0.15 + (1 - k) * 0.7)
+            p = k * (1 - slip) / (k * (1 - slip) + (1 - k) * guess) if right else k * slip / (k * slip + (1 - k) * (1 - guess))
             p = min(max(p, 0.05), 0.95)
             p = p + (1 - p) * 0.1 if right else p
             w = 1.0 if last is None else min(1 + 0.05 * ((at - last).total_seconds() // 86400), 2.0)
-            k, last = min(max(k + (p - k) * w, 0.0), 1.0), at
+            k, last = min(max(k + (p - k) * w * (1.5 if coding and right else 1), 0.0), 1.0), at
         assert got[u] == pytest.approx(k * 100)
 
 
@@ -125,7 +127,9 @@ def test_section_chunks(spark):
 
 def test_normalize_difficulty(spark):
     got = spark.createDataFrame([("Beginner",), ("master",), ("0.4",), ("3",), ("x",), (None,)], "d string").select(scalar.normalize_difficulty(F.col("d")).alias("x"))
-    assert [r["x"] for r in got.collect()] == [0.0, 1.0, 0.4, pytest.approx(2 / 3), 0.5, 0.5]
+    assert [r["x"] for r in got.collect()] == [0.0, 1.0, 0.5, 0.5, 0.5, 0.5]
+    got = spark.createDataFrame([(0.4,), (3.0,), (-1.0,), (None,)], "x double").select(scalar.normalize_number(F.col("x")).alias("x"))
+    assert [r["x"] for r in got.collect()] == [0.4, pytest.approx(2 / 3), 0.5, 0.5]
 
 
 def test_effective(spark):
