@@ -29,6 +29,16 @@ VIEWS = {
         l_linenumber AS line, l_shipdate AS created_at, CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END AS correct,
         CAST(l_quantity AS INT) AS time_taken FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "attempts": "SELECT user_id AS student, event_type AS skill, CASE WHEN value > 100 THEN 1 ELSE 0 END AS correct, ts, event_id FROM events",
+    "items": """SELECT l_orderkey AS session_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS item_id,
+        l_partkey AS question_id, p_brand AS correct_answer, CASE WHEN l_returnflag <> 'R' THEN concat(' ', upper(p_brand), ' ') ELSE 'x' END AS given_answer,
+        CAST(l_quantity AS INT) AS time_taken, l_linenumber % 7 = 0 AS skipped FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "bank": """SELECT p_partkey AS question_id, CASE WHEN p_size % 23 = 0 THEN NULL ELSE p_partkey % 25 END AS topic_id, p_partkey % 100 AS subtopic_id,
+        CASE WHEN p_size % 19 = 0 THEN 'short' ELSE p_name END AS question_text, CASE WHEN p_size % 13 = 0 THEN ' ' ELSE p_brand END AS correct_answer, p_size,
+        CASE WHEN p_size <= 12 THEN 'beginner' WHEN p_size <= 25 THEN 'intermediate' WHEN p_size <= 38 THEN 'advanced' ELSE 'master' END AS difficulty,
+        CASE WHEN p_type IN ('PROMO', 'ECONOMY') THEN 'coding' ELSE 'non_coding' END AS game_type, CASE WHEN p_size % 11 = 0 THEN 'processing' ELSE 'pending' END AS status,
+        p_size % 3 = 0 AS flagged, CASE WHEN p_size % 2 = 0 THEN 'Wrong answer' ELSE 'Typo in the text' END AS flag_reason, p_partkey AS flag_created_at, p_size % 5 AS flag_count,
+        concat('{"explanation":"', p_brand, '","n":', CAST(p_size AS STRING), CASE WHEN p_size % 4 = 0 THEN ',"used":true' ELSE '' END, CASE WHEN p_size % 6 = 0 THEN ',"context":"c"' ELSE '' END,
+            CASE WHEN p_size % 5 = 0 THEN ',"rag_context":{"used":1}' WHEN p_size % 5 = 1 THEN ',"rag_context":{"used":1,"x":[1,2]}' ELSE '' END, '}') AS game_data FROM part""",
     "chunks": """SELECT doc_id AS chunk_id, source AS document, text, n_chars,
         row_number() OVER (PARTITION BY source ORDER BY doc_id) AS order_in_doc FROM documents""",
 }
@@ -51,7 +61,7 @@ def domain(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     """One domain table as a DataFrame over the Parquet files."""
     import re
 
-    sql = VIEWS[view]
+    sql = VIEWS[view].replace("{", "{{").replace("}", "}}")  # braces of the text, beside those that name tables
     args = {}
     for name in TABLES:
         if re.search(rf"\b{name}\b", sql):
