@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 #: Words that say little about a question.
-COMMON = "a an the and or but in on at to for of with by is are was were be been being have has had do does did will would could should".split()
+COMMON = ("a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should")
 BACKSLASH_MARKS = "[.,!?()\\[\\]{}\";:]+"
 
 
@@ -108,6 +108,19 @@ def similar(new: DataFrame, stored: DataFrame, threshold: float = 0.8, length_ra
     return full.where((F.col("t1") == F.col("t2")) | ((ratio >= length_ratio) & (jaccard >= threshold))).select("new_id", "stored_id")
 
 
+def repeats(questions: DataFrame, threshold: float = 0.8, length_ratio: float = 0.7) -> DataFrame:
+    """(question_id, existing_id): questions that repeat one with a smaller id, and the smallest of those. Equal texts of a block
+    are one class with its smallest id, so that copies meet no other copy; classes meet by ``similar``."""
+    block = ["subtopic_id", "difficulty", "game_type"]
+    rows = questions.withColumn("t", F.lower(F.trim("question_text"))).where("t <> ''")
+    classes = rows.groupBy(*block, "t").agg(F.min("question_id").alias("question_id"))
+    named_ = classes.select("question_id", *block, F.col("t").alias("question_text"))
+    near = similar(named_, named_, threshold, length_ratio).groupBy(F.col("new_id").alias("first_id")).agg(F.min("stored_id").alias("least_id"))
+    first = classes.select(*block, "t", F.col("question_id").alias("first_id")).join(near, "first_id", "left")
+    found = rows.join(first, [*block, "t"]).select("question_id", F.coalesce("least_id", "first_id").alias("existing_id"))
+    return found.where("existing_id < question_id")
+
+
 def subtopic_pairs(subtopics: DataFrame) -> DataFrame:
     """Pairs of subtopics of one topic, at most half as many as the topic has subtopics (one at least), in order."""
     w = W.partitionBy("topic_id")
@@ -120,9 +133,19 @@ def subtopic_pairs(subtopics: DataFrame) -> DataFrame:
     return pairs.select("topic_id", "first_id", "second_id")
 
 
-def recent(questions: DataFrame, n: int = 10) -> DataFrame:
-    """The newest questions."""
-    return questions.orderBy(F.desc("question_id")).limit(n).select("question_id", "difficulty", "game_type")
+def recent_and_top(questions: DataFrame, subtopics: DataFrame, rankings: DataFrame, n: int = 10) -> DataFrame:
+    """(list, place, id, value): the newest questions, the subtopics with most questions, and the latest rankings (ranking_id,
+    updated_at)."""
+
+    def top(rows: DataFrame, name: str) -> DataFrame:
+        best = rows.orderBy(F.desc("value"), "id").limit(n)
+        place = F.row_number().over(W.partitionBy(F.lit(name)).orderBy(F.desc("value"), "id"))  # over n rows
+        return best.select(F.lit(name).alias("list"), place.cast("bigint").alias("place"), F.col("id").cast("bigint").alias("id"), F.col("value").cast("bigint").alias("value"))
+
+    newest = questions.select(F.col("question_id").alias("id"), F.col("question_id").alias("value"))
+    busiest = questions.groupBy(F.col("subtopic_id").alias("id")).agg(F.count("*").alias("value")).join(subtopics.select(F.col("subtopic_id").alias("id")), "id", "left_semi")
+    latest = rankings.select(F.col("ranking_id").alias("id"), F.col("updated_at").alias("value"))
+    return top(newest, "newest").unionByName(top(busiest, "most questions")).unionByName(top(latest, "rankings"))
 
 
 def bands(mastery: DataFrame, subtopics: DataFrame, users: DataFrame) -> DataFrame:

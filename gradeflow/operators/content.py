@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-JUNK_LENGTH = 200
-
-
 def token_stats(chunks: DataFrame) -> DataFrame:
     """Per document: chunks, estimated tokens (characters div 4), their mean, least and most, and large chunks."""
     t = F.floor(F.length("text") / 4)
@@ -16,19 +13,6 @@ def token_stats(chunks: DataFrame) -> DataFrame:
     return rows.groupBy("document").agg(F.count("*").alias("chunks"), F.sum("t").alias("tokens"), F.round(F.avg("t"), 2).alias("mean"), F.min("t").alias("least"), F.max("t").alias("most"), F.count_if(F.col("t") > 1000).alias("over_1k"), F.count_if(F.col("t") > 2000).alias("over_2k"))
 
 
-def junk_chunks(chunks: DataFrame) -> DataFrame:
-    """Chunks without enough text, with the reason."""
-    n = F.length(F.trim("text"))
-    reason = F.when(n == 0, "empty").when(n < JUNK_LENGTH, "short")
-    return chunks.select("chunk_id", reason.alias("reason")).where("reason is not null")
-
-
-def neighbors(chunks: DataFrame) -> DataFrame:
-    """Previous and next chunk of each chunk of a document."""
-    w = W.partitionBy("document").orderBy("order_in_doc")
-    return chunks.select("chunk_id", "document", F.lag("chunk_id").over(w).alias("previous_id"), F.lead("chunk_id").over(w).alias("next_id"))
-
-
 def pages_of(chunks: DataFrame, per_page: int = 4) -> DataFrame:
     """Per (document, page): chunks and first of them."""
     page = F.floor((F.col("order_in_doc") - 1) / per_page)
@@ -51,42 +35,41 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
 
 
-def semantic_rank(owners: DataFrame, chunks: DataFrame, least: float = 0.1, k: int = 10, most_owners: int = 50_000) -> DataFrame:
-    """(owner_id, rank, chunk_id, cosine): the k nearest chunks of each owner from a least cosine on. owners and chunks:
-    (id, model, vector). The owners go to every task as one matrix for each model if there are no more than
-    ``most_owners``, else in so many groups of them, one after another; a task sends only its k best of each owner."""
+OWNERS, CHUNKS = 512, 4096
+
+
+def semantic_rank(owners: DataFrame, chunks: DataFrame, least: float = 0.1, k: int = 10) -> DataFrame:
+    """(owner_id, rank, chunk_id, cosine): the k nearest chunks of each owner from a least cosine on; owners without any keep a
+    row of nulls. owners and chunks: (id, model, vector); an owner is no chunk of its own, and models don't meet. Groups of
+    owners and of chunks make tiles, each a matrix product in one task, of which only the k best of each owner leave."""
     import numpy as np
     import pandas as pd
 
-    spark = owners.sparkSession
-    total = owners.count()
-    groups = max(1, -(-total // most_owners))
-    unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1)
-    parts = []
-    for g in range(groups):
-        some = owners if groups == 1 else owners.where(F.pmod(F.xxhash64("id"), F.lit(groups)) == g)
-        sides: dict = {}
-        for r in some.where("vector is not null").collect():
-            sides.setdefault((r.model, len(r.vector)), []).append((r.id, r.vector))
-        shared = spark.sparkContext.broadcast({m: (np.array([i for i, _ in v]), unit(np.array([x for _, x in v], float))) for m, v in sides.items()})
-
-        def rank(batches, shared=shared):
-            for batch in batches:
-                for (model, size), (ids, matrix) in shared.value.items():
-                    own = batch[(batch["model"] == model) & (batch["vector"].map(lambda v: v is not None and len(v) == size))].sort_values("id")
-                    if not len(own):
-                        continue
-                    scores = unit(np.array(own["vector"].tolist(), float)) @ matrix.T
-                    top = np.argsort(-np.round(scores, 9), axis=0, kind="stable")[:k]
-                    for column, owner in enumerate(ids):
-                        pick = top[:, column]
-                        values = scores[pick, column]
-                        good = values >= least
-                        yield pd.DataFrame({"owner_id": owner, "chunk_id": own["id"].to_numpy()[pick][good], "cosine": values[good]})
-
-        parts.append(chunks.select("id", "model", "vector").mapInPandas(rank, "owner_id bigint, chunk_id bigint, cosine double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    n, asked = chunks.count(), owners.count()
+    groups, shards = max(1, -(-asked // OWNERS)), max(1, -(-n // CHUNKS))
+    part = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = owners.where("vector is not null").select("id", "model", "vector", part(groups).alias("g"), every(shards).alias("s"))
+    right = chunks.where("vector is not null").select(F.col("id").alias("chunk_id"), F.col("model").alias("chunk_model"), F.col("vector").alias("chunk_vector"), part(shards).alias("s"), every(groups).alias("g"))
+    unit = lambda m: m / np.where((size := np.linalg.norm(m, axis=1, keepdims=True)) > 0, size, 1)
+
+    def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [np.zeros((0, 3))]
+        b = b.sort_values("chunk_id")
+        for (model, size), some in a.groupby([a["model"], a["vector"].map(len)]):
+            own = b[(b["chunk_model"] == model) & (b["chunk_vector"].map(len) == size)]
+            if not len(own):
+                continue
+            ids, asks = own["chunk_id"].to_numpy(), some["id"].to_numpy()
+            scores = unit(np.array(some["vector"].tolist(), float)) @ unit(np.array(own["chunk_vector"].tolist(), float)).T
+            scores[asks[:, None] == ids[None, :]] = -2
+            top = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
+            found = np.stack([np.repeat(asks, top.shape[1]), ids[top].ravel(), np.take_along_axis(scores, top, 1).ravel()], axis=1)
+            out.append(found[found[:, 2] >= least])
+        flat = np.concatenate(out)
+        return pd.DataFrame({"owner_id": flat[:, 0].astype("int64"), "chunk_id": flat[:, 1].astype("int64"), "cosine": flat[:, 2]})
+
+    found = left.groupBy("g", "s").cogroup(right.groupBy("g", "s")).applyInPandas(tile, "owner_id bigint, chunk_id bigint, cosine double")
     place = F.row_number().over(W.partitionBy("owner_id").orderBy(F.desc(F.round("cosine", 9)), "chunk_id"))
-    return found.withColumn("rank", place.cast("bigint")).where(F.col("rank") <= k).select("owner_id", "rank", "chunk_id", F.round("cosine", 5).alias("cosine"))
+    best = found.withColumn("rank", place.cast("bigint")).where(F.col("rank") <= k).select("owner_id", "rank", "chunk_id", F.round("cosine", 5).alias("cosine"))
+    return owners.select(F.col("id").alias("owner_id")).join(best, "owner_id", "left")

@@ -37,15 +37,18 @@ def achievement_progress(sessions: DataFrame, responses: DataFrame) -> DataFrame
     return out.select("user_id", F.least("completed", F.lit(20)).cast("bigint").alias("enthusiast"), F.least("perfect", F.lit(5)).cast("bigint").alias("perfection"), F.least("fast", F.lit(1)).cast("bigint").alias("speed"), (F.col("completed") >= 20).alias("has_enthusiast"), (F.col("perfect") >= 5).alias("has_perfection"), (F.col("fast") >= 1).alias("has_speed"))
 
 
-def achievement_awards(sessions: DataFrame, responses: DataFrame, awarded: DataFrame | None = None) -> DataFrame:
-    """(user_id, code) newly earned; fast sessions count in crosswords and word searches only."""
+def achievement_awards(sessions: DataFrame, responses: DataFrame, zones: DataFrame | None = None, awarded: DataFrame | None = None) -> DataFrame:
+    """(user_id, code) newly earned; first steps and fast sessions count in crosswords and word searches only. zones: (user_id,
+    zone_order, completion), of which a complete one earns that zone's award."""
     perfect = responses.groupBy("session_id").agg(F.min("correct").alias("all_right"))
     rows = sessions.where("status = 'completed'").join(perfect, "session_id", "left")
     ok = F.coalesce(F.col("all_right") == 1, F.lit(False))
-    fast = ok & (F.col("elapsed") <= 60) & F.coalesce(F.col("game_type").isin("crossword", "wordsearch"), F.lit(False))
-    out = rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(ok).alias("p"), F.count_if(fast).alias("f"))
-    codes = F.array(F.when(F.col("n") >= 20, "game_enthusiast"), F.when(F.col("p") >= 5, "perfection_seeker"), F.when(F.col("f") >= 1, "speed_solver"))
+    concept = F.coalesce(F.col("game_type").isin("crossword", "wordsearch"), F.lit(False))
+    out = rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(ok).alias("p"), F.count_if(ok & (F.col("elapsed") <= 60) & concept).alias("f"), F.count_if(concept).alias("c"))
+    codes = F.array(F.when(F.col("c") >= 1, "first_steps"), F.when(F.col("n") >= 20, "game_enthusiast"), F.when(F.col("p") >= 5, "perfection_seeker"), F.when(F.col("f") >= 1, "speed_solver"))
     earned = out.select("user_id", F.explode(codes).alias("code")).where("code is not null")
+    if zones is not None:
+        earned = earned.unionByName(zones.where(F.round("completion", 9) >= 100).select("user_id", F.concat(F.lit("zone_"), F.col("zone_order").cast("string")).alias("code")))
     return earned if awarded is None else earned.join(awarded, ["user_id", "code"], "left_anti")
 
 

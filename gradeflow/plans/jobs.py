@@ -125,7 +125,8 @@ def current_zone(spark: SparkSession, d: str) -> DataFrame:
     return mastery.current_zone(_zones(spark, d))
 
 
-@job()
+@job(f"""WITH {MASTERY}, h AS (SELECT user_id, count(*) AS known, count(*) FILTER (WHERE mastery < 90) AS low, count(*) FILTER (WHERE mastery >= 90 AND mastery < 100) AS review, count(*) FILTER (WHERE mastery >= 100) AS maintained FROM mastery GROUP BY user_id)
+    SELECT u.user_id AS user_id, coalesce(low, 0) + (SELECT count(*) FROM subtopics) - coalesce(known, 0) AS weak, coalesce(review, 0) AS review, coalesce(maintained, 0) AS maintained FROM users u LEFT JOIN h ON h.user_id = u.user_id""")
 def mastery_bands(spark: SparkSession, d: str) -> DataFrame:
     return bank.bands(_mastery(spark, d), domain(spark, d, "subtopics"), domain(spark, d, "users"))
 
@@ -227,13 +228,13 @@ def achievement_progress(spark: SparkSession, d: str) -> DataFrame:
     return games.achievement_progress(domain(spark, d, "sessions"), domain(spark, d, "responses"))
 
 
-@job(f"""WITH p AS ({ALL_RIGHT}), c AS (SELECT user_id, count(*) AS n, sum(CASE WHEN all_right = 1 THEN 1 ELSE 0 END) AS p,
+@job(f"""WITH {ZONES}, p AS ({ALL_RIGHT}), c AS (SELECT user_id, count(*) AS n, sum(CASE WHEN all_right = 1 THEN 1 ELSE 0 END) AS p, count(*) FILTER (WHERE game_type IN ('crossword', 'wordsearch')) AS c,
         sum(CASE WHEN all_right = 1 AND elapsed <= 60 AND game_type IN ('crossword', 'wordsearch') THEN 1 ELSE 0 END) AS f
         FROM sessions LEFT JOIN p USING (session_id) WHERE status = 'completed' GROUP BY user_id)
-    SELECT user_id, 'game_enthusiast' AS code FROM c WHERE n >= 20 UNION ALL SELECT user_id, 'perfection_seeker' AS code FROM c WHERE p >= 5
-    UNION ALL SELECT user_id, 'speed_solver' AS code FROM c WHERE f >= 1""")
+    SELECT user_id, 'first_steps' AS code FROM c WHERE c >= 1 UNION ALL SELECT user_id, 'game_enthusiast' AS code FROM c WHERE n >= 20 UNION ALL SELECT user_id, 'perfection_seeker' AS code FROM c WHERE p >= 5
+    UNION ALL SELECT user_id, 'speed_solver' AS code FROM c WHERE f >= 1 UNION ALL SELECT user_id, 'zone_' || zone_order FROM zone_rows WHERE round(completion, 9) >= 100""")
 def achievement_awards(spark: SparkSession, d: str) -> DataFrame:
-    return games.achievement_awards(domain(spark, d, "sessions"), domain(spark, d, "responses"))
+    return games.achievement_awards(domain(spark, d, "sessions"), domain(spark, d, "responses"), _zones(spark, d))
 
 
 @job("""SELECT user_id, round(avg(time_taken), 6) AS avg_time, round(avg(correct), 6) AS accuracy, count(*) AS answers
@@ -304,13 +305,12 @@ def question_hash_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @job("""WITH q AS (SELECT question_id, subtopic_id, difficulty, game_type, lower(trim(question_text)) AS t,
         list_distinct(string_split(lower(trim(question_text)), ' ')) AS w FROM questions)
-    SELECT a.question_id AS new_id, b.question_id AS stored_id FROM q a JOIN q b ON a.subtopic_id = b.subtopic_id AND a.difficulty = b.difficulty AND a.game_type = b.game_type
-    WHERE a.question_id % 2 = 1 AND b.question_id % 2 = 0 AND (a.t = b.t OR (least(length(a.t), length(b.t)) * 1.0 / greatest(length(a.t), length(b.t)) >= 0.7
-        AND len(list_intersect(a.w, b.w)) * 1.0 / len(list_distinct(list_concat(a.w, b.w))) >= 0.8))""")
+    SELECT a.question_id AS question_id, min(b.question_id) AS existing_id FROM q a JOIN q b ON a.subtopic_id = b.subtopic_id AND a.difficulty = b.difficulty AND a.game_type = b.game_type
+    WHERE b.question_id < a.question_id AND (a.t = b.t OR (least(length(a.t), length(b.t)) * 1.0 / greatest(length(a.t), length(b.t)) >= 0.7
+        AND len(list_intersect(a.w, b.w)) * 1.0 / len(list_distinct(list_concat(a.w, b.w))) >= 0.8)) GROUP BY a.question_id""")
 def similar_questions(spark: SparkSession, d: str) -> DataFrame:
-    """Odd ids stand for the new questions, even ids for the stored ones."""
-    q = domain(spark, d, "questions")
-    return bank.similar(q.where("question_id % 2 = 1"), q.where("question_id % 2 = 0"))
+    """Each question is new to those with smaller ids."""
+    return bank.repeats(domain(spark, d, "questions"))
 
 
 @job("""WITH r AS (SELECT topic_id, subtopic_id, order_in_topic AS i, count(*) OVER (PARTITION BY topic_id) AS n FROM subtopics),
@@ -321,9 +321,12 @@ def subtopic_combinations(spark: SparkSession, d: str) -> DataFrame:
     return bank.subtopic_pairs(domain(spark, d, "subtopics"))
 
 
-@job("SELECT question_id, difficulty, game_type FROM questions ORDER BY question_id DESC LIMIT 10")
+@job("""WITH a AS (SELECT 'newest' AS list, question_id AS id, question_id AS value FROM questions), b AS (SELECT 'most questions' AS list, subtopic_id AS id, count(*) AS value FROM questions WHERE subtopic_id IN (SELECT subtopic_id FROM subtopics) GROUP BY subtopic_id),
+    c AS (SELECT 'rankings' AS list, vec_id AS id, vec_id * 7919 % 100003 AS value FROM embeddings), u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c),
+    k AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY value DESC, id) AS place FROM u) SELECT list, place, CAST(id AS BIGINT) AS id, CAST(value AS BIGINT) AS value FROM k WHERE place <= 10""")
 def recent_and_top(spark: SparkSession, d: str) -> DataFrame:
-    return bank.recent(domain(spark, d, "questions"))
+    rankings = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("ranking_id"), (F.col("vec_id") * 7919 % 100003).alias("updated_at"))
+    return bank.recent_and_top(domain(spark, d, "questions"), domain(spark, d, "subtopics"), rankings)
 
 
 @job("""WITH t AS (SELECT document, length(text) // 4 AS t FROM chunks) SELECT document, count(*) AS chunks, CAST(sum(t) AS BIGINT) AS tokens, round(avg(t), 2) AS mean,
@@ -332,17 +335,6 @@ def chunk_token_stats(spark: SparkSession, d: str) -> DataFrame:
     return content.token_stats(domain(spark, d, "chunks"))
 
 
-@job("""SELECT chunk_id, CASE WHEN length(trim(text)) = 0 THEN 'empty' ELSE 'short' END AS reason FROM chunks WHERE length(trim(text)) < 200""")
-def junk_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return content.junk_chunks(domain(spark, d, "chunks"))
-
-
-@job("""SELECT chunk_id, document, lag(chunk_id) OVER (PARTITION BY document ORDER BY order_in_doc) AS previous_id,
-    lead(chunk_id) OVER (PARTITION BY document ORDER BY order_in_doc) AS next_id FROM chunks""")
-def reading_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    return content.neighbors(domain(spark, d, "chunks"))
-
-
 @job("SELECT document, (order_in_doc - 1) // 4 AS page, count(*) AS chunks, min(chunk_id) AS first_id FROM chunks GROUP BY ALL")
 def chunks_by_page(spark: SparkSession, d: str) -> DataFrame:
     return content.pages_of(domain(spark, d, "chunks"))
@@ -350,13 +342,13 @@ def chunks_by_page(spark: SparkSession, d: str) -> DataFrame:
 
 @job("""WITH v AS (SELECT vec_id AS id, label % 2 AS model, embedding AS v, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS n FROM embeddings),
     c AS (SELECT a.id AS owner_id, b.id AS chunk_id, list_sum(list_transform(list_zip(a.v, b.v), lambda z: CAST(z[1] AS DOUBLE) * z[2])) / (a.n * b.n) AS cosine
-        FROM v a JOIN v b ON a.model = b.model WHERE a.id < 20 AND b.id >= 20 AND a.n > 0 AND b.n > 0),
+        FROM v a JOIN v b ON a.model = b.model WHERE a.id % 100 = 0 AND b.id <> a.id AND a.n > 0 AND b.n > 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY round(cosine, 9) DESC, chunk_id) AS rank FROM c WHERE cosine >= 0.1)
-    SELECT owner_id, rank, chunk_id, round(cosine, 5) AS cosine FROM r WHERE rank <= 10""")
+    SELECT v.id AS owner_id, rank, chunk_id, round(cosine, 5) AS cosine FROM v LEFT JOIN r ON r.owner_id = v.id AND rank <= 10 WHERE v.id % 100 = 0""")
 def semantic_rank(spark: SparkSession, d: str) -> DataFrame:
-    """The first 20 vectors stand for subtopics, the rest for chunks; the label's parity for the model."""
+    """A search: the queries are the vectors whose id is divisible by 100, against all others; the label's parity is the model."""
     e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), (F.col("label") % 2).alias("model"), F.col("embedding").alias("vector"))
-    return content.semantic_rank(e.where("id < 20"), e.where("id >= 20"))
+    return content.semantic_rank(e.where("id % 100 = 0"), e)
 
 
 EIG = f"""{MASTERY}, {ABILITY},
@@ -379,12 +371,14 @@ def eig_scores(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("user_id", "subtopic_id", "difficulty", F.round(gain, 6).alias("eig"))
 
 
-@job("""SELECT n.user_id AS user_id, t.topic_id AS topic_id, t.zone_id AS zone_id FROM topics t JOIN (SELECT DISTINCT topic_id FROM subtopics) s ON t.topic_id = s.topic_id,
-    (SELECT user_id FROM users WHERE role = 'admin') n""")
-def topic_progress_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Every topic that has subtopics for every admin; topics are a small fixed dimension."""
+@job(f"""WITH {ZONES} SELECT u.user_id AS user_id, t.topic_id AS topic_id, t.zone_id AS zone_id, round(coalesce(r.percent, 0.0), 6) AS proficiency FROM topics t JOIN (SELECT DISTINCT topic_id FROM subtopics) s ON t.topic_id = s.topic_id
+    CROSS JOIN users u LEFT JOIN topic_rows r ON r.user_id = u.user_id AND r.topic_id = t.topic_id""")
+def topic_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Every user's proficiency in every topic that has subtopics, 0 where there is none. Topics are a small fixed dimension."""
     topics = domain(spark, d, "topics").join(domain(spark, d, "subtopics").select("topic_id"), "topic_id", "left_semi").select("topic_id", "zone_id")
-    return domain(spark, d, "users").where("role = 'admin'").select("user_id").crossJoin(F.broadcast(topics))
+    have = mastery.proficiency(_mastery(spark, d), domain(spark, d, "subtopics"))
+    every = domain(spark, d, "users").select("user_id").crossJoin(topics)
+    return every.join(have, ["user_id", "topic_id"], "left").select("user_id", "topic_id", "zone_id", F.round(F.coalesce("percent", F.lit(0.0)), 6).alias("proficiency"))
 
 
 @job("""SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.skill, o.skill) AS skill, CASE WHEN n.user_id IS NOT NULL THEN n.n ELSE o.n END AS n
@@ -405,20 +399,23 @@ def insert_missing(spark: SparkSession, d: str) -> DataFrame:
     return changes.insert_missing(first(a.where("correct = 1")), first(a), ["student", "skill"])
 
 
-@job("""WITH m AS (SELECT question_id, avg(correct) AS mean FROM responses GROUP BY question_id), i AS (SELECT question_id, round((0.5 - mean) * 6, 6) AS b FROM m),
-    l AS (SELECT CAST(round(least(greatest(b, -3), 3) * 1000) AS INTEGER) AS level, min(question_id) AS id FROM i GROUP BY 1),
-    u AS (SELECT user_id, CAST(round(least(greatest(round((avg(correct) - 0.5) * 6, 6), -3), 3) * 1000) AS INTEGER) AS level FROM responses GROUP BY user_id),
-    c AS (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY abs(l.level - u.level), id) AS k FROM u, l)
-    SELECT user_id, id AS question_id FROM c WHERE k = 1""")
+@job("""WITH m AS (SELECT question_id, (0.5 - avg(correct)) * 6 AS b FROM responses GROUP BY question_id), i AS (SELECT m.question_id, game_type, b FROM m JOIN questions q ON q.question_id = m.question_id),
+    u AS (SELECT u.user_id, coalesce(t, 0.0) AS theta FROM users u LEFT JOIN (SELECT user_id, (avg(correct) - 0.5) * 6 AS t FROM responses GROUP BY user_id) r ON r.user_id = u.user_id),
+    g AS (SELECT DISTINCT theta FROM u), c AS (SELECT theta, game_type, question_id, row_number() OVER (PARTITION BY theta, game_type ORDER BY abs(b - theta), question_id) AS k FROM g, i)
+    SELECT user_id, game_type, question_id FROM u JOIN c ON u.theta = c.theta WHERE k = 1""")
 def nearest_theta_item(spark: SparkSession, d: str) -> DataFrame:
     """Accuracies stand for ability and difficulty."""
     r = domain(spark, d, "responses")
-    items = r.groupBy("question_id").agg(F.round((0.5 - F.avg("correct")) * 6, 6).alias("b"))
-    users = r.groupBy("user_id").agg(F.round((F.avg("correct") - 0.5) * 6, 6).alias("theta"))
+    items = r.groupBy("question_id").agg(((0.5 - F.avg("correct")) * 6).alias("b")).join(domain(spark, d, "questions").select("question_id", "game_type"), "question_id")
+    users = domain(spark, d, "users").select("user_id").join(r.groupBy("user_id").agg(((F.avg("correct") - 0.5) * 6).alias("theta")), "user_id", "left")
     return selection.nearest_item(users, items)
 
 
-@job()
+@job(f"""WITH {EIG}, c AS (SELECT g.user_id, q.question_id, g.subtopic_id, eig / 0.6 - ln(-ln((CAST('0x' || left(md5('7|' || g.user_id || '|' || q.question_id), 12) AS BIGINT) + 0.5) / 281474976710656.0)) AS pull
+        FROM gains g JOIN questions q ON q.subtopic_id = g.subtopic_id AND q.difficulty = g.difficulty WHERE NOT flagged),
+    t AS (SELECT *, row_number() OVER (PARTITION BY user_id, subtopic_id ORDER BY pull DESC, question_id) AS turn FROM c),
+    p AS (SELECT user_id, question_id, row_number() OVER (PARTITION BY user_id ORDER BY turn, pull DESC, question_id) AS place FROM t WHERE turn <= 5)
+    SELECT user_id, question_id, place FROM p WHERE place <= 5""")
 def select_questions(spark: SparkSession, d: str) -> DataFrame:
     """Five questions for each user among those of the subtopics practised, by gain."""
     gains = eig_scores(spark, d).withColumnRenamed("eig", "gain")
@@ -429,7 +426,7 @@ def select_questions(spark: SparkSession, d: str) -> DataFrame:
 @job()
 def learner_clusters(spark: SparkSession, d: str) -> DataFrame:
     features = games.learner_features(domain(spark, d, "responses"))
-    return selection.assign_cluster(features, *selection.train_clusters(features))
+    return selection.every_cluster(selection.assign_cluster(features, *selection.train_clusters(features)), domain(spark, d, "users"))
 
 
 @job("""WITH g AS (SELECT student, ts, correct, CASE WHEN date_diff('second', lag(ts) OVER (PARTITION BY student ORDER BY ts), ts) < 300 THEN 0 ELSE 1 END AS new FROM attempts),

@@ -5,7 +5,7 @@ import re
 import duckdb
 import pytest
 
-from gradeflow.plans import adapters, jobs
+from gradeflow.plans import adapters, bank_jobs, content_jobs, jobs  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -49,9 +49,15 @@ def test_sampling_law(spark):
 
 
 def test_nearest_item(spark):
-    items = spark.createDataFrame([(1, -1.0), (2, 0.5), (3, 0.5), (4, 2.9)], "question_id long, b double")
-    users = spark.createDataFrame([(1, -9.0), (2, 0.4), (3, 1.7), (4, 3.5)], "user_id long, theta double")
-    assert dict(map(tuple, selection.nearest_item(users, items).collect())) == {1: 1, 2: 2, 3: 2, 4: 4}
+    """Against all pairs: ties, values in other bins, and games of their own."""
+    import random
+
+    rng = random.Random(4)
+    items = [(i, "ab"[i % 2], rng.choice([rng.uniform(-0.2, 0.2), rng.uniform(-3, 3), 0.5])) for i in range(120)] + [(900, "c", 2.9)]
+    users = [(i, rng.choice([rng.uniform(-4, 4), rng.uniform(-0.1, 0.1), 0.5, None])) for i in range(200)]
+    got = sorted(map(tuple, selection.nearest_item(spark.createDataFrame(users, "user_id long, theta double"), spark.createDataFrame(items, "question_id long, game_type string, b double")).collect()))
+    want = [(u, g, min((abs(b - (t or 0.0)), q) for q, k, b in items if k == g)[1]) for u, t in users for g in "abc"]
+    assert got == sorted(want)
 
 
 def test_streams_agree_with_batches(spark, tmp_path):
@@ -64,4 +70,4 @@ def test_streams_agree_with_batches(spark, tmp_path):
         query = job(answers.deduplicated(stream), delay=None).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
         query.awaitTermination(60)
         got = {tuple(r) for r in spark.table(name).collect()}
-        assert got <= {tuple(r) for r in job(events.dropDuplicates(["event_id"])).collect()}
+        assert got and got <= {tuple(r) for r in job(events.dropDuplicates(["event_id"])).collect()}
