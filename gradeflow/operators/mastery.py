@@ -90,9 +90,9 @@ def zone_completion(topic_rows: DataFrame, topics: DataFrame, zones: DataFrame,
 
 def completion_leaderboard(zone_rows: DataFrame, users: DataFrame) -> DataFrame:
     """(user_id, username, overall, zones as text) of learners: mean of the rounded zone completions, best first."""
-    rows = zone_rows.join(users.where("role = 'learner'"), "user_id").withColumn("c", F.round(F.round("completion", 9), 2))
+    rows = zone_rows.join(users.where("role = 'learner'"), "user_id").withColumn("c", F.floor(F.round("completion", 6) * 100 + 0.5) / 100)
     parts = F.transform(F.sort_array(F.collect_list(F.struct("zone_order", "c"))), lambda z: z["c"])
-    board = rows.groupBy("user_id", "username").agg(F.round(F.round(F.avg("c"), 9), 2).alias("overall"), F.array_join(F.transform(parts, lambda x: F.format_string("%.2f", x)), ",").alias("zones"))
+    board = rows.groupBy("user_id", "username").agg((F.floor(F.round(F.avg("c"), 6) * 100 + 0.5) / 100).alias("overall"), F.array_join(F.transform(parts, lambda x: F.format_string("%.2f", x)), ",").alias("zones"))
     return board.orderBy(F.desc("overall"), "username", "user_id")
 
 

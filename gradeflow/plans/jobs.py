@@ -113,8 +113,8 @@ def proficiency_rollup(spark: SparkSession, d: str) -> DataFrame:
     return _zones(spark, d).withColumn("completion", F.round("completion", 5))
 
 
-@job(f"""WITH {ZONES}, c AS (SELECT z.user_id, username, zone_order, round(round(completion, 9), 2) AS c FROM zone_rows z JOIN users u ON z.user_id = u.user_id WHERE role = 'learner')
-    SELECT user_id, username, round(round(avg(c), 9), 2) AS overall, string_agg(printf('%.2f', c), ',' ORDER BY zone_order) AS zones FROM c GROUP BY user_id, username""")
+@job(f"""WITH {ZONES}, c AS (SELECT z.user_id, username, zone_order, floor(round(completion, 6) * 100 + 0.5) / 100 AS c FROM zone_rows z JOIN users u ON z.user_id = u.user_id WHERE role = 'learner')
+    SELECT user_id, username, floor(round(avg(c), 6) * 100 + 0.5) / 100 AS overall, string_agg(printf('%.2f', c), ',' ORDER BY zone_order) AS zones FROM c GROUP BY user_id, username""")
 def completion_leaderboard(spark: SparkSession, d: str) -> DataFrame:
     return mastery.completion_leaderboard(_zones(spark, d), domain(spark, d, "users"))
 
