@@ -185,13 +185,19 @@ class Matcher:
 
 
 def search_batch(column: pa.Array, passes: list[Broadcast]) -> pa.Array:
-    """Words, runs of hit words and items found, for each text. All slices of a batch go through a pass before the next one."""
-    slices = [Found(column.slice(a, b - a)) for a, b in row_slices(column)]
-    for one in passes:
-        matcher = tables(one)
-        for part in slices:
-            part.search(matcher)
-    return pa.concat_arrays([part.result() for part in slices]) if slices else pa.array([], pa_type())
+    """Words, runs of hit words and items found, for each text. With several passes, all slices of a batch go through one before
+    the next, so that tables are built once a batch; with one, a slice is done with before the next is brought to its form."""
+    parts = (column.slice(a, b - a) for a, b in row_slices(column))
+    if len(passes) <= 1:
+        out = [Found(part).after(passes) for part in parts]
+    else:
+        slices = [Found(part) for part in parts]
+        for one in passes:
+            matcher = tables(one)
+            for part in slices:
+                part.search(matcher)
+        out = [part.result() for part in slices]
+    return pa.concat_arrays(out) if out else pa.array([], pa_type())
 
 
 def pa_type() -> pa.DataType:
@@ -225,6 +231,11 @@ class Found:
             self.edges[word + words] -= 1
             self.items[int(np.searchsorted(normal.first, word, side="right")) - 1].add(item)
 
+    def after(self, passes: list[Broadcast]) -> pa.Array:
+        for one in passes:
+            self.search(tables(one))
+        return self.result()
+
     def result(self) -> pa.Array:
         return as_array(self.normal, self.edges, self.items)
 

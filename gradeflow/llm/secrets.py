@@ -36,6 +36,8 @@ THRESHOLDS = {"entropy_hex": 2.9, "entropy_base64": 3.7}
 ALLOWED = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[^0-9]*$|^[^a-z]*$|^[a-z]+([_/=-]+([a-z]+|[0-9]{1,4}))*$"
 #: Words that make a window a placeholder.
 PLACEHOLDER = "(?i)example|sample|dummy|placeholder|changeme|redacted|xxxx|0000|12345678|abcdefgh|qwerty"
+#: Different characters without which no window can reach its threshold: 2 to the power of it, rounded up.
+LEAST_LETTERS = {kind: math.ceil(2**bits) for kind, bits in THRESHOLDS.items()}
 #: Windows of a candidate that are taken together.
 STRETCH = 256
 #: Prefix sums are taken in blocks of this many, so that long arrays aren't copied once for each element.
@@ -206,6 +208,8 @@ def with_secret_spans(df: DataFrame, text: str = "text", output: str = "secret_s
     )
     df = df.withColumn("_base", F.concat(spans(assign, "assign"), spans(F.col("_access"), "access"), spans(F.col("_hex"), "hex")))
     live = F.filter("_run", lambda r: ~F.rlike(r.match, F.lit(ALLOWED)))
+    letters = lambda r: F.size(F.array_distinct(F.split(r.match, "")))
+    live = F.filter(live, lambda r: letters(r) >= F.when(F.rlike(r.match, F.lit("^[0-9a-fA-F]+$")), F.lit(LEAST_LETTERS["entropy_hex"])).otherwise(F.lit(LEAST_LETTERS["entropy_base64"])))
     live = F.transform(live, lambda r: F.struct(r.start.alias("start"), F.rlike(r.match, F.lit("^[0-9a-fA-F]+$")).alias("is_hex"), r.match.alias("match")))
     df = df.withColumn("_live", F.when(F.size("_run") > 0, live).otherwise(F.array().cast("array<struct<start:bigint,is_hex:boolean,match:string>>")))
 

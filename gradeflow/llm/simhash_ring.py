@@ -10,7 +10,7 @@ nothing less similar links. Two texts of similarity 0.8 agree in no segment in 0
 
 Texts with the same set are one node. Groups of nodes that agree in several segments and have the same members are searched
 once. A group is searched from node to node: those that link leave the search, so that a group of near copies costs a few
-passes over it and returns a spanning forest of its links, never all pairs. Groups of more than ``BLOCK`` nodes are cut into
+passes over it and returns one pair for each node that links connect to another, never all pairs. Groups of more than ``BLOCK`` nodes are cut into
 blocks, of which each two are searched together.
 
 Defined cases: null and wordless texts have the empty set and are one node; a text shorter than a shingle is one shingle;
@@ -28,11 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeflow.llm._shared import stored
+from gradeflow.llm._shared import row_slices, stored
 from gradeflow.llm.simhash import components
 
 THRESHOLD = 0.8
 SEGMENTS, SAMPLE = 16, 4
+#: Segments whose groups are searched first.
+FIRST = 4
 #: Bits of the whole ring that may differ.
 LIMIT = 320
 BLOCK = 2048
@@ -93,26 +95,29 @@ def sketched(documents: DataFrame, key: str, text: str, shingle: int) -> DataFra
     kind = dict(documents.dtypes)[key]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
-            rings = [ring(s) for s in sets]
-            nodes = [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets]
-            ends = np.cumsum([0, *map(len, rings)], dtype=np.int32)
-            columns = [
-                batch.column(0),
-                batch.column(1),
-                pa.array(np.array(nodes, np.uint64).view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rings, np.zeros(0, np.uint64)]).view(np.int64))),
-                pa.array([s.tobytes() for s in sets], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, [key, "hash", "node", "ring", "shingles"])
+        for whole in batches:
+            for low, high in row_slices(whole.column(2)):
+                batch = whole.slice(low, high - low)
+                sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
+                rings = [ring(s) for s in sets]
+                nodes = [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets]
+                ends = np.cumsum([0, *map(len, rings)], dtype=np.int32)
+                columns = [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array(np.array(nodes, np.uint64).view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rings, np.zeros(0, np.uint64)]).view(np.int64))),
+                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, [key, "hash", "node", "ring", "shingles"])
 
     own = documents.select(F.col(key), F.xxhash64(text).alias("hash"), F.col(text))
     return own.mapInArrow(rows, f"`{key}` {kind}, hash bigint, node bigint, ring array<bigint>, shingles binary")
 
 
 def forest(sets: list[np.ndarray], rings: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links inside a group of distinct sets. rings: a row of segments for each."""
+    """What links connect inside a group of distinct sets, as pairs of the first of a tree and each other one. rings: a row of
+    segments for each."""
     sizes = np.array([len(s) for s in sets])
     left = np.ones(len(sets), bool)
     out: list[tuple[int, int]] = []
@@ -133,7 +138,7 @@ def forest(sets: list[np.ndarray], rings: np.ndarray) -> list[tuple[int, int]]:
             found = rest[shared >= THRESHOLD * (sizes[rest] + sizes[own] - shared) - 1e-9]
             left[found] = False
             queue += found.tolist()
-            out += [(own, int(x)) for x in found]
+            out += [(first, int(x)) for x in found]
     return out
 
 
@@ -145,6 +150,7 @@ def grouped_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def take() -> None:
         if len(held) > 1:
+            held.sort(key=lambda h: h[0])  # so that the smallest node of a tree is its first
             for x, y in forest([np.frombuffer(s, np.uint32) for *_, s in held], np.array([r for _, r, _ in held], np.int64).view(np.uint64)):
                 a.append(held[x][0])
                 b.append(held[y][0])
@@ -167,24 +173,44 @@ def grouped_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pairs()
 
 
-def links(sketches: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes of at least the similarity; enough of them to connect all that links connect."""
-    keyed = sketches.select("node", F.posexplode("ring")).select("node", F.xxhash64("pos", "col").alias("key")).distinct()
+def crowded(keyed: DataFrame) -> DataFrame:
+    """(key, blocks): of the keys of several nodes (node, key, root), those whose nodes aren't all of one root; of keys that
+    have the same nodes one is enough."""
     members = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"m{k}") for k in (0, 1)]
-    counts = keyed.groupBy("key").agg(F.count("*").alias("count"), *members).where("count > 1")
-    # of segments that the same nodes agree in, one is enough
-    counts = counts.groupBy("count", "m0", "m1").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks"))
-    shared = keyed.join(counts, "key")
+    counts = keyed.groupBy("key").agg(F.count("*").alias("count"), *members, (F.min("root") < F.max("root")).alias("open")).where("open")
+    return counts.groupBy("count", "m0", "m1").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks"))
+
+
+def searched(keyed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) inside the groups that share a key. sets: (node, shingles, ring)."""
+    shared = keyed.join(crowded(keyed), "key")
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     # every two blocks meet in a cell of their own
     others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda x: x != F.col("block"))
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(others))
     cells = shared.withColumn("block", block).select("key", "node", "blocks", "block", other.alias("other"))
     cells = cells.select("key", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("cell"), "node")
-    cells = stored(cells, "cells")
-    sets = sketches.join(cells.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("shingles", "ring")).alias("s")).select("node", "s.*")
     placed = cells.join(sets, "node").select("key", "cell", "node", "ring", "shingles").repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return placed.mapInArrow(grouped_links, "a bigint, b bigint").distinct()
+    return stored(placed.mapInArrow(grouped_links, "a bigint, b bigint").distinct(), "links")
+
+
+def links(sketches: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of at least the similarity; enough of them to connect all that links connect. The groups of the
+    first segments are searched first; of the other segments' groups, those whose nodes are all joined to one node already add
+    nothing."""
+    keyed = stored(sketches.select("node", F.posexplode("ring")).select("node", "pos", F.xxhash64("pos", "col").alias("key")).distinct(), "keys")
+    # sets are fetched once, for the nodes that share a segment with another; these are stored first, so that Spark sees their
+    # size and sends them to the sketches where it allows a broadcast, instead of shuffling all sketches
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    needed = stored(keyed.join(shared, "key", "left_semi").select("node").distinct(), "needed")
+    sets = sketches.join(needed, "node", "left_semi").groupBy("node").agg(F.min(F.struct("shingles", "ring")).alias("s")).select("node", "s.*")
+    sets = stored(sets, "sets")
+    first = searched(keyed.where(F.col("pos") < FIRST).select("node", "key", F.col("node").alias("root")), sets)
+    # the smallest node that one of a node's groups connects it with
+    near = first.select(F.col("a").alias("node"), F.col("a").alias("root")).unionByName(first.select(F.col("b").alias("node"), F.col("a").alias("root")))
+    near = near.groupBy("node").agg(F.min("root").alias("root"))
+    rest = keyed.where(F.col("pos") >= FIRST).join(near, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
+    return first.unionByName(searched(rest, sets))
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
