@@ -18,25 +18,27 @@ def lowered(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text)
 
 
-@pytest.mark.parametrize("queries,candidates", [(1024, 8192), (2, 20)])
-def test_top_k(spark, monkeypatch, queries, candidates):
+@pytest.mark.parametrize("queries,candidates,size", [(512, 8192, 64 << 20), (2, 20, 1 << 12)])
+def test_top_k(spark, monkeypatch, queries, candidates, size):
     monkeypatch.setattr(topk, "QUERIES_A_TILE", queries)
     monkeypatch.setattr(topk, "CANDIDATES_A_TILE", candidates)
-    odd = [(1000, None), (1001, [float("nan")] * 64), (1050, [0.5] * 64), (1050, [0.4] * 64), (None, [0.1] * 64), (1100, [1.0, 2.0]), (1101, [1.5, 2.0]), (1102, [1.0, None]), (1103, [])]
-    ties = [(2000 + i, [1.0] * 64) for i in range(9)]
+    monkeypatch.setattr(topk, "SHARD_BYTES", size)
+    odd = [(1000, None), (1001, [float("nan")] * 64), (1050, [0.5] * 64), (1050, [0.4] * 64), (1050, [0.4] * 64), (None, [0.1] * 64), (1100, [1.0, 2.0]), (1101, [1.5, 2.0]), (1102, [1.0, None]), (1103, [])]
+    ties = [(2000 + i, [1.0] * 64) for i in range(9)] + [(2003, [1.0] * 64)] * 3
+    long = [(3000, [0.5] * 20_000), (3001, [0.25] * 20_000), (3050, [1e6] * 100), (3051, [-1e6] * 100), (3052, [1.25e6] * 100)]
     df = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", F.lit(1).alias("score"))
-    df = df.unionByName(spark.createDataFrame(odd + ties, "vec_id long, embedding array<float>").withColumn("score", F.lit(2)))
-    v = {}
+    df = df.unionByName(spark.createDataFrame(odd + ties + long, "vec_id long, embedding array<float>").withColumn("score", F.lit(2)))
+    rows = []
     for r in df.collect():
         x = r["embedding"]
         if r["vec_id"] is None or not x or any(y is None or not math.isfinite(y) for y in x):
             continue
-        x = [math.floor(256 * y) for y in x]
-        v[r["vec_id"]] = min(v.get(r["vec_id"], x), x)
+        rows.append((r["vec_id"], [math.floor(256 * y) for y in x]))
     want = []
-    for q in (q for q in v if q % 50 == 0):
-        best = sorted((-sum(a * b for a, b in zip(v[q], v[i], strict=True)), i) for i in v if i != q and len(v[i]) == len(v[q]))[:5]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    for at, (q, x) in enumerate(rows):
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for other, (i, y) in enumerate(rows) if other != at and len(x) == len(y))[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert sorted(map(tuple, topk.top_k_digest(df).collect())) == sorted(want)
 
 
