@@ -178,20 +178,118 @@ def test_licenses(spark):
     ])
 
 
-def test_heavy_terms_lose_nothing(spark):
-    """Scores of all lines, with and without the pattern in front."""
+def commented(text, mark):
+    return "\n".join(f"{mark} {line}".rstrip() for line in text.split("\n"))
+
+
+MIT_FILE = """MIT License
+
+Copyright (c) 2021 A. Writer
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL_FILE = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+"""
+GPL_HEADER = """A program that does something.
+Copyright (C) 2020 Somebody
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful."""
+APACHE_HEADER = """Copyright 2019 The Authors
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS."""
+CODE = "\n\n" + "\n\n".join(f"def total{k}(x):\n    return sum{k}(x)" for k in range(60))
+
+
+def test_real_license_files_and_headers(spark):
+    bsd = licenses.TEMPLATES["BSD-3-Clause"][1]
+    rows = [
+        (1, "mit/LICENSE", MIT_FILE, "MIT", "file"),
+        (2, "mit/src/a.py", CODE, "MIT", "inherited"),
+        (3, "gpl/COPYING", GPL_FILE, "GPL-3.0", "file"),
+        (4, "gpl/b.py", CODE, "GPL-3.0", "inherited"),
+        (5, "gpl/c.py", commented(GPL_HEADER, "#") + CODE, "GPL-2.0", "header"),
+        (6, "x/d.c", "/*\n" + commented(APACHE_HEADER, " *") + "\n */" + CODE, "Apache-2.0", "header"),
+        (7, "x/e.c", "// SPDX-License-Identifier:  LGPL-2.1-or-later, as of today and so on" + CODE, "LGPL-2.1", "header"),
+        (8, "x/f.c", "// SPDX-License-Identifier: EUPL-1.2" + CODE, None, "none"),
+        (9, "y/LICENSE", "Copyright (c) 2020, Me. All rights reserved.\n\n" + bsd, "BSD-3-Clause", "file"),
+        (10, "z/g.py", commented(MIT_FILE, "//") + CODE, "MIT", "header"),
+        (11, "x/h.txt", "The license of the car was free software once. " * 50, None, "none"),
+    ]
+    found = licenses.license_scan(spark.createDataFrame([(*r[:3], "clash", "clash") for r in rows], "doc_id long, path string, text string, license string, folder string"))
+    assert {(r["doc_id"], r["license"], r["origin"]) for r in found.collect()} == {(i, name, origin) for i, _, _, name, origin in rows}
+
+
+def test_licenses_of_ties_and_nothing(spark):
+    one = "Released under the MIT License."
+    rows = [(1, "p/b/LICENSE", one), (2, "p/a/../LICENSE", None), (3, "p/b/COPYING", one), (4, "p/b/c/d.py", ""), (None, "p/b/e.py", None), (5, "p/b/f", "word " * 200_000 + "\n" + one)]
+    schema = "doc_id long, path string, text string"
+    got = {r["path"]: (r["license"], r["origin"], r["inherited_from"]) for r in licenses.license_scan(spark.createDataFrame(rows, schema)).collect()}
+    assert got["p/b/c/d.py"] == got["p/b/e.py"] == ("MIT", "inherited", "p/b/COPYING")
+    assert got["p/a/../LICENSE"] == (None, "none", None) and got["p/b/f"] == ("MIT", "header", None)
+    assert licenses.license_scan(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_scan_by_brute_force(spark):
+    """License, cosine and origin of every document, by plain scores of all units with all templates."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    found = {r["doc_id"] for r in licenses.corpus_licenses(docs).where("origin in ('file', 'header')").collect()}
+    got = {r["doc_id"]: (r["license"], r["cosine"], r["origin"]) for r in licenses.corpus_licenses(docs).where("origin in ('file', 'header')").collect()}
     rows = docs.select("doc_id", "text")
-    vocabulary = sorted({t for x in licenses.TEMPLATES.values() for t in licenses.plain_terms(x)})
+    templates = licenses.all_templates()
+    vocabulary = sorted({t for _, x, _ in templates for t in licenses.plain_terms(x)})
     n, idf = licenses.inverse_frequency(rows, "text", vocabulary)
-    vectors, other = licenses.unit_vectors(licenses.TEMPLATES, idf), math.log(1 + n) + 1
-    want = set()
+    vectors, other = licenses.unit_vectors([x for _, x, _ in templates], idf), math.log(1 + n) + 1
+    want = {}
     for r in rows.collect():
-        for unit in [r["text"] or "", *(r["text"] or "").split("\n")]:
-            terms = licenses.plain_terms(unit)
-            w = {t: (1 + math.log(terms.count(t))) * idf.get(t, other) for t in set(terms)}
-            size = math.sqrt(sum(x * x for x in w.values()))
-            if size and max(sum(x * v.get(t, 0) for t, x in w.items()) for v in vectors.values()) / size >= licenses.THRESHOLD:
-                want.add(r["doc_id"])
-    assert found == want and want
+        text = r["text"] or ""
+        paragraphs = re.split(licenses.GAP, re.sub(r"^[^A-Za-z0-9]+", "", text))
+        for kind, units in [("whole", [text]), ("first", paragraphs[:1]), ("part", [*paragraphs[1:], *text.split("\n"), *re.findall(licenses.TAG, text.lower())])]:
+            for unit in units:
+                terms = licenses.plain_terms(unit)
+                w = {t: (1 + math.log(terms.count(t))) * idf.get(t, other) for t in set(terms)}
+                size = math.sqrt(sum(x * x for x in w.values()))
+                if not size:
+                    continue
+                cosine, minus = max((round(sum(x * v.get(t, 0) for t, x in w.items()) / size, 9), -k) for k, v in enumerate(vectors))
+                if cosine >= licenses.THRESHOLD:
+                    name, _, head = templates[-minus]
+                    standing = 2 if kind == "first" and head else int(kind == "whole")
+                    want[r["doc_id"]] = max(want.get(r["doc_id"], (-1,)), (standing, cosine, minus, name))
+    assert got == {i: (name, pytest.approx(cosine, abs=2e-6), "file" if standing else "header") for i, (standing, cosine, _, name) in want.items()} and want
