@@ -30,6 +30,7 @@ from gradeflow.llm._shared import stored
 from gradeflow.llm.license_texts import HEADS, TAGS, TEMPLATES
 
 THRESHOLD = 0.6
+SALTS = 16
 TAG = r"spdx-license-identifier:[ \t]*[a-z0-9.+-]*[a-z0-9+]"
 TERM = f"{TAG}|[a-z0-9]+"  # of lower-cased text
 
@@ -164,7 +165,10 @@ def license_scan(files: DataFrame, key: str = "doc_id", path: str = "path", text
     nearest = nearest.groupBy("folder").agg(F.max_by(F.struct("inherited_from", "given", "given_cosine"), "depth").alias("n")).select("folder", "n.*")
     named = files.select(F.col(key), F.col(path).alias("path")).withColumn("folder", directory(F.col("path")))
     own = own.select(F.col(key).alias("own_key"), F.col("path").alias("own_path"), "whole", "cosine", "license")
-    joined = named.join(own, named[key].eqNullSafe(own["own_key"]) & named["path"].eqNullSafe(own["own_path"]), "left").join(nearest, "folder", "left")
+    joined = named.join(own, named[key].eqNullSafe(own["own_key"]) & named["path"].eqNullSafe(own["own_path"]), "left")
+    # a folder can hold a third of all files: its files are dealt over SALTS keys, and what it inherits goes along with each
+    salted = nearest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = joined.withColumn("salt", F.pmod(F.xxhash64(key, "path"), F.lit(SALTS)).cast("int")).join(salted, ["folder", "salt"], "left")
     has = F.col("license").isNotNull()
     return joined.select(
         key,
