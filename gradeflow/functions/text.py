@@ -179,3 +179,36 @@ def code_complexity(text: Column) -> Column:
     lines = F.size(F.split(text, "\n"))
     has = lambda s, n: F.when(text.contains(s), n).otherwise(0)
     return F.least(F.floor(lines / 5), F.lit(3)) + has("def ", 2) + has("class ", 3) + F.when(text.contains("import ") | text.contains("from "), 1).otherwise(0)
+
+
+#: Signs of a first test's question: points, pattern in its text, pattern in its code (both in lower case, "" for none).
+FIRST_TEST = (
+    (1, r"\b(define|definition|what is|identify|name)\b", ""), (1, r"\b(explain|describe|summarize)\b", ""), (2, r"\b(write|create|use|convert|compute|calculate|implement|handle)\b", ""),
+    (3, r"\b(debug|fix|correct|error|why|explain why|analyze)\b", ""), (3, r"\b(output|what will be printed|what is printed|result of this code|trace)\b", ""),
+    (2, r"\b(if|elif|else)\b", r"\b(if|elif|else)\b"), (2, r"\b(for|while|loop)\b", r"\b(for|while)\b"), (2, r"\bnested\b", r"(?s)\b(for|while)\b.*\b(for|while)\b|\bif\b.*\bif\b"),
+    (1, r"\b(and|or)\b", r"\b(and|or)\b"), (2, r"\b(def|function)\b", r"\bdef\b"), (1, r"\b(list|dict|tuple|set)\b", r"[\[{]"), (2, r"\b(try|except|exception)\b", r"\b(try|except|exception)\b"),
+)
+FENCED = r"(?is)```(?:python)?\s*(.*?)```"
+CODE_LINE = r"\b(for|while|if|def)\b|print\s*\(|=|range\s*\("
+ADVANCED_FROM, INTERMEDIATE_FROM = 7, 4
+
+
+def code_inside(text: Column) -> Column:
+    """The fenced code of a text, or else its lines that look like code."""
+    fenced = F.trim(F.array_join(F.regexp_extract_all(text, F.lit(FENCED), F.lit(1)), "\n"))
+    lines = F.trim(F.array_join(F.filter(F.split(text, "\n"), lambda x: x.rlike(CODE_LINE)), "\n"))
+    return F.when(fenced != "", fenced).otherwise(lines)
+
+
+def first_test_level(text: Column) -> Column:
+    """beginner, intermediate or advanced by the points of a first test's question; code counts one point."""
+    text = F.trim(F.coalesce(text, F.lit("")))
+
+    def level(x: Column) -> Column:
+        code = F.lower(x["code"])
+        points = [F.when(x["low"].rlike(a) | (code.rlike(b) if b else F.lit(False)), n).otherwise(0) for n, a, b in FIRST_TEST]
+        score = reduce(lambda s, p: s + p, points, F.when(code != "", 1).otherwise(0))
+        return F.when(score >= ADVANCED_FROM, "advanced").when(score >= INTERMEDIATE_FROM, "intermediate").otherwise("beginner")
+
+    # computed once, however many signs look at it
+    return F.get(F.transform(F.array(F.struct(F.lower(text).alias("low"), code_inside(text).alias("code"))), level), F.lit(0))

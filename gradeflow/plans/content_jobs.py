@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeflow.functions import text as rules
-from gradeflow.operators import catalogue, changes
+from gradeflow.operators import catalogue, changes, merging
 from gradeflow.plans.adapters import domain
 from gradeflow.plans.jobs import job
 
@@ -66,9 +66,10 @@ def clean_text(spark: SparkSession, d: str) -> DataFrame:
 
 @job()
 def chunk_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Pieces cleaned, classified and counted; those under ten characters, of back matter or after an index leave."""
+    """Pieces cleaned, classified, put together across pages and counted; those under ten characters, of back matter or after an index leave."""
     rows = domain(spark, d, "pieces").withColumn("chunk_type", rules.classify_chunk(F.col("text"))).withColumn("text", rules.clean_chunk(F.col("text")))
-    rows = rows.where((F.length("text") >= 10) & ~rules.back_matter(F.col("text")))
+    rows = merging.merge_split_chunks(rows.where(F.length("text") >= 10)).where(~rules.back_matter(F.col("text")))
+    rows = rows.withColumn("order_in_doc", F.col("chunk_id"))  # a document's pieces are numbered in order
     return catalogue.until_index(rows, F.col("document")).select("chunk_id", "document", "chunk_type", "page", F.floor(F.length("text") / 4).alias("tokens"))
 
 
@@ -333,3 +334,26 @@ def section_chunks(spark: SparkSession, d: str) -> DataFrame:
 def embedding_text(spark: SparkSession, d: str) -> DataFrame:
     kinds = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), (F.col("label") % 2 == 1).alias("is_code"))
     return domain(spark, d, "pieces").join(kinds, "chunk_id").select("chunk_id", rules.encoder_text(F.col("text"), F.col("is_code")).alias("text"))
+
+
+FIRST_TEST_POINTS = " + ".join(
+    f"CASE WHEN regexp_matches(low, {quoted(a)}){f' OR regexp_matches(lower(code), {quoted(b)})' if b else ''} THEN {n} ELSE 0 END" for n, a, b in rules.FIRST_TEST
+)
+
+
+@job(f"""WITH q AS (SELECT item_id, trim(coalesce(text, '')) AS text FROM benchmark UNION ALL SELECT 1000000 + conv_id * 1000 + turn, trim(coalesce(text, '')) FROM conversations UNION ALL SELECT 2000000 + chunk_id, trim(text) FROM pieces),
+    f AS (SELECT item_id, text, trim(array_to_string(regexp_extract_all(text, {quoted(rules.FENCED)}, 1), chr(10))) AS fenced, trim(array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {quoted(rules.CODE_LINE)})), chr(10))) AS lines FROM q),
+    c AS (SELECT item_id, lower(text) AS low, CASE WHEN fenced <> '' THEN fenced ELSE lines END AS code FROM f), s AS (SELECT item_id, CASE WHEN code <> '' THEN 1 ELSE 0 END + {FIRST_TEST_POINTS} AS score FROM c)
+    SELECT item_id, CASE WHEN score >= {rules.ADVANCED_FROM} THEN 'advanced' WHEN score >= {rules.INTERMEDIATE_FROM} THEN 'intermediate' ELSE 'beginner' END AS level FROM s""")
+def preassessment_difficulty(spark: SparkSession, d: str) -> DataFrame:
+    """Of benchmark items, turns of conversations and chunks."""
+    b = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text")
+    c = spark.read.parquet(f"{d}/conversations.parquet").select((F.lit(1000000) + F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), "text")
+    p = domain(spark, d, "pieces").select((F.lit(2000000) + F.col("chunk_id")).alias("item_id"), "text")
+    return b.unionByName(c).unionByName(p).select("item_id", rules.first_test_level(F.col("text")).alias("level"))
+
+
+@job()
+def merge_split_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks put together across pages; whether one goes on depends on all that is put together before, which no SQL folds here."""
+    return merging.merge_split_chunks(domain(spark, d, "pieces").withColumn("chunk_type", rules.classify_chunk(F.col("text"))))

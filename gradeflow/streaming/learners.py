@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gradeflow.functions.scalar import CODING_GAIN, LEARN, SLIP_GUESS
-from gradeflow.operators import games
+from gradeflow.operators import catalogue, games
 
 RATE, MOST = 0.1, 3.0
 
@@ -93,3 +93,18 @@ def award_sink(spark: SparkSession, sessions_path: str, responses_path: str, fol
         earned.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return write
+
+
+def progress_sink(spark: SparkSession, folder: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` of workers' reports (generation_id, worker_id, at, status, questions, seconds): keeps the reports, and writes
+    the progress of the generations that a batch touches, worked out from all their reports so far: a cancelled worker stays
+    so, whatever comes later. A batch that is written again replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/reports/batch={number}")
+        kept = spark.read.parquet(f"{folder}/reports").where(F.col("batch") <= number)
+        touched = kept.where(F.col("batch") == number).select("generation_id").distinct()
+        progress = catalogue.generation_progress(kept.drop("batch").join(touched, "generation_id", "left_semi"))
+        progress.write.mode("overwrite").parquet(f"{folder}/progress/batch={number}")
+
+    return write

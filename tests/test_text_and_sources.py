@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeflow.functions import text as rules
-from gradeflow.operators import catalogue, grading, selection
+from gradeflow.operators import catalogue, grading, merging, selection
 from gradeflow.sources import questions
 from gradeflow.streaming import learners
 
@@ -141,3 +141,47 @@ def test_sinks(spark, tmp_path):
     for number in (0, 1, 1):
         award(spark.createDataFrame([(1,)], "user_id long"), number)
     assert sorted(r["code"] for r in spark.read.parquet(str(tmp_path / "a")).collect()) == ["first_steps", "game_enthusiast", "perfection_seeker", "speed_solver"]
+
+
+def test_levels_of_first_tests(spark):
+    fenced = "```python\nif a:\n  if b:\n    print(c)\n```"
+    texts = [None, "", "What is a variable?", "Write a loop", f"What is printed? {fenced}", "Create a function: x = 1"]
+    assert values(spark, rules.first_test_level, *texts) == ["beginner", "beginner", "beginner", "intermediate", "advanced", "intermediate"]
+
+
+def test_merging(spark):
+    texts = {
+        "code": ["class A(B):", "def f(x):", "return x", "Other words stand here."],
+        "brackets": ["import os\nvalues = [1, 2", "3, 4]\nThe end.", "And more."],
+        "sentence": ["It goes on without", "an end.", "Next one."],
+        "list": ["- first", "- second", "Done."],
+        "topic": ["Loop Basics\nHere it is.", "The basics of it.", "Nothing."],
+        "output": ["Run it now.", "$ python a.py", "OK"],
+        "long": ["word " * 601 + "and", "so on."],
+        "gaps": ["It goes on without", "", None, "an end."],
+    }
+    rows = [(d, k, k, "Concept", t) for d, own in texts.items() for k, t in enumerate(own)] + [(None, 9, 9, "Concept", "open"), (None, 10, 10, "Concept", "end.")]
+    schema = "document string, chunk_id long, page int, chunk_type string, text string"
+    found = {}
+    for r in merging.merge_split_chunks(spark.createDataFrame(rows, schema)).orderBy("chunk_id").collect():
+        found.setdefault(r["document"], []).append((r["chunk_id"], r["last_page"], r["parts"], r["chunk_type"], r["merge_type"]))
+    # the line of the definition stays in the open chunk, so that whatever begins with a letter goes on with it
+    assert found["code"] == [(0, 3, 4, "Code", "split_code_block")]
+    assert found["brackets"] == [(0, 1, 2, "Code", "split_code_block"), (2, 2, 1, "Concept", None)]
+    assert found["sentence"] == [(0, 1, 2, "Concept", "incomplete_sentence"), (2, 2, 1, "Concept", None)]
+    assert found["list"] == [(0, 1, 2, "Concept", "list_continuation"), (2, 2, 1, "Concept", None)]
+    assert found["topic"] == [(0, 1, 2, "Concept", "topic_continuation"), (2, 2, 1, "Concept", None)]
+    assert found["output"] == [(0, 2, 3, "Code", "terminal_output")]
+    assert [x[2] for x in found["long"]] == [1, 1] and [x[2] for x in found["gaps"]] == [1] * 4 and len(found[None]) == 2
+    assert merging.merge_split_chunks(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_progress_of_a_stream(spark, tmp_path):
+    write = learners.progress_sink(spark, str(tmp_path))
+    schema = "generation_id long, worker_id string, at int, status string, questions long, seconds long"
+    write(spark.createDataFrame([(1, "a", 1, "active", 2, 10), (1, "b", 1, "cancelled", 1, 5), (2, "a", 1, "active", 0, 1)], schema), 0)
+    second = spark.createDataFrame([(1, "a", 2, "completed", 7, 20), (1, "b", 2, "active", 4, 20)], schema)
+    for _ in range(2):  # a batch that comes again replaces itself
+        write(second, 1)
+    rows = [r.asDict() for r in spark.read.parquet(f"{tmp_path}/progress/batch=1").collect()]
+    assert [(r["generation_id"], r["workers"], r["completed"], r["cancelled"], r["questions"], r["percent"]) for r in rows] == [(1, 2, 1, 1, 11, 50.0)]
