@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gradeflow.llm import secrets
+from gradeflow.llm import bitplanes, quantizer, secrets, url_rules
 
 TOP_K = """
 WITH v AS (
@@ -78,8 +78,109 @@ SELECT d.doc_id AS doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s ON d.doc_id = s.doc_id
 """
 
+
+def fits(verdict: str, host: str, path: str) -> str:
+    return f"SELECT {quoted(host + path)} AS rule, {quoted(verdict)} AS v, {quoted(host)} AS h, {quoted(path)} AS p"
+
+
+def slot(name: str, value: str) -> str:
+    return f"CASE WHEN {value} <> '' THEN '{name}:' || translate({value}, '{url_rules.UPPER}', '{url_rules.LOWER}') END"
+
+
+_LAST = "list_last(string_split(path, '/'))"
+_KIND = f"CASE WHEN {_LAST} = '' THEN 'folder' WHEN regexp_full_match({_LAST}, '[0-9]+') THEN 'number' WHEN contains({_LAST}, '.') THEN '.' || list_last(string_split({_LAST}, '.')) ELSE 'name' END"
+_ASKS = "array_to_string(list_sort(list_distinct(list_transform(string_split(regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: string_split(x, '=')[1]))), '&')"
+_SLOTS = {
+    "scheme": "string_split(url, '://')[1]",
+    "top": "labels[-1]",
+    "domain": "labels[-2]",
+    "site": "labels[-3]",
+    "first": "CASE WHEN contains(labels[-3], '-') THEN string_split(labels[-3], '-')[1] END",
+    "last": "CASE WHEN contains(labels[-3], '-') THEN string_split(labels[-3], '-')[-1] END",
+    "lead": "CASE WHEN len(labels) > 3 THEN labels[1] END",
+    "dir": "regexp_extract(path, '^/([^/]*)/', 1)",
+    "kind": _KIND,
+    "asks": _ASKS,
+    "mark": "regexp_extract(rest, '#(.*)', 1)",
+}
+#: Rules by counting every combination of tokens of every labelled URL, where the query grows frequent ones alone.
+URLS = f"""
+WITH u AS (SELECT row_number() OVER () AS r, page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT *, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{url_rules.UPPER}', '{url_rules.LOWER}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+l AS ({" UNION ALL ".join(fits(*r) for r in url_rules.RULES)}),
+f AS (SELECT r, max({{'size': length(rule), 'host': length(h), 'rule': rule, 'v': v}}) AS best FROM h JOIN l ON (host = l.h OR ends_with(host, '.' || l.h)) AND starts_with(path, l.p) GROUP BY r),
+t AS (SELECT h.*, best.rule AS rule, best.v AS v, CASE WHEN host = '' THEN [] ELSE list_sort(list_filter([{", ".join(slot(k, x) for k, x in _SLOTS.items())}], lambda x: x IS NOT NULL)) END AS tokens
+  FROM (SELECT *, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS labels FROM h) h LEFT JOIN f ON h.r = f.r),
+sub AS (SELECT v, list_filter(tokens, lambda x, i: (m >> (i - 1)) & 1 = 1) AS s FROM (SELECT v, tokens, unnest(range(1, CAST(1 << len(tokens) AS BIGINT))) AS m FROM t WHERE v IS NOT NULL) x),
+g AS (SELECT s, v, count(*) AS n FROM sub GROUP BY s, v),
+least AS (SELECT greatest({url_rules.FEWEST}, ceil({url_rules.SUPPORT}::DOUBLE * count(*))) AS least FROM t WHERE v IS NOT NULL),
+rules AS (SELECT s, v, n, n::DOUBLE / freq AS c FROM (SELECT *, sum(n) OVER (PARTITION BY s) AS freq FROM g) x, least WHERE n >= least AND n::DOUBLE / freq >= {url_rules.CONFIDENCE}),
+said AS (SELECT r, max({{'c': c, 'n': n, 'allows': rules.v = 'allow', 'v': rules.v}}).v AS v FROM t JOIN rules ON list_has_all(tokens, s) WHERE t.v IS NULL GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(t.v, said.v, 'allow') AS verdict FROM t LEFT JOIN said ON t.r = said.r
+"""
+
+
+def integers(scale: int) -> str:
+    return f"list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT))"
+
+
+FINITE = "len(list_filter(embedding, lambda x: x IS NULL OR isnan(CAST(x AS DOUBLE)) OR isinf(CAST(x AS DOUBLE)))) = 0"
+#: Both lists of a pair of rows a and b.
+SQUARED = "CAST(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+#: floor(s / n) of whole numbers.
+MEAN = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+
+
+def assignment(name: str, rows: str, book: str) -> str:
+    """CTE with row r, part, the nearest entry b and squared distance d, by comparing all of them."""
+    return f"{name} AS MATERIALIZED (SELECT r, a.part AS part, min({{'d': {SQUARED}, 'k': b.k}}) AS x FROM {rows} a JOIN {book} b ON a.part = b.part GROUP BY ALL)"
+
+
+def moved(name: str, rows: str, book: str, assigned: str) -> str:
+    """CTE with the entries of the next round: component by component the floor of the mean, or as they were."""
+    return f"""{name} AS MATERIALIZED (SELECT b.part AS part, b.k AS k, coalesce(m.e, b.e) AS e FROM {book} b LEFT JOIN (
+    SELECT part, k, list({MEAN} ORDER BY pos) AS e FROM (
+      SELECT part, k, pos, CAST(sum(v) AS HUGEINT) AS s, count(*) AS n FROM (
+        SELECT a.part AS part, x.k AS k, unnest(a.e) AS v, unnest(range(1, len(a.e) + 1)) AS pos FROM {rows} a JOIN {assigned} y ON y.r = a.r AND y.part = a.part) z
+      GROUP BY part, k, pos) w GROUP BY part, k) m ON m.part = b.part AND m.k = b.k)"""
+
+
+def rounds(rows: str, book: str, n: int) -> str:
+    """CTEs of n rounds: b0 is the book given, b{n} and a{n} are the final entries and assignment."""
+    steps = [f"b0 AS MATERIALIZED ({book})", assignment("a0", rows, "b0")]
+    for k in range(1, n + 1):
+        steps += [moved(f"b{k}", rows, f"b{k - 1}", f"a{k - 1}"), assignment(f"a{k}", rows, f"b{k}")]
+    return ",\n".join(steps)
+
+
+def codes() -> str:
+    parts, n = quantizer.PARTS, quantizer.ROUNDS
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, e) AS r, * FROM (SELECT vec_id, label, {integers(quantizer.SCALE)} AS e FROM embeddings WHERE embedding IS NOT NULL AND {FINITE}) x),
+p AS MATERIALIZED (SELECT r, part, list_slice(e, part * (len(e) // {parts}) + 1, (part + 1) * (len(e) // {parts})) AS e FROM v, range({parts}) AS t(part)),
+{rounds("p", f"SELECT part, r - 1 AS k, e FROM p WHERE r <= {quantizer.ENTRIES}", n)},
+c AS (SELECT r, string_agg(printf('%02x', x.k), '' ORDER BY part) AS code, CAST(sum(x.d) AS BIGINT) AS error FROM a{n} GROUP BY r),
+s AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, k)) AS codebooks_sha256 FROM b{n})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN c ON v.r = c.r, s
+"""
+
+
+def clusters() -> str:
+    n = bitplanes.ROUNDS
+    return f"""
+WITH p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{bitplanes.SEED}:' || vec_id), e) AS r, 0 AS part, * FROM (
+  SELECT vec_id, {integers(bitplanes.SCALE)} AS e FROM embeddings WHERE len(embedding) = {bitplanes.SIZE} AND {FINITE}) x),
+{rounds("p", f"SELECT part, r - 1 AS k, e FROM p WHERE r <= {bitplanes.CLUSTERS}", n)}
+SELECT vec_id, CAST(x.k AS INTEGER) AS cluster, x.d AS distance, CAST(sum(x.d) OVER (PARTITION BY x.k) AS BIGINT) AS cluster_inertia, CAST(sum(x.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(b.e, ',')) AS centroid_sha256 FROM a{n} a JOIN p ON a.r = p.r JOIN b{n} b ON a.x.k = b.k
+"""
+
+
 ORACLE_SQL = {
     "op1_exact_top_k": TOP_K,
     "op2_decontaminate": CONTAMINATION,
     "op10_secret_scan": SECRETS,
+    "op11_url_filter": URLS,
+    "op12_vector_codes": codes(),
+    "op13_bitplane_clusters": clusters(),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeflow.llm import bpe, decontaminate, licenses, oracles, secrets, simhash, suffix_dedup, token_count, topk, toxicity, warc
+from gradeflow.llm import bitplanes, bpe, decontaminate, licenses, oracles, quantizer, secrets, simhash, suffix_dedup, token_count, topk, toxicity, url_rules, warc
 from gradeflow.llm._shared import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,6 +52,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judged(table(spark, sf_dir, "pages"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantizer.compression_digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_bitplane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplanes.clustering_digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_decontaminate": op2_decontaminate,
@@ -63,6 +75,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash": op9_simhash,
     "op10_secret_scan": op10_secret_scan,
+    "op11_url_filter": op11_url_filter,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_bitplane_clusters": op13_bitplane_clusters,
 }
 
 ORACLE_SQL = oracles.ORACLE_SQL
