@@ -47,6 +47,13 @@ VIEWS = {
             WHEN 6 THEN ' Leave a review, see https://a.org/b and [12] Page 3 of 9' WHEN 7 THEN ' Fluent Python' WHEN 8 THEN concat(chr(10), 'def f(a):', chr(10), 'import os', chr(10), 'class C:') ELSE '' END) AS text FROM documents""",
     "toc": """SELECT source AS document, doc_id AS entry_id, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 3) AS BIGINT) AS start_page,
         CASE doc_id % 7 WHEN 0 THEN 'Preface' WHEN 1 THEN '1.2 Loops' WHEN 2 THEN ' LOOPS' WHEN 3 THEN '12.' WHEN 4 THEN 'Loops' ELSE concat('Topic ', doc_id) END AS title, doc_id % 4 + 1 AS level FROM documents""",
+    "book_pages": """SELECT doc_id AS document, 0 AS page, coalesce(text, '') AS text FROM documents UNION ALL
+        SELECT doc_id, 1, CASE doc_id % 4 WHEN 0 THEN concat('Contents', chr(10), '1. ', substr(text, 1, 20), ' ..... ', doc_id % 90 + 1, chr(10), chr(10), '1.1 ', substr(text, 21, 20), ' ... ', doc_id % 90 + 3, chr(10), chr(10),
+            'Exercise ', substr(text, 41, 9), '....99', chr(10), 'Chapter ', substr(text, 51, 9), ' .. 100')
+        WHEN 1 THEN concat('Table of contents', chr(10), substr(text, 1, 20), chr(10), substr(text, 30, 15), chr(10), doc_id % 50 + 2, chr(10), 'Preface', chr(10), '7', chr(10), 'II. ', substr(text, 60, 12), chr(10), chr(10), '88', chr(10), '1.1.1.1 ', substr(text, 80, 12), chr(10), '120')
+        WHEN 2 THEN concat('1 ', substr(text, 1, 20), ' .... 2', chr(10), chr(10), '2 ', substr(text, 21, 20), ' .... 4', chr(10), chr(10), '3 ', substr(text, 41, 20), ' .... 9', chr(10), chr(10), '4 ', substr(text, 61, 20), ' .... ', doc_id % 30, chr(10), '1 2 3 4')
+        ELSE 'A page without a list' END FROM documents WHERE text IS NOT NULL UNION ALL
+        SELECT doc_id, 2, CASE WHEN doc_id % 8 < 4 THEN concat('5 More', chr(10), '....', chr(10), '200', chr(10), 'Practice ... 203', chr(10), chr(10), 'Unit of ', substr(text, 100, 300), chr(10), '210', chr(10), '1 2 3 4 5 6') ELSE 'The first chapter begins here' END FROM documents WHERE text IS NOT NULL""",
     "materials": """SELECT page_id AS material_id, page_id % 25 AS topic_id, page_id % 4 AS subtopic_order, CASE WHEN page_id % 5 > 0 THEN page_id % 5 END AS order_in_topic,
         concat('Page ', page_id % 13) AS title, coalesce(html, '') AS content FROM pages""",
 }

@@ -36,6 +36,7 @@ class Waiting(StatefulProcessor):
     columns they need and keep what they have learned in ``memory``."""
 
     fields: tuple[str, ...] = ()
+    kinds: tuple[type, ...] = ()  # pandas hands columns with nulls over as floats
     field_types = ""
     memory_types = ""
 
@@ -46,15 +47,17 @@ class Waiting(StatefulProcessor):
 
     def keep(self, rows: Iterator[pd.DataFrame]) -> None:
         for frame in rows:
-            columns = [frame[c].tolist() for c in self.fields]
+            columns = [[None if pd.isna(x) else kind(x) for x in frame[c]] for c, kind in zip(self.fields, self.kinds, strict=True)]
             self.rows.appendList([*zip(milliseconds(frame["ts"]), frame["event_id"].tolist(), *columns, strict=True)])
 
     def wake_at(self, ms: int) -> None:
         """One timer a key: at this time."""
-        for timer in list(self.handle.listTimers()):
-            if timer != ms:
+        timers = list(self.handle.listTimers())
+        for timer in timers:
+            if timer > ms:  # earlier ones fire first and look again
                 self.handle.deleteTimer(timer)
-        self.handle.registerTimer(ms)
+        if ms not in timers:
+            self.handle.registerTimer(ms)
 
     def passed(self, watermark: int) -> list[tuple]:
         """Takes the rows before the watermark out of the buffer; the earliest of the others is waited for."""
@@ -85,7 +88,8 @@ class Waiting(StatefulProcessor):
 
 
 class Theta(Waiting):
-    fields, field_types, memory_types = ("score", "a", "b"), "score double, a double, b double", "theta double, n bigint"
+    fields, kinds = ("score", "a", "b"), (float, float, float)
+    field_types, memory_types = "score double, a double, b double", "theta double, n bigint"
 
     def taken(self, key: tuple, ready: list[tuple]) -> pd.DataFrame:
         t, n = self.memory.get() if self.memory.exists() else (0.0, 0)
@@ -97,7 +101,7 @@ class Theta(Waiting):
 
 
 class Mastery(Waiting):
-    fields = ("accuracy", "is_coding", "slip", "guess")
+    fields, kinds = ("accuracy", "is_coding", "slip", "guess"), (float, bool, float, float)
     field_types, memory_types = "accuracy double, is_coding boolean, slip double, guess double", "known double, last bigint"
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:  # noqa: ANN001, N802, N803
@@ -120,7 +124,8 @@ class Mastery(Waiting):
 class Sessions(Waiting):
     """Closes a session at its first completion, or at the limit after its first row; memory holds when it was closed."""
 
-    fields, field_types, memory_types = ("correct", "completes"), "correct int, completes boolean", "closed bigint"
+    fields, kinds = ("correct", "completes"), (int, bool)
+    field_types, memory_types = "correct int, completes boolean", "closed bigint"
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         if not self.memory.exists():  # rows of a closed session are late to it
@@ -140,7 +145,7 @@ class Sessions(Waiting):
         self.rows.clear()
         self.memory.update((end,))
         self.wake_at(max(end + KEPT_MS, timerValues.getCurrentWatermarkInMs() + 1))
-        answers = [r[2] for r in inside if r[2] is not None and r[2] == r[2]]
+        answers = [r[2] for r in inside if r[2] is not None]
         start = min(r[0] for r in inside)
         yield pd.DataFrame({
             "session_id": [key[0]], "started": [pd.Timestamp(start, unit="ms")], "ended": [pd.Timestamp(end, unit="ms")], "status": ["completed" if completed else "expired"],
