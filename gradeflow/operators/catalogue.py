@@ -108,16 +108,33 @@ def reading_toc(materials: DataFrame, search: str = "") -> DataFrame:
 
 
 def matched_names(names: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(name, subtopic_id): the subtopic of a free name: the same apart from case and space, else the first of the catalogue of
-    which one begins with the other. catalogue: (subtopic_id, topic_id, name), a fixed dimension."""
-    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    left = names.select("name").distinct().withColumn("n", plain(F.col("name")))
-    right = catalogue.select("subtopic_id", plain(F.col("name")).alias("c"))
-    same = left.join(right.groupBy("c").agg(F.min("subtopic_id").alias("subtopic_id")), left["n"] == F.col("c")).select("name", "subtopic_id")
+    """(name, subtopic_id): the subtopic of a free name: the same apart from case and outer blanks, else the first of the
+    catalogue of which one begins with the other; an empty name begins every one. catalogue: (subtopic_id, topic_id, name).
+
+    Both ways are equal joins. A catalogue name can only begin a name by one of the lengths that catalogue names have, so each name
+    is cut to those; and a name begins a catalogue name if it is one of that name's beginnings, of which each has the first
+    subtopic kept. Names that nothing matches have no row."""
+    plain = lambda c: F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    left = names.select("name").where("name is not null").distinct().withColumn("n", plain(F.col("name")))
+    right = catalogue.where("name is not null").groupBy(plain(F.col("name")).alias("c")).agg(F.min("subtopic_id").alias("subtopic_id"))
+    same = left.join(right, left["n"] == F.col("c")).select("name", "subtopic_id")
     rest = left.join(same.select("name"), "name", "left_anti")
-    # prefixes of a name meet prefixes of the catalogue by their first words, which both have to share
-    begins = rest.join(right, (F.substring("n", 1, 3) == F.substring("c", 1, 3)) & (F.col("n").startswith(F.col("c")) | F.col("c").startswith(F.col("n"))))
-    return same.unionByName(begins.groupBy("name").agg(F.min("subtopic_id").alias("subtopic_id")))
+    lengths = right.agg(F.array_sort(F.collect_set(F.length("c"))).alias("lengths"))  # one row
+    cut = rest.crossJoin(F.broadcast(lengths)).select("name", "n", F.explode(F.filter("lengths", lambda k: k <= F.length("n"))).alias("k"))
+    begun = cut.select("name", F.col("n").substr(F.lit(1), F.col("k")).alias("c")).join(right, "c").select("name", "subtopic_id")
+    parts = right.select("subtopic_id", F.explode(F.transform(F.sequence(F.lit(0), F.length("c")), lambda k: F.col("c").substr(F.lit(1), k))).alias("n"))
+    begins = rest.join(parts.groupBy("n").agg(F.min("subtopic_id").alias("subtopic_id")), "n").select("name", "subtopic_id")
+    return same.unionByName(begun.unionByName(begins).groupBy("name").agg(F.min("subtopic_id").alias("subtopic_id")))
+
+
+def matched_lists(questions: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(question_id, subtopic_ids, topic_ids) of (question_id, names): the subtopics and topics that a question's names match, each once, in
+    the order of the names; empty lists where there is none."""
+    said = questions.select("question_id", F.posexplode("names").alias("at", "name"))
+    found = said.join(matched_names(said, catalogue), "name").join(catalogue.select("subtopic_id", "topic_id"), "subtopic_id")
+    rows = found.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("at", "subtopic_id", "topic_id"))).alias("rows"))  # a question's own names
+    ids = lambda c: F.array_distinct(F.transform(F.coalesce("rows", F.array().cast("array<struct<at:int,subtopic_id:bigint,topic_id:bigint>>")), lambda r: r[c]))
+    return questions.select("question_id").join(rows, "question_id", "left").select("question_id", ids("subtopic_id").alias("subtopic_ids"), ids("topic_id").alias("topic_ids"))
 
 
 def delete_impact(subtopics: DataFrame, **dependents: DataFrame) -> DataFrame:

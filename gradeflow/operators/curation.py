@@ -177,6 +177,54 @@ def zone_combinations(subtopics: DataFrame, topics: DataFrame) -> DataFrame:
     return single.unionByName(pairs).unionByName(triples)
 
 
+#: Members of a combination at most, by difficulty.
+COMBINED = {"beginner": 1, "intermediate": 2, "advanced": 3, "master": 3}
+
+
+def smart_combinations(subtopics: DataFrame, topics: DataFrame, difficulty: str | None = None, most: int | None = None) -> DataFrame:
+    """(zone_id, place, members array): a zone's subtopics in order of id, then half as many pairs and a third as many triples, as far as
+    the difficulty allows. Pairs of one topic come first, topic by topic in the order of their first subtopics, then pairs of the
+    first subtopics of two topics; triples go over the whole zone. ``most``: combinations of a zone at most.
+
+    The k-th pair of g things in order is worked out from k, so only the pairs that are kept are made, and rows grow with the
+    subtopics alone."""
+    allowed = COMBINED.get(difficulty, 3)
+    zone, topic = W.partitionBy("zone_id"), W.partitionBy("zone_id", "topic_id")
+    own = subtopics.select("subtopic_id", "topic_id").distinct().join(topics.select("topic_id", "zone_id"), "topic_id")
+    rows = own.select("zone_id", "topic_id", "subtopic_id", (F.row_number().over(zone.orderBy("subtopic_id")) - 1).alias("i"), (F.row_number().over(topic.orderBy("subtopic_id")) - 1).alias("k"), F.count("*").over(zone).alias("n"))
+    out = rows.select("zone_id", F.lit(1).alias("size"), F.col("i").cast("bigint").alias("at"), F.array("subtopic_id").alias("members"))
+    if allowed >= 2:
+        groups = rows.groupBy("zone_id", "topic_id").agg(F.min("i").alias("first"), F.min("subtopic_id").alias("subtopic_id"), F.count("*").alias("g"), F.first("n").alias("n"))
+        groups = groups.withColumn("pairs", F.expr("g * (g - 1) div 2")).withColumn("place", F.row_number().over(zone.orderBy("first")) - 1)
+        groups = groups.withColumn("before", F.coalesce(F.sum("pairs").over(zone.orderBy("first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        groups = groups.withColumn("all_pairs", F.sum("pairs").over(zone)).withColumn("m", F.count("*").over(zone)).withColumn("cap", F.expr("n div 2"))
+        take = groups.select("zone_id", "topic_id", "g", "before", F.least("pairs", F.col("cap") - F.col("before")).alias("take")).where("take > 0")
+        same = unranked(take.select("zone_id", "topic_id", "before", "g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("take") - 1)).alias("r")), "g", "r")
+        member = lambda k: rows.select("zone_id", "topic_id", F.col("k").alias(k), F.col("subtopic_id").alias(f"m{k}"))
+        same = same.join(member("x"), ["zone_id", "topic_id", "x"]).join(member("y"), ["zone_id", "topic_id", "y"]).select("zone_id", (F.col("before") + F.col("r")).alias("at"), F.array("mx", "my").alias("members"))
+        left = groups.where("place = 0").select("zone_id", "m", "all_pairs", F.least(F.col("cap") - F.col("all_pairs"), F.expr("m * (m - 1) div 2")).alias("take")).where("take > 0")
+        cross = unranked(left.select("zone_id", "m", "all_pairs", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("take") - 1)).alias("r")), "m", "r")
+        first = lambda k: groups.select("zone_id", F.col("place").alias(k), F.col("subtopic_id").alias(f"m{k}"))
+        cross = cross.join(first("x"), ["zone_id", "x"]).join(first("y"), ["zone_id", "y"]).select("zone_id", (F.col("all_pairs") + F.col("r")).alias("at"), F.array("mx", "my").alias("members"))
+        out = out.unionByName(same.unionByName(cross).withColumn("size", F.lit(2)))
+    if allowed >= 3:  # a third of the subtopics is less than the triples that begin with the first two
+        first = lambda i: rows.where(F.col("i") == i).select("zone_id", F.col("subtopic_id").alias(f"s{i}"))
+        third = rows.where((F.col("i") >= 2) & (F.col("i") - 2 < F.expr("n div 3"))).join(first(0), "zone_id").join(first(1), "zone_id")
+        out = out.unionByName(third.select("zone_id", F.lit(3).alias("size"), (F.col("i") - 2).cast("bigint").alias("at"), F.array("s0", "s1", "subtopic_id").alias("members")))
+    out = out.withColumn("place", F.row_number().over(zone.orderBy("size", "at")).cast("bigint"))
+    return out.where(F.col("place") <= most if most else F.lit(True)).select("zone_id", "place", "members")
+
+
+def unranked(rows: DataFrame, size: str, rank: str) -> DataFrame:
+    """Adds x < y, the pair of that rank (from 0) of ``size`` things in order."""
+    g, r = F.col(size).cast("double"), F.col(rank).cast("double")
+    guess = F.floor((2 * g - 1 - F.sqrt((2 * g - 1) * (2 * g - 1) - 8 * r)) / 2)
+    begins = lambda x: F.expr(f"({x} * (2 * {size} - {x} - 1)) div 2")
+    rows = rows.withColumn("_x", guess)
+    rows = rows.withColumn("x", F.when(begins("_x") > F.col(rank), F.col("_x") - 1).when(begins("(_x + 1)") <= F.col(rank), F.col("_x") + 1).otherwise(F.col("_x")).cast("int"))  # the root may be rounded
+    return rows.withColumn("y", (F.col(rank) - begins("x") + F.col("x") + 1).cast("int")).drop("_x")
+
+
 def question_budget(combinations: Column, subtopics: Column, each: int) -> Column:
     """Questions for each combination: their share of ``each`` a subtopic, one at least; none without combinations."""
     return F.when(combinations > 0, F.greatest(F.lit(1), F.floor(subtopics * each / combinations))).otherwise(F.lit(0)).cast("bigint")

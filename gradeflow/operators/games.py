@@ -6,16 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from gradeflow.operators.order import running_total
+
 
 def game_leaderboard(sessions: DataFrame, responses: DataFrame) -> DataFrame:
-    """Each user's best completed session of each game, with its rank: score down, time up."""
+    """Each user's best completed session of each game, with its rank: score down, time up. Games are few, so ranks are totals over
+    ranges of the distinct results of a game, which a game's sessions are spread over."""
     scores = responses.groupBy("session_id").agg(F.sum("correct").alias("score"))
     rows = sessions.where("status = 'completed' and game_type is not null").join(scores, "session_id", "left")
     rows = rows.withColumn("score", F.coalesce("score", F.lit(0)).cast("bigint")).withColumn("elapsed", F.coalesce("elapsed", F.lit(0)).cast("bigint"))
     best = W.partitionBy("game_type", "user_id").orderBy(F.desc("score"), "elapsed", "session_id")
     first = rows.withColumn("k", F.row_number().over(best)).where("k = 1")
-    place = F.rank().over(W.partitionBy("game_type").orderBy(F.desc("score"), "elapsed")).cast("bigint")
-    return first.select("game_type", "user_id", "session_id", "score", "elapsed", place.alias("place"))
+    same = ["game_type", "score", "elapsed"]
+    better = running_total(first.groupBy(*same).agg(F.count("*").alias("n")), ["game_type"], [F.desc("score"), F.col("elapsed")], F.col("n"), "better")
+    return first.join(better, same).select("game_type", "user_id", "session_id", "score", "elapsed", (F.col("better") + 1).alias("place"))
 
 
 def attempt_lives(responses: DataFrame, lives: int = 3) -> DataFrame:

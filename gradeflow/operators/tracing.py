@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gradeflow.functions.scalar import clamp
+from gradeflow.operators.order import running_total
 
 #: Of the interactive model (weights of knowledge, ability and observation) and of the standard model.
 KEEP, ABLE, PRIOR_SHARE, OBSERVED = 0.7, 0.3, 0.55, 0.45
@@ -62,13 +63,13 @@ def interactive_bkt(split: DataFrame) -> DataFrame:
 
 def kt_metrics(scored: DataFrame) -> DataFrame:
     """One row: mean absolute error, correlation, log loss and ROC AUC. The AUC ranks distinct scores;
-    those nearer than 1e-12 are ties, so that rounding in the last place doesn't break them."""
+    those nearer than 1e-12 are ties, so that rounding in the last place doesn't break them; ranks come from totals over ranges of scores."""
     p = clamp(F.col("p"), TINY, 1 - TINY)
     loss = -(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p))
     basic = scored.agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y") - F.col("p"))).alias("mae"), F.corr("y", "p").alias("r"), F.avg(loss).alias("log_loss"))
     level = scored.groupBy(F.round("p", 12).alias("p")).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    pairs = level.withColumn("won", F.col("pos") * (below + F.col("neg") / 2)).agg((F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
+    below = running_total(level, [], [F.col("p")], F.col("neg"), "below")
+    pairs = below.withColumn("won", F.col("pos") * (F.col("below") + F.col("neg") / 2)).agg((F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
     return basic.crossJoin(pairs).select("n", *[F.round(c, 6).alias(c) for c in ("mae", "r", "log_loss", "auc")])
 
 

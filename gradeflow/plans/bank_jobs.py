@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -258,6 +260,28 @@ def zone_combinations(spark: SparkSession, d: str) -> DataFrame:
     return curation.zone_combinations(domain(spark, d, "subtopics"), domain(spark, d, "topics"))
 
 
+def _smart_sql(difficulty: str) -> str:
+    size = curation.COMBINED[difficulty]
+    return f"""SELECT zone_id, '{difficulty}' AS difficulty, row_number() OVER (PARTITION BY zone_id ORDER BY size, a, b) AS place, members FROM (
+        SELECT zone_id, 1 AS size, i AS a, 0 AS b, CAST(subtopic_id AS VARCHAR) AS members FROM o
+        UNION ALL SELECT zone_id, 2, k, 0, members FROM (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY crosses, f1, f2, i1, i2) AS k FROM p) x WHERE k <= n // 2 AND {size} >= 2
+        UNION ALL SELECT zone_id, 3, k, 0, members FROM (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY i1, i2, i3) AS k FROM t) x WHERE k <= n // 3 AND {size} >= 3) y"""
+
+
+@job(f"""WITH o AS (SELECT t.zone_id AS zone_id, s.topic_id AS topic_id, subtopic_id, row_number() OVER (PARTITION BY t.zone_id ORDER BY subtopic_id) AS i, min(subtopic_id) OVER (PARTITION BY t.zone_id, s.topic_id) AS first,
+        count(*) OVER (PARTITION BY t.zone_id) AS n FROM subtopics s JOIN topics t ON s.topic_id = t.topic_id),
+    p AS (SELECT a.zone_id AS zone_id, a.n AS n, a.topic_id <> b.topic_id AS crosses, a.first AS f1, b.first AS f2, a.i AS i1, b.i AS i2, concat(a.subtopic_id, ',', b.subtopic_id) AS members
+        FROM o a JOIN o b ON a.zone_id = b.zone_id AND a.i < b.i WHERE a.topic_id = b.topic_id OR (a.subtopic_id = a.first AND b.subtopic_id = b.first)),
+    t AS (SELECT a.zone_id AS zone_id, a.n AS n, a.i AS i1, b.i AS i2, c.i AS i3, concat(a.subtopic_id, ',', b.subtopic_id, ',', c.subtopic_id) AS members
+        FROM o a JOIN o b ON a.zone_id = b.zone_id AND a.i < b.i JOIN o c ON a.zone_id = c.zone_id AND b.i < c.i WHERE a.i <= 2 AND b.i <= 2)
+    {" UNION ALL ".join(_smart_sql(k) for k in curation.COMBINED)}""")
+def smart_combinations(spark: SparkSession, d: str) -> DataFrame:
+    """Singles, pairs and triples of each zone for each difficulty, those of one topic first."""
+    parts = [curation.smart_combinations(domain(spark, d, "subtopics"), domain(spark, d, "topics"), k).withColumn("difficulty", F.lit(k)) for k in curation.COMBINED]
+    every = reduce(DataFrame.unionByName, parts)
+    return every.select("zone_id", "difficulty", "place", F.array_join("members", ",").alias("members"))
+
+
 @job("""SELECT topic_id, n AS subtopics, CASE WHEN n > 1 THEN greatest(1, n * 5 // (n - 1)) ELSE 0 END AS each FROM (SELECT topic_id, count(*) AS n FROM subtopics GROUP BY topic_id) x""")
 def question_budget(spark: SparkSession, d: str) -> DataFrame:
     """Five questions a subtopic over one combination less than there are subtopics."""

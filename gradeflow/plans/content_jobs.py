@@ -183,6 +183,27 @@ def match_subtopic_names(spark: SparkSession, d: str) -> DataFrame:
     return catalogue.matched_names(names, s)
 
 
+@job("""WITH q AS (SELECT p_partkey AS question_id, [p_name, concat(' ', upper(s1.name)), 'Supplier', concat(s2.name, ' x'), p_name] AS names FROM part LEFT JOIN subtopics s1 ON s1.subtopic_id = p_partkey % 100 LEFT JOIN subtopics s2 ON s2.subtopic_id = p_size % 100),
+    n AS (SELECT question_id, unnest(names) AS name, unnest(range(5)) AS at_k FROM q),
+    d AS (SELECT DISTINCT name, lower(regexp_replace(name, '^\\s+|\\s+$', '', 'g')) AS k FROM n WHERE name IS NOT NULL),
+    c AS (SELECT subtopic_id, topic_id, lower(trim(name)) AS c FROM subtopics),
+    e AS (SELECT name, min(subtopic_id) AS subtopic_id FROM d JOIN c ON k = c GROUP BY name),
+    r AS (SELECT name, min(subtopic_id) AS subtopic_id FROM d JOIN c ON starts_with(k, c) OR starts_with(c, k) WHERE name NOT IN (SELECT name FROM e) GROUP BY name),
+    m AS (SELECT question_id, at_k, x.subtopic_id AS subtopic_id, c.topic_id AS topic_id FROM n JOIN (SELECT * FROM e UNION ALL SELECT * FROM r) x ON n.name = x.name JOIN c ON c.subtopic_id = x.subtopic_id),
+    s AS (SELECT question_id, string_agg(CAST(subtopic_id AS VARCHAR), ',' ORDER BY at_k) AS subtopic_ids FROM (SELECT question_id, subtopic_id, min(at_k) AS at_k FROM m GROUP BY ALL) y GROUP BY question_id),
+    t AS (SELECT question_id, string_agg(CAST(topic_id AS VARCHAR), ',' ORDER BY at_k) AS topic_ids FROM (SELECT question_id, topic_id, min(at_k) AS at_k FROM m GROUP BY ALL) y GROUP BY question_id)
+    SELECT q.question_id AS question_id, coalesce(subtopic_ids, '') AS subtopic_ids, coalesce(topic_ids, '') AS topic_ids FROM q LEFT JOIN s ON s.question_id = q.question_id LEFT JOIN t ON t.question_id = q.question_id""")
+def match_subtopic_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Ordered ids of the subtopics and topics that each question's names match; the names are made of part and supplier names."""
+    s = domain(spark, d, "subtopics")
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("question_id"), "p_name", (F.col("p_partkey") % 100).alias("k1"), (F.col("p_size") % 100).cast("bigint").alias("k2"))
+    named = lambda k, c: s.select(F.col("subtopic_id").alias(k), F.col("name").alias(c))
+    q = p.join(named("k1", "n1"), "k1", "left").join(named("k2", "n2"), "k2", "left")
+    q = q.select("question_id", F.array(F.col("p_name"), F.concat(F.lit(" "), F.upper("n1")), F.lit("Supplier"), F.concat("n2", F.lit(" x")), F.col("p_name")).alias("names"))
+    found = catalogue.matched_lists(q, s)
+    return found.select("question_id", F.array_join("subtopic_ids", ",").alias("subtopic_ids"), F.array_join("topic_ids", ",").alias("topic_ids"))
+
+
 @job("""SELECT s.subtopic_id AS subtopic_id, coalesce(q.n, 0) AS questions, coalesce(r.n, 0) AS answers, coalesce(c.n, 0) AS chunks FROM subtopics s LEFT JOIN (SELECT subtopic_id, count(*) AS n FROM questions GROUP BY subtopic_id) q ON q.subtopic_id = s.subtopic_id
     LEFT JOIN (SELECT subtopic_id, count(*) AS n FROM responses GROUP BY subtopic_id) r ON r.subtopic_id = s.subtopic_id LEFT JOIN (SELECT subtopic_id, count(*) AS n FROM pieces GROUP BY subtopic_id) c ON c.subtopic_id = s.subtopic_id""")
 def delete_impact(spark: SparkSession, d: str) -> DataFrame:
