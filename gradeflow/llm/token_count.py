@@ -11,8 +11,8 @@ whatever came before, so all pre-tokens of a slice are lanes that run in step, a
 sum, are the counts. States are told apart by what they hold, never by a hash of it.
 
 Defined cases: a null text counts as empty: 0 bytes, 0 tokens; repeated rows are each counted; an empty table gives an empty
-one; texts of any length are read whole, in slices of rows, and a single pre-token of many bytes runs by itself, a step a
-byte; other columns of the input play no part, whatever their names. A special token's string inside a text is one token and
+one; texts of any length are read whole, in slices of rows, and a pre-token of ``LONG`` bytes or more is cut into chunks whose
+states are joined (``long_pieces``); other columns of the input play no part, whatever their names. A special token's string inside a text is one token and
 splits the text, as the library does by default.
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeflow.llm._shared import row_slices, text_buffer
+from gradeflow.llm.long_pieces import Tokens
 
 RESULT = "struct<n_bytes:bigint,n_tokens:bigint>"
 LANES = 4096
 TABLE_BITS = 21
 KEPT = 400_000  # states of a worker's transducer, which is compiled afresh when full
+LONG = 16_384  # bytes from which a pre-token is cut into chunks of its own
 
 # Character classes. An apostrophe that a contraction follows, and white space, are told apart by what comes next.
 (LETTER, NUMBER, OTHER, PAIR, TRIPLE, SPACE_LAST, BLANK_LAST, BLANK_MORE) = range(8)
@@ -237,7 +239,30 @@ class Counter:
         return found
 
     def of_pieces(self, buffer: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Tokens of each piece buffer[begin:end]: all pieces run through the transducer in step."""
+        """Tokens of each piece buffer[begin:end]: long ones by chunks, the others in groups that can't make more than ``KEPT`` states."""
+        out = np.zeros(len(begin), np.int64)
+        size = end - begin
+        long = size >= LONG
+        if long.any() and not self.long_tokens.sound:
+            long[:] = False
+        for k in np.flatnonzero(long).tolist():
+            out[k] = self.long_tokens.count(buffer[int(begin[k]) : int(end[k])])
+        short = np.flatnonzero(~long)
+        whole = np.cumsum(size[short])
+        if len(short) and len(self.holds) + int(whole[-1]) <= 3 * KEPT:
+            groups = [short]
+        else:
+            groups = np.split(short, np.flatnonzero(np.diff(whole // KEPT)) + 1)
+        for some in groups:
+            out[some] = self.of_short(buffer, begin[some], end[some])
+        return out
+
+    @cached_property
+    def long_tokens(self) -> Tokens:
+        return Tokens(sorted(self.rank, key=self.rank.get), self.merged)
+
+    def of_short(self, buffer: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Tokens of pieces that run through the transducer in step."""
         if len(self.holds) > KEPT:
             self.reset()
         order = np.argsort(begin - end, kind="stable")  # the longest first, so that those still running stand in front

@@ -55,6 +55,42 @@ def test_small_store(monkeypatch):
     assert got == [len(e.ids) for e in lib.encode_batch(all_, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("kind", ["letters", "one", "script", "words", "spaces"])
+def test_long_pieces(kind):
+    """Pre-tokens of over a hundred thousand bytes, with other texts around them, and chunks that have to be run again."""
+    rng = random.Random(3)
+    text = {
+        "letters": lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=120_000)), "one": lambda: "a" * 150_001, "script": lambda: "".join(rng.choices("日本語中文字漢字仮名", k=50_000)),
+        "words": lambda: "".join(rng.choices(["hello", "world", "the", "ation", "ing", "e"], k=40_000)), "spaces": lambda: " " * 120_000 + "x",
+    }[kind]()
+    lib, model = Tokenizer.from_file(JSON), token_count.counter(JSON)
+    all_ = ["one two", text, None, text[:20_000] + " <|endoftext|>" + text[:30_000]]
+    got = token_count.count_slice(pa.array(all_), model)[1].tolist()
+    assert got == [len(e.ids) for e in lib.encode_batch([t or "" for t in all_], add_special_tokens=False)]
+
+
+def test_states_stay_bounded(monkeypatch):
+    """Many pre-tokens that make a state a byte: the transducer is compiled afresh between groups of them."""
+    monkeypatch.setattr(token_count, "KEPT", 3000)
+    rng = random.Random(4)
+    model, lib = token_count.Counter(JSON), Tokenizer.from_file(JSON)
+    texts_ = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(200, 900))) for _ in range(30)) for _ in range(4)]
+    for t in texts_:
+        assert int(token_count.count_slice(pa.array([t]), model)[1][0]) == len(lib.encode(t, add_special_tokens=False).ids)
+        assert len(model.holds) <= 4 * 3000
+
+
+def test_pairs_by_undoing_merges():
+    """Whether tokens may stand side by side, against merging their bytes."""
+    import numpy as np
+
+    model, rng = token_count.counter(JSON), random.Random(5)
+    tokens = [bytes([k]) for k in range(256)] + [a + b for a, b in sorted(model.rank, key=model.rank.get)]
+    pairs = [(rng.randrange(len(tokens)), rng.randrange(len(tokens)) if rng.random() < 0.5 else rng.randrange(600)) for _ in range(5000)]
+    got = model.long_tokens.undone(*np.array(pairs).T)
+    assert got.tolist() == [model.merged(tokens[a] + tokens[b]) == [tokens[a], tokens[b]] for a, b in pairs]
+
+
 def test_no_rows_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "one two", "x"), (1, "one two", "x"), (None, None, None)], "doc_id long, text string, found string").withColumn("n_tokens", pytest.importorskip("pyspark.sql.functions").lit(7))
     got = sorted(map(tuple, token_count.token_count_digest(docs, JSON).collect()), key=str)
