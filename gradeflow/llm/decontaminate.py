@@ -40,6 +40,7 @@ TABLE_BITS = (16, 23)
 #: Positions that are verified together.
 VERIFY = 1 << 16
 LANES = 1024
+NAMED = 256  # patterns whose items are kept as a set
 RESULT = "struct<n_words:bigint,hit_runs:array<struct<start:bigint,end:bigint>>,items:array<string>>"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -169,19 +170,32 @@ class Matcher:
         inner = last + 1 < normal.first[item + 1]
         after = ends[np.minimum(last + 1, len(ends) - 1)]
         end = np.where(inner | (after == len(normal.data)), after, after - 1) if len(item) else after
+        # windows of the same bytes are one pattern, with the items that hold it
+        numbers: dict[bytes, int] = {}
+        pattern = np.array([numbers.setdefault(normal.data[a:b], len(numbers)) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], np.int64)
+        order = np.argsort(pattern, kind="stable")
         self.ids = [i for i, _ in items]
-        self.words = last - first + 1
-        self.item = item
-        size = end - begin
+        self.holders, self.edges = item[order], np.searchsorted(pattern[order], np.arange(len(numbers) + 1))
+        self.named: dict[int, set[str]] = {}
+        one = order[self.edges[:-1]]
+        self.words = (last - first + 1)[one]
+        begin, size = begin[one], (end - begin)[one]
         kind = np.searchsorted(np.array(CLASSES), size, side="right")
         self.classes = [(np.flatnonzero(kind == k), Class(normal.data, begin[kind == k], size[kind == k])) for k in np.unique(kind)]
 
-    def matches(self, data: bytes) -> Iterator[tuple[int, int, str]]:
-        """Places, words and item ids of all occurrences."""
+    def matches(self, data: bytes) -> Iterator[tuple[int, int]]:
+        """Places and patterns of all occurrences."""
         for numbers, c in self.classes:
             for place, k in c.search(data):
-                own = int(numbers[k])
-                yield place, int(self.words[own]), self.ids[self.item[own]]
+                yield place, int(numbers[k])
+
+    def items(self, pattern: int) -> set[str]:
+        found = self.named.get(pattern)
+        if found is None:
+            if len(self.named) >= NAMED:
+                self.named.clear()
+            found = self.named[pattern] = {self.ids[k] for k in self.holders[self.edges[pattern] : self.edges[pattern + 1]].tolist()}
+        return found
 
 
 def search_batch(column: pa.Array, passes: list[Broadcast]) -> pa.Array:
@@ -225,11 +239,15 @@ class Found:
 
     def search(self, matcher: Matcher) -> None:
         normal = self.normal
-        for place, words, item in matcher.matches(normal.data):
+        told: set[tuple[int, int]] = set()  # texts and patterns whose items are noted already
+        for place, pattern in matcher.matches(normal.data):
             word = int(np.searchsorted(normal.starts, place + 1))
             self.edges[word] += 1
-            self.edges[word + words] -= 1
-            self.items[int(np.searchsorted(normal.first, word, side="right")) - 1].add(item)
+            self.edges[word + int(matcher.words[pattern])] -= 1
+            row = int(np.searchsorted(normal.first, word, side="right")) - 1
+            if (row, pattern) not in told:
+                told.add((row, pattern))
+                self.items[row] |= matcher.items(pattern)
 
     def after(self, passes: list[Broadcast]) -> pa.Array:
         for one in passes:

@@ -293,3 +293,27 @@ def test_scan_by_brute_force(spark):
                     standing = 2 if kind == "first" and head else int(kind == "whole")
                     want[r["doc_id"]] = max(want.get(r["doc_id"], (-1,)), (standing, cosine, minus, name))
     assert got == {i: (name, pytest.approx(cosine, abs=2e-6), "file" if standing else "header") for i, (standing, cosine, _, name) in want.items()} and want
+
+
+def test_window_that_many_items_share():
+    """One prompt sentence in thousands of items is one pattern: a hit takes no longer, and names all its items."""
+    import time
+
+    import pyarrow as pa
+
+    from gradeflow.llm import decontaminate
+
+    prompt = "answer the following question as well as you can please thanks"
+    took = {}
+    for n in (100, 4000):
+        items = [(f"i{k}", f"{prompt} number{k} is what{k} of these{k} here") for k in range(n)]
+        matcher = decontaminate.Matcher(items, 10)
+        texts = pa.array([f"x{k} {prompt} y" for k in range(300)] + [prompt + " number7 is what7"], pa.string())
+        found = decontaminate.Found(texts)
+        began = time.process_time()
+        found.search(matcher)
+        took[n] = time.process_time() - began
+        out = found.result().to_pylist()
+        assert all(len(r["items"]) == n and r["hit_runs"] == [{"start": 1, "end": 12}] for r in out[:300])
+        assert len(out[300]["items"]) == n and out[300]["hit_runs"] == [{"start": 0, "end": 14}]
+    assert took[4000] < 2 * took[100] + 0.1
