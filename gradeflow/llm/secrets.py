@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeflow.llm._shared import fresh
+
 #: The base kinds in their order. Letters of the assign pattern match in either case.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]{16,}"  # a run of 20 characters or more
@@ -186,9 +188,10 @@ def block_runs(text: Column, codes: Column, each: Column, limit: Column) -> Colu
 
 
 def with_secret_spans(df: DataFrame, text: str = "text", output: str = "secret_spans") -> DataFrame:
-    """Adds an array of (start, rank, kind, end) of all secrets, in order of start and then of kind."""
-    own = [c for c in df.columns if c != output]
-    df = df.select(*own, F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    """Adds an array of (start, rank, kind, end) of all secrets, in order of start and then of kind. The caller's columns are kept in
+    one struct meanwhile, so that none of them, whatever its name, meets those of the work."""
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != output])
+    df = df.select(own.alias("_own"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     group = F.regexp_extract_all("_t", F.lit(f"(?i){ASSIGN}"), F.lit(2))
     df = located(df, "_t", f"(?i){ASSIGN}", "_assign")
     df = df.withColumn("_value", F.when(F.size("_assign") > 0, group).otherwise(F.array().cast("array<string>")))
@@ -228,17 +231,18 @@ def with_secret_spans(df: DataFrame, text: str = "text", output: str = "secret_s
     )
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
     df = df.withColumn("_new", F.when(F.size("_live") > 0, new).otherwise(none))
-    return df.select(*own, F.array_sort(F.concat("_base", "_new")).alias(output))
+    return df.select("_own.*", F.array_sort(F.concat("_base", "_new")).alias(output))
 
 
 def redacted(df: DataFrame, text: str = "text", spans: str = "secret_spans", mark: str = "[secret]") -> DataFrame:
     """Replaces every secret in the text, overlapping ones together, by a mark. Texts without secrets stay as they are, null too.
     What lies between secrets is taken out of blocks of the text, as counting characters from its start would cost its length."""
-    df = df.withColumn("_blocks", F.when(F.size(spans) > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))))
+    blocks, gaps = fresh(df.columns, "_blocks"), fresh(df.columns, "_gaps")
+    df = df.withColumn(blocks, F.when(F.size(spans) > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))))
 
     def between(start: Column, end: Column) -> Column:
         low, high = F.floor(start / STRETCH).cast("int"), F.floor(end / STRETCH).cast("int")
-        piece = F.array_join(F.slice("_blocks", low + 1, high - low + 1), "")
+        piece = F.array_join(F.slice(blocks, low + 1, high - low + 1), "")
         return F.substring(piece, (start - low * STRETCH).cast("int") + 1, (end - start).cast("int"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -248,9 +252,9 @@ def redacted(df: DataFrame, text: str = "text", spans: str = "secret_spans", mar
 
     start = F.struct(F.array().cast(NO_SPANS).alias("gaps"), F.lit(0).cast("bigint").alias("at"))
     last = lambda acc: F.concat(acc["gaps"], F.array(F.struct(acc["at"].alias("start"), F.length(text).cast("bigint").alias("end"))))
-    df = df.withColumn("_gaps", F.when(F.size(spans) > 0, F.aggregate(F.col(spans), start, step, last)))
-    done = F.array_join(F.transform("_gaps", lambda g: between(g.start, g.end)), mark)
-    return df.withColumn(text, F.when(F.size(spans) > 0, done).otherwise(F.col(text))).drop("_blocks", "_gaps")
+    df = df.withColumn(gaps, F.when(F.size(spans) > 0, F.aggregate(F.col(spans), start, step, last)))
+    done = F.array_join(F.transform(gaps, lambda g: between(g.start, g.end)), mark)
+    return df.withColumn(text, F.when(F.size(spans) > 0, done).otherwise(F.col(text))).drop(blocks, gaps)
 
 
 def listed(spans: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +120,107 @@ def test_stages_keep_columns_and_clean_rows(spark):
     assert kept.columns == docs.columns
     ids = corpus_pipeline.encode(spark, kept, SF).collect()
     assert len(ids) == 3 and all(r["n_tokens"] == len(r["ids"]) for r in ids)
+
+
+def test_stages_with_clashing_columns(spark):
+    """Columns of every name that the stages use themselves pass through unchanged."""
+    names = ["hash", "HASH2", "_t", "_own", "_base", "_assign", "_value", "_new", "_live", "_run", "_blocks", "_gaps", "secret_spans", "root", "node", "ring", "shingles", "component", "stays", "n", "found", "key"]
+    texts = ["one two three four five six seven", 'my token = "abcdef123" and more', None, "one two three four five six seven"]
+    rows = [(k, t, *[f"{n}{k}" for n in names]) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.drop_contaminated, corpus_pipeline.mask_secrets, corpus_pipeline.drop_toxic):
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        for r in got.collect():
+            assert list(r[2:]) == list(rows[r["doc_id"]][2:])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == [0, 1, 2]
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.mask_secrets(spark, docs, SF).collect()}[1] == 'my [secret]" and more'
+
+
+def test_near_duplicates_of_documents_against_all_pairs(spark):
+    """On the given documents: what links of all pairs at 0.8 connect, and nothing else."""
+    from gradeflow.llm import simhash_ring
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sets = {}
+    for r in docs.collect():
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in r["text"] or "").split()
+        sets[r["doc_id"]] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    group = {k: k for k in sets}
+
+    def top(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    ids, links = sorted(sets), 0
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            shared = len(sets[a] & sets[b])
+            if shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared) - 1e-9:
+                group[top(b)] = top(a)
+                links += 1
+    want = {}
+    for k in ids:
+        want.setdefault(top(k), []).append(k)
+    want = {k: min(members) for members in want.values() for k in members}
+    assert links > 5 and {r["doc_id"]: r["component"] for r in simhash_ring.near_duplicates(docs, shingle=5).collect()} == want
+
+
+def test_first_step_goes_down_the_risk(monkeypatch):
+    """One step of training against the risk by plain loops, and its slope by differences, where the negative part is above and below 0."""
+    import math
+
+    import numpy as np
+
+    from gradeflow.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    monkeypatch.setattr(toxicity, "SHRINK", 0.0)
+    rng = random.Random(3)
+    draw = lambda words, n: [np.array(sorted(rng.sample(words, 3))) for _ in range(n)]
+    for prior, unlabelled in ((0.2, draw(range(8), 40)), (0.9, draw(range(6, 12), 40))):
+        positive = draw(range(5), 30)
+        w, bias = toxicity.fitted(positive, unlabelled, prior, 5)
+        picks = np.random.default_rng(5)
+        picks.permutation(len(unlabelled))
+        chosen = [positive[i] for i in picks.integers(0, len(positive), max(16, toxicity.BATCH // 2))]
+        loss = lambda z: math.log1p(math.exp(-z))
+
+        def parts(at, b, chosen=chosen, unlabelled=unlabelled, prior=prior):
+            score = lambda x: sum(at.get(int(f), 0.0) for f in x) + b
+            mean = lambda rows, sign: sum(loss(sign * score(x)) for x in rows) / len(rows)
+            return prior * mean(chosen, 1), mean(unlabelled, -1) - prior * mean(chosen, -1)
+
+        start = math.log(prior / (1 - prior))
+        up, negative = parts({}, start)
+        risk = (lambda a, b: sum(parts(a, b))) if negative >= 0 else (lambda a, b: -parts(a, b)[1])
+        for f in range(12):
+            slope = (risk({f: 1e-4}, start) - risk({f: -1e-4}, start)) / 2e-4
+            if abs(slope) > 1e-5:
+                assert np.sign(w[f]) == -np.sign(slope) and abs(w[f]) == pytest.approx(toxicity.RATE, rel=0.2)
+        slope = (risk({}, start + 1e-4) - risk({}, start - 1e-4)) / 2e-4
+        if abs(slope) > 1e-5:
+            assert np.sign(bias - start) == -np.sign(slope)
+
+
+def test_cut_of_least_risk_by_plain_loops():
+    import numpy as np
+
+    from gradeflow.llm import toxicity
+
+    rng = random.Random(4)
+    for _ in range(20):
+        p = [rng.choice([0, 1, 2, 3, rng.uniform(0, 4)]) for _ in range(rng.randint(1, 20))]
+        u = [rng.choice([0, 1, 2, rng.uniform(-2, 3)]) for _ in range(rng.randint(2, 30))]
+        levels = sorted({*p, *u})
+        if len(levels) < 2:
+            continue
+        options = []
+        for a, b in zip(levels, levels[1:], strict=False):
+            cut = (a + b) / 2
+            caught, marked = sum(x > cut for x in p) / len(p), sum(x > cut for x in u) / len(u)
+            options.append((0.3 * (1 - caught) + max(0, marked - 0.3 * caught), b - a, cut))
+        least = min(o[0] for o in options)
+        widest = max(o[1] for o in options if o[0] <= least + 1e-9)
+        assert toxicity.least_risk(np.array(p, float), np.array(u, float), 0.3) in [pytest.approx(o[2]) for o in options if o[0] <= least + 1e-9 and o[1] == pytest.approx(widest)]
