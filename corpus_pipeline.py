@@ -9,7 +9,9 @@
 
 Rows with a null id stay through every stage unless what their text holds removes them; a group of near-duplicates that
 no row has an id in keeps all its rows. Rows are told apart by id and text: an id that stands on unrelated texts keeps each
-of them that no smaller id repeats, and rows that repeat both are one.
+of them that no smaller id repeats, and rows that repeat both are one. Null and wordless texts are one group of near-duplicates.
+Texts of any length are read whole; other columns pass through every stage but the last unchanged, whatever their names; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeflow.llm import bpe, decontaminate, secrets, simhash_ring, toxicity
-from gradeflow.llm._shared import stored, table
+from gradeflow.llm._shared import fresh, stored, table
 
 SHINGLE = 5
 
@@ -33,13 +35,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = stored(simhash_ring.near_duplicates(docs, shingle=SHINGLE).where("doc_id is not null").distinct(), "groups")
     # of each group one text of the smallest id stays; an id can stand on texts of several groups
     stays = found.groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("stays"))
-    others = found.join(stays, "root").where(F.struct("doc_id", "hash") != F.col("stays")).select("doc_id", "hash")
-    hashed = docs.withColumn("hash", F.xxhash64("text"))
-    kept = hashed.join(others, ["doc_id", "hash"], "left_anti")
+    own = fresh(docs.columns, "hash")
+    others = found.join(stays, "root").where(F.struct("doc_id", "hash") != F.col("stays")).select("doc_id", F.col("hash").alias(own))
+    hashed = docs.withColumn(own, F.xxhash64("text"))
+    kept = hashed.join(others, ["doc_id", own], "left_anti")
     # rows that repeat both id and text of the document that stays: one of them
-    repeated = kept.where("doc_id is not null").groupBy("doc_id", "hash").count().where("count > 1").select("doc_id", "hash")
-    once = kept.join(repeated, ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id", "hash"])
-    return kept.join(repeated, ["doc_id", "hash"], "left_anti").unionByName(once).select(docs.columns)
+    repeated = kept.where("doc_id is not null").groupBy("doc_id", own).agg(F.count("*").alias("n")).where("n > 1").select("doc_id", own)
+    once = kept.join(repeated, ["doc_id", own], "left_semi").dropDuplicates(["doc_id", own])
+    return kept.join(repeated, ["doc_id", own], "left_anti").unionByName(once).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +51,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    masked = secrets.redacted(secrets.with_secret_spans(docs))
+    spans = fresh(docs.columns, "secret_spans")
+    masked = secrets.redacted(secrets.with_secret_spans(docs, output=spans), spans=spans)
     if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+        masked = masked.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return masked.select(docs.columns)
 
 
@@ -76,5 +80,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Training, MinHash and byte-level BPE are beyond SQL; tests hold the stages against brute force.
+#: Training, near-duplicates by sampled segments and byte-level BPE are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
