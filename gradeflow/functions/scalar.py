@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache, reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,8 +113,30 @@ def item_level(b: Column) -> Column:
     return F.when(b >= 1, "master").when(b >= 0, "advanced").when(b >= -1, "intermediate").otherwise("beginner")
 
 
+@lru_cache(maxsize=1)
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility form has one ASCII letter or digit, what that is, and ligatures with more."""
+    one, more = {}, {}
+    for c in map(chr, [*range(0xA0, 0xD800), *range(0xF900, 0x10000)]):
+        plain = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        if len(plain) == 1 and plain.isalnum():
+            one[c] = plain
+        elif len(plain) in (2, 3) and plain.isalpha() and unicodedata.category(c) in ("Ll", "Lu", "Lt"):
+            more[c] = plain
+    return "".join(one), "".join(one.values()), more
+
+
+def ascii_folded(text: Column) -> Column:
+    """Letters and digits with accents, of full width and in ligatures as plain ones; other characters stay."""
+    old, new, more = _folds()
+    folded = F.translate(text, old, new)
+    whole = reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), more.items(), folded)
+    return F.when(folded.rlike("[" + "".join(more) + "]"), whole).otherwise(folded)
+
+
 def slugify(name: Column) -> Column:
-    plain = F.regexp_replace(F.lower(F.trim(name)), r"[^a-z0-9_\s-]", "")
+    """A name in lower-case ASCII with hyphens: accents are folded before what isn't ASCII is dropped."""
+    plain = F.regexp_replace(F.lower(F.trim(ascii_folded(name))), r"[^a-z0-9_\s-]", "")
     return F.regexp_replace(F.regexp_replace(plain, r"[-\s]+", "-"), "^[-_]+|[-_]+$", "")
 
 

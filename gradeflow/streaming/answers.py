@@ -23,8 +23,8 @@ def session_summary(events: DataFrame, gap: str = "300 seconds", delay: str | No
     return found.select("student", F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "attempts", "right")
 
 
-def activity(events: DataFrame, window: str = "1 day", delay: str | None = "1 day") -> DataFrame:
-    """Answers and correct answers of each skill and window."""
-    rows = watermarked(events, delay).groupBy(F.window("ts", window).alias("w"), "skill")
+def activity(events: DataFrame, window: str = "1 day", delay: str | None = "1 day", slide: str | None = None) -> DataFrame:
+    """Answers and correct answers of each skill and window; with ``slide``, windows begin that far apart and overlap."""
+    rows = watermarked(events, delay).groupBy(F.window("ts", window, slide).alias("w"), "skill")
     found = rows.agg(F.count("*").alias("n"), F.sum("correct").cast("bigint").alias("right"))
     return found.select(F.col("w.start").alias("day"), "skill", "n", "right")

@@ -5,7 +5,7 @@ import re
 import duckdb
 import pytest
 
-from gradeflow.plans import adapters, bank_jobs, content_jobs, jobs, model_jobs  # noqa: F401
+from gradeflow.plans import adapters, bank_jobs, content_jobs, detail_jobs, jobs, model_jobs, retrieval_jobs  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
