@@ -9,8 +9,9 @@ identifier is one term. Units without any of a template's heavy terms can't reac
 of weight, and those left over once what remains is shorter than the threshold need not be looked for. So a pattern over the heavy
 terms picks the few units to score, without losing any. Templates are a sparse table that units join by term.
 
-A directory's license is that of its best license file. A file without a license of its own inherits from the nearest
-directory above it that has one, found by joining each distinct directory with its ancestors' paths.
+A directory's license is that of its best license file that may hand it down: one named like a license file (``GIVER``), or whose
+text has ``GIVES_FROM`` words or more, as a license itself has; a sentence that names a license speaks for its own file alone. A
+file without a license of its own inherits from the nearest directory above it that has one, found by joining each distinct directory with its ancestors' paths.
 
 Defined cases: null texts and empty texts have no license of their own, and may inherit; a null path has no directory and
 inherits nothing; an empty table gives an empty one; texts of any length are scanned whole; equal cosines take the license that
@@ -30,6 +31,8 @@ from gradeflow.llm._shared import stored
 from gradeflow.llm.license_texts import HEADS, TAGS, TEMPLATES
 
 THRESHOLD = 0.6
+#: Names of files that hand down their license, and words from which any license file does.
+GIVER, GIVES_FROM = r"(?i)(^|/)(un)?(licen[cs]es?|copying|notice)([-._][^/]*)?$", 40
 SALTS = 16
 TAG = r"spdx-license-identifier:[ \t]*[a-z0-9.+-]*[a-z0-9+]"
 TERM = f"{TAG}|[a-z0-9]+"  # of lower-cased text
@@ -147,17 +150,18 @@ def license_scan(files: DataFrame, key: str = "doc_id", path: str = "path", text
     n, idf = inverse_frequency(rows, "text", vocabulary)
     vectors = unit_vectors([x for _, x, _ in templates], idf)
     pattern = any_of(heavy_terms(vectors, threshold))
-    picked = rows.where(F.rlike("text", F.lit(pattern))).select(F.col(key), "path", F.xxhash64("text").alias("hash"), F.posexplode(units_of(F.col("text"), pattern)).alias("at", "u"))
-    keys = [key, "path", "hash", "at", "is"]
-    scored = cosines(picked.distinct().select(key, "path", "hash", "at", "u.*"), keys, vectors, idf, math.log(1 + n) + 1).where(F.col("cosine") >= threshold)
+    gives = F.coalesce(F.rlike("path", F.lit(GIVER)), F.lit(False)) | (F.size(F.split(F.trim("text"), r"\s+")) >= GIVES_FROM)
+    picked = rows.where(F.rlike("text", F.lit(pattern))).select(F.col(key), "path", F.xxhash64("text").alias("hash"), gives.alias("gives"), F.posexplode(units_of(F.col("text"), pattern)).alias("at", "u"))
+    keys = [key, "path", "hash", "gives", "at", "is"]
+    scored = cosines(picked.distinct().select(key, "path", "hash", "gives", "at", "u.*"), keys, vectors, idf, math.log(1 + n) + 1).where(F.col("cosine") >= threshold)
     name = F.get(F.array(*[F.lit(t[0]) for t in templates]), F.col("template"))
     head = F.get(F.array(*[F.lit(t[2]) for t in templates]), F.col("template"))
     standing = F.when((F.col("is") == FIRST) & head, 2).when(F.col("is") == WHOLE, 1).otherwise(0)
     # of equal cosines the license that sorts first, which has the smaller number
-    own = scored.groupBy(key, "path").agg(F.max(F.struct(standing.alias("standing"), "cosine", (-F.col("template")).alias("minus"), name.alias("license"))).alias("o"))
-    own = own.select(key, "path", F.least(F.col("o.standing"), F.lit(1)).alias("whole"), "o.cosine", "o.license")
+    own = scored.groupBy(key, "path").agg(F.max(F.struct(standing.alias("standing"), "cosine", (-F.col("template")).alias("minus"), name.alias("license"), "gives")).alias("o"))
+    own = own.select(key, "path", F.least(F.col("o.standing"), F.lit(1)).alias("whole"), "o.cosine", "o.license", "o.gives")
     own = stored(own, "licenses").distinct()
-    given = own.where("whole = 1 and path is not null").groupBy(directory(F.col("path")).alias("above")).agg(
+    given = own.where("whole = 1 and gives and path is not null").groupBy(directory(F.col("path")).alias("above")).agg(
         F.min(F.struct((-F.col("cosine")).alias("c"), F.col("path").alias("from"), "license")).alias("g")
     ).select("above", F.col("g.from").alias("inherited_from"), F.col("g.license").alias("given"), (-F.col("g.c")).alias("given_cosine"))
     folders = rows.where("path is not null").select(directory(F.col("path")).alias("folder")).distinct()

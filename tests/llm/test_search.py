@@ -317,3 +317,35 @@ def test_window_that_many_items_share():
         assert all(len(r["items"]) == n and r["hit_runs"] == [{"start": 1, "end": 12}] for r in out[:300])
         assert len(out[300]["items"]) == n and out[300]["hit_runs"] == [{"start": 0, "end": 14}]
     assert took[4000] < 20 * took[100] + 0.2  # the items themselves are forty times as many
+
+
+def test_inheritance_by_plain_search(spark):
+    """Nearest directories above, over random trees: license files by name or by length hand down, sentences in other files don't."""
+    rng = random.Random(6)
+    mit, bsd = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["BSD-3-Clause"][1]
+    long_mit = max(mit, key=len)
+    folders = ["", *{"/".join(rng.choices("abc", k=rng.randint(1, 5))) for _ in range(40)}]
+    rows = []
+    for k in range(160):
+        folder = rng.choice(folders)
+        name, text = rng.choice([("x.py", "plain text"), ("y.py", None), (f"z{k}.txt", "Released under the MIT License."), ("LICENSE", "Released under the MIT License."), ("COPYING.md", bsd), ("about.txt", long_mit), ("x.py", "more text"), ("w.py", "")])
+        rows.append((k, f"{folder}/{name}" if folder else name, text))
+    rows = list({r[1]: r for r in rows}.values())
+    got = {r["path"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert len(long_mit.split()) >= licenses.GIVES_FROM
+    given = {}
+    for _, path, text in rows:
+        if got[path]["origin"] == "file" and (re.search(r"(LICENSE|COPYING\.md)$", path) or len(text.split()) >= licenses.GIVES_FROM):
+            folder = path.rpartition("/")[0]
+            best = (-got[path]["cosine"], path, got[path]["license"])
+            given[folder] = min(given.get(folder, best), best)
+    assert given and any(got[p]["origin"] == "file" and p.endswith(".txt") for p in got)
+    for _, path, text in rows:
+        if got[path]["origin"] in ("file", "header"):
+            assert text and got[path]["inherited_from"] is None
+            continue
+        folder = path.rpartition("/")[0]
+        while folder and folder not in given:
+            folder = folder.rpartition("/")[0]
+        want = given.get(folder)
+        assert (got[path]["license"], got[path]["inherited_from"]) == ((want[2], want[1]) if want else (None, None)), path
