@@ -35,6 +35,7 @@ ARCHIVE_BYTES = 128 << 20
 LEVEL = 4
 BLOCK = 1 << 18
 BATCH_BYTES = 4 << 20
+SALTS = 16
 MAGIC = b"\x1f\x8b\x08"
 GZIP = 31  # zlib's window bits for a gzip member
 #: Enough of a member to see whether it begins a record.
@@ -89,7 +90,9 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(key).cast("bigint").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha"))
     equal = rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("kept"), F.count("*").alias("n"))
-    rows = rows.join(equal.where("n > 1").select("sha", "kept"), "sha", "left")
+    # one payload can be that of a third of all pages: its rows are dealt over SALTS keys, and what they refer to goes along with each
+    salted = equal.where("n > 1").select("sha", "kept", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["sha", "salt"], "left")
     rows = rows.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
