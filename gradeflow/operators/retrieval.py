@@ -61,11 +61,11 @@ def junk_detail(text: Column, title: Column) -> Column:
     )
 
 
-def listed_chunks(wanted: DataFrame, ranked: DataFrame) -> DataFrame:
-    """(wanted columns, at, chunk_id): of the list that a game type reads first the ``LIST_TOP`` best from ``LEAST_SIMILARITY`` on, or if there is none,
+def listed_chunks(wanted: DataFrame, ranked: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
+    """(wanted columns, at, chunk_id): of the list that a game type reads first the ``LIST_TOP`` best from a least similarity on, or if there is none,
     the ``OTHER_TOP`` best of the other list. ranked: (owner_id, list, rank, chunk_id, similarity), list: code or concept."""
     place = F.row_number().over(W.partitionBy("owner_id", "list").orderBy("rank", "chunk_id"))  # a list's own entries
-    best = ranked.where(F.col("similarity") >= LEAST_SIMILARITY).withColumn("at", place).where(F.col("at") <= LIST_TOP)
+    best = ranked.where(F.col("similarity") >= least).withColumn("at", place).where(F.col("at") <= LIST_TOP)
     sizes = best.groupBy("owner_id").agg(F.count_if(F.col("list") == "code").alias("n_code"), F.count_if(F.col("list") == "concept").alias("n_concept"))
     coding = F.col("game_type") == "coding"
     first = F.when(coding, "code").otherwise("concept")
@@ -75,14 +75,14 @@ def listed_chunks(wanted: DataFrame, ranked: DataFrame) -> DataFrame:
     return rows.join(best.select("owner_id", "list", "at", "chunk_id"), ["owner_id", "list"]).where("at <= _top").select(*wanted.columns, "at", "chunk_id")
 
 
-def retrieval_contexts(wanted: DataFrame, names: DataFrame, ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+def retrieval_contexts(wanted: DataFrame, names: DataFrame, ranked: DataFrame, chunks: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     """(owner_id, difficulty, game_type, kept, supplementary, content, context): the text for each row of wanted (owner_id, difficulty, game_type).
 
     names: (owner_id, name, topic). chunks: (chunk_id, chunk_type, text, title, document_difficulty). Chunks whose document is in the target's pool
     are taken, or all where none is; junk is left out. Where nothing is ranked, similar enough or kept, a short text says so.
     content: the references alone, null in such a text. Texts travel once, after the lists have been cut; an owner's text is of 15 chunks at most."""
     keys = ["owner_id", "difficulty", "game_type"]
-    rows = listed_chunks(wanted, ranked).join(chunks, "chunk_id")
+    rows = listed_chunks(wanted, ranked, least).join(chunks, "chunk_id")
     level = F.lower(F.coalesce("document_difficulty", F.lit("")))
     rows = rows.withColumn("_allowed", in_pool(F.col("difficulty"), level, False)).withColumn("_above", in_pool(F.col("difficulty"), level, True))
     kind = F.coalesce("chunk_type", F.lit("Content"))

@@ -39,12 +39,14 @@ VIEWS = {
         p_size % 3 = 0 AS flagged, CASE WHEN p_size % 2 = 0 THEN 'Wrong answer' ELSE 'Typo in the text' END AS flag_reason, p_partkey AS flag_created_at, p_size % 5 AS flag_count,
         concat('{"explanation":"', p_brand, '","n":', CAST(p_size AS STRING), CASE WHEN p_size % 4 = 0 THEN ',"used":true' ELSE '' END, CASE WHEN p_size % 6 = 0 THEN ',"context":"c"' ELSE '' END,
             CASE WHEN p_size % 5 = 0 THEN ',"rag_context":{"used":1}' WHEN p_size % 5 = 1 THEN ',"rag_context":{"used":1,"x":[1,2]}' ELSE '' END, '}') AS game_data FROM part""",
-    "chunks": """SELECT doc_id AS chunk_id, source AS document, text, n_chars,
-        row_number() OVER (PARTITION BY source ORDER BY doc_id) AS order_in_doc FROM documents""",
-    "pieces": """SELECT doc_id AS chunk_id, source AS document, doc_id % 9 + 1 AS subtopic_id, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 4) AS BIGINT) AS page,
-        row_number() OVER (PARTITION BY source ORDER BY doc_id) AS order_in_doc, concat(coalesce(text, ''), CASE doc_id % 11 WHEN 0 THEN concat(chr(10), '>>> print(x)') WHEN 1 THEN ' Your turn: write it.'
+    # places in a document are numbered over ids alone, and texts are joined by id, so that no task gathers a source's texts
+    "chunks": """SELECT doc_id AS chunk_id, source AS document, text, n_chars, k AS order_in_doc
+        FROM documents d JOIN (SELECT doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) n ON d.doc_id = n.id""",
+    "pieces": """SELECT doc_id AS chunk_id, source AS document, doc_id % 9 + 1 AS subtopic_id, CAST(floor((k - 1) / 4) AS BIGINT) AS page,
+        k AS order_in_doc, concat(coalesce(text, ''), CASE doc_id % 11 WHEN 0 THEN concat(chr(10), '>>> print(x)') WHEN 1 THEN ' Your turn: write it.'
             WHEN 2 THEN ' Exercise: implement it.' WHEN 3 THEN ' The following code shows it.' WHEN 4 THEN ' All rights reserved' WHEN 5 THEN concat(chr(10), 'x = 1', chr(10), '    y(z)', chr(10), '    w')
-            WHEN 6 THEN ' Leave a review, see https://a.org/b and [12] Page 3 of 9' WHEN 7 THEN ' Fluent Python' WHEN 8 THEN concat(chr(10), 'def f(a):', chr(10), 'import os', chr(10), 'class C:') ELSE '' END) AS text FROM documents""",
+            WHEN 6 THEN ' Leave a review, see https://a.org/b and [12] Page 3 of 9' WHEN 7 THEN ' Fluent Python' WHEN 8 THEN concat(chr(10), 'def f(a):', chr(10), 'import os', chr(10), 'class C:') ELSE '' END) AS text
+        FROM documents d JOIN (SELECT doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) n ON d.doc_id = n.id""",
     "toc": """SELECT source AS document, doc_id AS entry_id, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 3) AS BIGINT) AS start_page,
         CASE doc_id % 7 WHEN 0 THEN 'Preface' WHEN 1 THEN '1.2 Loops' WHEN 2 THEN ' LOOPS' WHEN 3 THEN '12.' WHEN 4 THEN 'Loops' ELSE concat('Topic ', doc_id) END AS title, doc_id % 4 + 1 AS level FROM documents""",
     "book_pages": """SELECT doc_id AS document, 0 AS page, coalesce(text, '') AS text FROM documents UNION ALL

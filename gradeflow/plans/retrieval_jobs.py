@@ -13,8 +13,10 @@ from gradeflow.plans.jobs import job
 from gradeflow.storage import stored
 
 GAMES = ("coding", "non_coding")
-#: A document's difficulty by the length of its name.
-_LEVEL = "CASE length(document) % 5 WHEN 0 THEN 'Beginner' WHEN 1 THEN 'intermediate' WHEN 2 THEN 'advanced' WHEN 3 THEN 'master' END"
+#: Least similarity here: the given vectors lie far apart, and few pairs reach the service's 0.5.
+LEAST = 0.25
+#: A document's difficulty by the last character of its name.
+_LEVEL = "CASE ascii(right(document, 1)) % 5 WHEN 0 THEN 'Beginner' WHEN 1 THEN 'intermediate' WHEN 2 THEN 'advanced' WHEN 3 THEN 'master' END"
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +37,7 @@ def _contexts(spark: SparkSession, d: str) -> DataFrame:
     every = lambda name, values: F.explode(F.array(*map(F.lit, values))).alias(name)
     wanted = owners.select("owner_id", every("difficulty", retrieval.POOLS)).select("owner_id", "difficulty", every("game_type", GAMES))
     chunks = domain(spark, d, "pieces").select("chunk_id", rules.classify_chunk(F.col("text")).alias("chunk_type"), "text", F.col("document").alias("title"), F.expr(_LEVEL).alias("document_difficulty"))
-    return retrieval.retrieval_contexts(wanted, owners, stored(_ranked(spark, d), "ranked"), chunks)
+    return retrieval.retrieval_contexts(wanted, owners, stored(_ranked(spark, d), "ranked"), chunks, LEAST)
 
 
 def _guidance(mixed: str) -> str:
@@ -58,7 +60,7 @@ CONTEXTS = f"""{TYPED},
         list_sum(list_transform(list_zip(o.embedding, c.embedding), lambda z: CAST(z[1] AS DOUBLE) * z[2])) / (o.size * c.size) AS s
         FROM unit o JOIN unit c ON c.vec_id <> o.vec_id JOIN pieces p ON p.chunk_id = c.vec_id WHERE o.vec_id % 100 = 0),
     ranked AS (SELECT *, round(s, 5) AS similarity, row_number() OVER (PARTITION BY owner_id, list ORDER BY round(s, 9) DESC, chunk_id) AS rank FROM cos WHERE s >= 0.1 QUALIFY rank <= 20),
-    best AS (SELECT *, row_number() OVER (PARTITION BY owner_id, list ORDER BY rank) AS at_k FROM ranked WHERE similarity >= {retrieval.LEAST_SIMILARITY} QUALIFY at_k <= {retrieval.LIST_TOP}),
+    best AS (SELECT *, row_number() OVER (PARTITION BY owner_id, list ORDER BY rank) AS at_k FROM ranked WHERE similarity >= {LEAST} QUALIFY at_k <= {retrieval.LIST_TOP}),
     owners AS (SELECT vec_id AS owner_id, concat('Subtopic ', vec_id) AS name, concat('Topic ', label) AS topic FROM embeddings WHERE vec_id % 100 = 0),
     wanted AS (SELECT owners.*, difficulty, game_type FROM owners, (VALUES {', '.join(f"('{k}')" for k in retrieval.POOLS)}) x(difficulty), (VALUES {', '.join(f"('{k}')" for k in GAMES)}) y(game_type)),
     picked AS (SELECT w.*, b.at_k, b.chunk_id FROM wanted w JOIN best b ON b.owner_id = w.owner_id WHERE CASE WHEN EXISTS (SELECT 1 FROM best f WHERE f.owner_id = w.owner_id AND f.list = CASE WHEN game_type = 'coding' THEN 'code' ELSE 'concept' END)
