@@ -61,16 +61,17 @@ def interactive_bkt(split: DataFrame) -> DataFrame:
     return skills.join(before, ["student", "skill"]).join(tested, ["student", "skill"]).select("student", "skill", "y", (F.lit(KEEP) * known + F.lit(ABLE) * F.col("final")).alias("p"))
 
 
-def kt_metrics(scored: DataFrame) -> DataFrame:
-    """One row: mean absolute error, correlation, log loss and ROC AUC. The AUC ranks distinct scores;
+def kt_metrics(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each value of ``by``: mean absolute error, correlation, log loss and ROC AUC. The AUC ranks distinct scores;
     those nearer than 1e-12 are ties, so that rounding in the last place doesn't break them; ranks come from totals over ranges of scores."""
     p = clamp(F.col("p"), TINY, 1 - TINY)
     loss = -(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p))
-    basic = scored.agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y") - F.col("p"))).alias("mae"), F.corr("y", "p").alias("r"), F.avg(loss).alias("log_loss"))
-    level = scored.groupBy(F.round("p", 12).alias("p")).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    below = running_total(level, [], [F.col("p")], F.col("neg"), "below")
-    pairs = below.withColumn("won", F.col("pos") * (F.col("below") + F.col("neg") / 2)).agg((F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
-    return basic.crossJoin(pairs).select("n", *[F.round(c, 6).alias(c) for c in ("mae", "r", "log_loss", "auc")])
+    basic = scored.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y") - F.col("p"))).alias("mae"), F.corr("y", "p").alias("r"), F.avg(loss).alias("log_loss"))
+    level = scored.groupBy(*by, F.round("p", 12).alias("p")).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    below = running_total(level, [*by], [F.col("p")], F.col("neg"), "below")
+    pairs = below.withColumn("won", F.col("pos") * (F.col("below") + F.col("neg") / 2)).groupBy(*by).agg((F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
+    both = basic.join(pairs, [*by]) if by else basic.crossJoin(pairs)  # one row
+    return both.select(*by, "n", *[F.round(c, 6).alias(c) for c in ("mae", "r", "log_loss", "auc")])
 
 
 def calibration_bins(scored: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gradeflow.functions import scalar
 from gradeflow.operators import bank, changes, content, games, irt, mastery, selection, tracing
 from gradeflow.plans.adapters import domain, with_views
+from gradeflow.storage import stored
 from gradeflow.streaming import answers
 
 QUERIES: dict = {}
@@ -189,8 +190,9 @@ def kt_ibkt(spark: SparkSession, d: str) -> DataFrame:
 
 @job(f"WITH {METRICS} SELECT * FROM metrics")
 def kt_metrics(spark: SparkSession, d: str) -> DataFrame:
-    one = lambda f, name: tracing.kt_metrics(f(_split(spark, d))).withColumn("model", F.lit(name))
-    return one(tracing.standard_bkt, "standard").unionByName(one(tracing.interactive_bkt, "interactive"))
+    one = lambda f, name: f(_split(spark, d)).select(F.lit(name).alias("model"), "y", "p")
+    scored = one(tracing.standard_bkt, "standard").unionByName(one(tracing.interactive_bkt, "interactive"))
+    return tracing.kt_metrics(stored(scored, "scored"), ("model",))  # folded once, read for each part of the metrics
 
 
 @job(f"""WITH {KT}, b AS (SELECT CAST(floor(round(p * 10, 9)) AS INTEGER) AS bin, p, y FROM ibkt)
