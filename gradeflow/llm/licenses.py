@@ -34,6 +34,8 @@ THRESHOLD = 0.6
 #: Names of files that hand down their license, and words from which any license file does.
 GIVER, GIVES_FROM = r"(?i)(^|/)(un)?(licen[cs]es?|copying|notice)([-._][^/]*)?$", 40
 SALTS = 16
+#: Files, of which one task scores those that may hold a license; bounds its tables of counts where the setting for shuffles is low.
+FILES_A_DEAL = 5_000
 TAG = r"spdx-license-identifier:[ \t]*[a-z0-9.+-]*[a-z0-9+]"
 TERM = f"{TAG}|[a-z0-9]+"  # of lower-cased text
 
@@ -151,9 +153,12 @@ def license_scan(files: DataFrame, key: str = "doc_id", path: str = "path", text
     vectors = unit_vectors([x for _, x, _ in templates], idf)
     pattern = any_of(heavy_terms(vectors, threshold))
     gives = F.coalesce(F.rlike("path", F.lit(GIVER)), F.lit(False)) | (F.size(F.split(F.trim("text"), r"\s+")) >= GIVES_FROM)
-    picked = rows.where(F.rlike("text", F.lit(pattern))).select(F.col(key), "path", F.xxhash64("text").alias("hash"), gives.alias("gives"), F.posexplode(units_of(F.col("text"), pattern)).alias("at", "u"))
-    keys = [key, "path", "hash", "gives", "at", "is"]
-    scored = cosines(picked.distinct().select(key, "path", "hash", "gives", "at", "u.*"), keys, vectors, idf, math.log(1 + n) + 1).where(F.col("cosine") >= threshold)
+    picked = rows.where(F.rlike("text", F.lit(pattern))).select(F.col(key), "path", F.xxhash64("text").alias("hash"), gives.alias("gives"), "text")
+    # a file's text is shuffled once; what groups by more than these three finds its rows together
+    deals = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // FILES_A_DEAL))
+    dealt = picked.repartition(deals, key, "path", "hash").distinct()
+    units = dealt.select(key, "path", "hash", "gives", F.posexplode(units_of(F.col("text"), pattern)).alias("at", "u")).select(key, "path", "hash", "gives", "at", "u.*")
+    scored = cosines(units, [key, "path", "hash", "gives", "at", "is"], vectors, idf, math.log(1 + n) + 1).where(F.col("cosine") >= threshold)
     name = F.get(F.array(*[F.lit(t[0]) for t in templates]), F.col("template"))
     head = F.get(F.array(*[F.lit(t[2]) for t in templates]), F.col("template"))
     standing = F.when((F.col("is") == FIRST) & head, 2).when(F.col("is") == WHOLE, 1).otherwise(0)

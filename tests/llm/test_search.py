@@ -349,3 +349,32 @@ def test_inheritance_by_plain_search(spark):
             folder = folder.rpartition("/")[0]
         want = given.get(folder)
         assert (got[path]["license"], got[path]["inherited_from"]) == ((want[2], want[1]) if want else (None, None)), path
+
+
+def shuffled_bytes(spark):
+    """Bytes that all jobs of the session have shuffled so far."""
+    import time
+
+    time.sleep(0.3)
+    spark.range(4).repartition(2).count()  # an ended task brings the totals up to date
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    executors = context.statusStore().executorList(False)
+    return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+
+def test_license_scan_shuffles_each_text_once(spark, monkeypatch):
+    """Terms, products and sums of a unit stay where its text was dealt; rows of one key and path, equal ones too, are still one file."""
+    monkeypatch.setattr(licenses, "FILES_A_DEAL", 20)
+    rng = random.Random(3)
+    texts = ["\n".join(" ".join(f"{rng.getrandbits(40):x}" for _ in range(12)) for _ in range(25)) + "\n\nReleased under the MIT License.\n" for _ in range(200)]
+    apache = "some other text\nLicensed under the Apache License, Version 2.0.\n"
+    rows = [(k, f"f{k}.txt", text) for k, text in enumerate(texts)]
+    rows += [(0, "f0.txt", texts[0]), (1, "f1.txt", apache), (None, None, texts[2]), (None, None, texts[2]), (None, None, apache)]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    before = shuffled_bytes(spark)
+    got = licenses.license_scan(files).collect()
+    assert 0 < shuffled_bytes(spark) - before < 1.5 * sum(len(r[2]) for r in rows)
+    assert len(got) == len(rows)
+    twice = {"f1.txt", None}  # the whole of the other text is a license
+    assert all((r["license"], r["origin"]) == (("Apache-2.0", "file") if r["path"] in twice else ("MIT", "header")) for r in got)
