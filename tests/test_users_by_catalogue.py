@@ -15,7 +15,7 @@ def shuffled_after_unfolding(df):
     return not unfolds or any("Exchange" in line for line in plan[: unfolds[0]])
 
 
-@pytest.mark.parametrize("name", ["mastery_band_rows"])
+@pytest.mark.parametrize("name", ["mastery_band_rows", "band_union"])
 def test_products_are_not_shuffled(spark, name):
     assert not shuffled_after_unfolding(jobs.QUERIES[name](spark, SF))
 
@@ -33,3 +33,12 @@ def test_band_rows(spark):
             band = "weak" if m < 90 else "review" if m < 100 else "maintenance"
             want.append((u, s, band, ("low" if m < 50 else "mid" if m < 85 else "high") if m < 90 else band))
     assert got == sorted(want)
+
+
+def test_band_union(spark):
+    """Subtopics of the zone but for those seen; what was seen twice or in another zone leaves the rest alone."""
+    subtopics = [(0, s) for s in range(10, 17)] + [(1, 20), (1, 21)]
+    zones = [(1, 0), (2, 1), (3, 1), (4, 1)]
+    seen = [(1, 10), (1, 10), (1, 20), (2, 20), (2, 21), (3, 15), (None, 20)]
+    got = curation.band_union(spark.createDataFrame(zones, "user_id long, zone_id int"), spark.createDataFrame(subtopics, "zone_id int, subtopic_id long"), spark.createDataFrame(seen, "user_id long, subtopic_id long"))
+    assert sorted(map(tuple, got.collect())) == sorted((u, s) for u, z in zones for k, s in subtopics if k == z and (u, s) not in seen)
