@@ -62,15 +62,22 @@ def first_test_stats(results: DataFrame) -> DataFrame:
 
 
 def first_mastery(stats: DataFrame, users: DataFrame, subtopics: DataFrame) -> DataFrame:
-    """(user_id, subtopic_id, mastery 0..100) for every user of ``users`` (user_id, learner_cluster) and subtopic: what the
-    first test shows, moved by its difficulty, else the start of the user's cluster. Subtopics are a fixed catalogue."""
-    every = users.select("user_id", F.col("learner_cluster").cast("int").alias("c")).crossJoin(subtopics.select("subtopic_id"))
-    rows = every.join(stats, ["user_id", "subtopic_id"], "left")
+    """(user_id, subtopic_id, mastery 0..100 to six digits) for every user of ``users`` (user_id, learner_cluster) and subtopic: what the
+    first test shows, moved by its difficulty, else the start of the user's cluster. What the test showed is as long as ``stats``; the
+    rest is every user's whole catalogue but for that, which is unfolded in the tasks that write it and never shuffled."""
+    users = users.select("user_id", F.col("learner_cluster").cast("int").alias("c"))
+    subtopics = subtopics.select("subtopic_id")
     start = cluster_start(F.col("c"))
     right = (F.col("right") / F.col("total") >= 0.5).cast("int")
     after = bkt_posterior(start, right, cluster_parameter(F.col("c"), 0), cluster_parameter(F.col("c"), 1))
     moved = clamp(start + (after - start) * first_test_gain(F.col("difficulty")), 0.05, 0.95)
-    return rows.select("user_id", "subtopic_id", (F.when(F.col("total") > 0, moved).otherwise(start) * 100).alias("mastery"))
+    shown = stats.where("total > 0").join(users, "user_id").join(subtopics, "subtopic_id").select("user_id", "subtopic_id", F.round(moved * 100, 6).alias("mastery"))
+    tested = stats.where("total > 0").groupBy("user_id").agg(F.collect_set("subtopic_id").alias("tested"))
+    ids = subtopics.agg(F.sort_array(F.collect_list(F.struct("subtopic_id")))["subtopic_id"].alias("ids"))  # one row
+    tasks = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = users.join(tested, "user_id", "left").select("user_id", F.round(start * 100, 6).alias("mastery"), F.coalesce("tested", F.array().cast("array<bigint>")).alias("tested"))
+    rows = rows.repartition(tasks, "user_id").crossJoin(F.broadcast(ids))  # users are few before they unfold, so their bytes say nothing of the work
+    return shown.unionByName(rows.select("user_id", F.explode(F.array_except("ids", "tested")).alias("subtopic_id"), "mastery"))
 
 
 def proficiency_history(snapshots: DataFrame, least: float = 0.01) -> DataFrame:

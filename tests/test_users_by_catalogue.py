@@ -15,7 +15,7 @@ def shuffled_after_unfolding(df):
     return not unfolds or any("Exchange" in line for line in plan[: unfolds[0]])
 
 
-@pytest.mark.parametrize("name", ["mastery_band_rows", "band_union"])
+@pytest.mark.parametrize("name", ["mastery_band_rows", "band_union", "preassessment_init"])
 def test_products_are_not_shuffled(spark, name):
     assert not shuffled_after_unfolding(jobs.QUERIES[name](spark, SF))
 
