@@ -135,3 +135,22 @@ def test_toc_parse(spark):
     assert [r for r in got if r[0] == 1] == [(1, 0, "A. Alpha", 1, 0), (1, 1, "Gamma", 2, 0), (1, 2, "1.1.1 Beta", 3, 1)]
     assert {r[0] for r in got} == {1, 5}
     assert contents.toc_parse(spark.createDataFrame([], "document int, page int, text string")).count() == 0
+
+
+def test_toc_levels(spark):
+    """As a fold over each document's entries, and by running values alone: a list that grows by each entry takes the square of a document's length."""
+    import random
+
+    from gradeflow.operators import catalogue
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), i, rng.randrange(40), rng.choice([None, -2, 0, 1, 2, 3, 4, 9])) for i in range(300)]
+    df = catalogue.toc_levels(spark.createDataFrame(rows, "document string, entry_id long, start_page long, level long"))
+    want = []
+    for d in ("a", "b", None):
+        before = 0
+        for place, (_, i, level) in enumerate(sorted((p, i, v) for k, i, p, v in rows if k == d)):
+            before = min(before + 1, 3, 3 if level is None else level)
+            want.append((str(d), place, i, before))
+    assert sorted((str(r["document"]), *r[1:]) for r in df.collect()) == sorted(want)
+    assert "collect_list" not in df._jdf.queryExecution().executedPlan().toString()
