@@ -77,7 +77,8 @@ def first_mastery(stats: DataFrame, users: DataFrame, subtopics: DataFrame) -> D
     tasks = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = users.join(tested, "user_id", "left").select("user_id", F.round(start * 100, 6).alias("mastery"), F.coalesce("tested", F.array().cast("array<bigint>")).alias("tested"))
     rows = rows.repartition(tasks, "user_id").crossJoin(F.broadcast(ids))  # users are few before they unfold, so their bytes say nothing of the work
-    return shown.unionByName(rows.select("user_id", F.explode(F.array_except("ids", "tested")).alias("subtopic_id"), "mastery"))
+    rest = rows.select("user_id", F.explode(F.array_except("ids", "tested")).alias("subtopic_id"), "mastery")
+    return rest.unionByName(shown)
 
 
 def proficiency_history(snapshots: DataFrame, least: float = 0.01) -> DataFrame:
