@@ -185,3 +185,17 @@ def test_progress_of_a_stream(spark, tmp_path):
         write(second, 1)
     rows = [r.asDict() for r in spark.read.parquet(f"{tmp_path}/progress/batch=1").collect()]
     assert [(r["generation_id"], r["workers"], r["completed"], r["cancelled"], r["questions"], r["percent"]) for r in rows] == [(1, 2, 1, 1, 11, 50.0)]
+
+
+def test_chunks_are_cleaned_once(spark):
+    """The cleaner's rules stand a few times in the job's plan, not once for each use of what they give; short chunks leave before they join."""
+    from gradeflow.functions import text as rules
+    from gradeflow.operators import merging
+    from gradeflow.plans import content_jobs
+
+    plan = content_jobs.chunk_pipeline(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("PacktPublishing") < 60
+    assert spark.range(1).select(rules.clean_chunk(F.lit(None).cast("string")).alias("x")).first()["x"] == ""
+    rows = [("a", 1, 0, "Concept", "It goes on in"), ("a", 2, 1, "Concept", "two three"), ("a", 3, 1, "Concept", "the next page."), (None, 4, 0, "Concept", "short"), (None, 5, 0, "Concept", "long enough")]
+    got = merging.merge_split_chunks(spark.createDataFrame(rows, "document string, chunk_id long, page int, chunk_type string, text string"), 10).orderBy("chunk_id").collect()
+    assert [(r["chunk_id"], r["parts"], r["text"]) for r in got] == [(1, 2, "It goes on in the next page."), (5, 1, "long enough")]
